@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmer import WORDS, covered, with_ranges
+from .common import keyed
+from .superkmer import WORDS, covered, repeated_ranges
 
 #: Words of a minimiser.
-GRAM = 3
+GRAM = 6
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,15 +34,15 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_
             if not b.num_rows:
                 continue
             n, gone, kept = [], [], []
-            for text, first, last in zip(b.column("text").to_pylist(), b.column("_first").to_pylist(), b.column("_last").to_pylist()):
+            for text, key, found in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found"))):
                 words = (text or "").encode("utf-8").split()
                 n.append(len(words))
-                if first:
-                    hit = covered(np.array(first), np.array(last), len(words))
+                hit = covered(found, key, len(words))
+                if hit is not None:
                     words = [words[i] for i in np.flatnonzero(~hit).tolist()]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = with_ranges(docs, id_col, text_col, WORDS, window, min(GRAM, window))
-    return rows.select("doc_id", "text", "_first", "_last").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    rows = repeated_ranges(keyed(docs, id_col, text_col), WORDS, window, min(GRAM, window))
+    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

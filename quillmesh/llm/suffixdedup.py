@@ -1,8 +1,9 @@
 """Suffix-array dedup: a radix sort of suffixes by most significant digits, only as deep as the threshold.
 
-Suffixes are dealt out by the smallest hashed 8-byte run within the threshold (a
-digit that equal windows share, wherever it lies in them), so that neighbouring
-suffixes of a text share one packed string; see ``superkmer``. There each pass
+Suffixes are dealt out by the smallest hashed 24-byte run within the threshold (a
+digit that equal windows share, wherever it lies in them): the first pass drops
+those whose digit no other document has, and neighbouring suffixes of a text share
+one packed string; see ``superkmer``. There each further pass
 orders the suffixes still in play by their next eight bytes and drops those that
 have become unique or lie in one document only. Groups left after the last pass
 are the windows that repeat, exactly.
@@ -16,20 +17,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .superkmer import BYTES, covered, with_ranges
+from .common import column, keyed
+from .superkmer import BYTES, covered, repeated_ranges
 
 #: Bytes of the run by which suffixes are dealt out.
-GRAM = 8
+GRAM = 24
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(text: str | None, first: list | None, last: list | None) -> tuple[int, int, int, bytes]:
+def _cut(text: str | None, key: int, found: list | None) -> tuple[int, int, int, bytes]:
     raw = (text or "").encode("utf-8")
-    if not first:
+    hit = covered(found, key, len(raw))
+    if hit is None:
         return len(raw), 0, 0, raw
-    hit = covered(np.array(first), np.array(last), len(raw))
     spans = int((hit & ~np.append(False, hit[:-1])).sum())
     return len(raw), int(hit.sum()), spans, np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
 
@@ -50,12 +53,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = [_cut(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "_first", "_last")))]
+                rows = [_cut(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found")))]
                 n, gone, spans, kept = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = with_ranges(docs, id_col, text_col, BYTES, window, min(GRAM, window))
-    return rows.select("doc_id", "text", "_first", "_last").mapInArrow(cut, CUT)
+    rows = repeated_ranges(keyed(docs, id_col, text_col), BYTES, window, min(GRAM, window))
+    return rows.mapInArrow(cut, CUT)
 
 
 def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +67,15 @@ def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     Where a cut leaves half a character, that character's remaining bytes go too,
     so the text stays valid. Nulls stay null.
     """
-    rows = with_ranges(docs, id_col, text_col, BYTES, window, min(GRAM, window), extra=tuple(docs.columns))
+    text = column(docs, text_col).cast("string")
+    rest = F.struct(column(docs, id_col).alias("id"), *(column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col))
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("text_key"), rest.alias("rest"))
 
-    @F.pandas_udf("string")
-    def kept(text, first, last):
-        return text.combine(first, lambda t, f: (t, f)).combine(last, lambda tf, z: None if tf[0] is None else tf[0] if tf[1] is None or not len(tf[1]) else _cut(tf[0], list(tf[1]), list(z))[3].decode("utf-8", "ignore"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [None if t is None else _cut(t, k, f)[3].decode("utf-8", "ignore") if f else t for t, k, f in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found")))]
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
 
-    quoted = "`" + text_col.replace("`", "``") + "`"
-    out = rows.withColumn(text_col, F.when(F.col("_first").isNull(), F.col(quoted)).otherwise(kept(F.col(quoted), F.col("_first"), F.col("_last"))))
-    return out.select(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
+    found = repeated_ranges(rows, BYTES, window, min(GRAM, window))
+    out = found.mapInArrow(cut, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]))
+    return out.select(*((F.col("text") if c == text_col else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)))

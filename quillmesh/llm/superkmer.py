@@ -5,8 +5,9 @@ smallest hash among its runs of ``gram`` units. Equal windows have equal
 minimisers, so they meet in one bucket; consecutive windows of one minimiser
 travel there as one packed string instead of one string each.
 
-* A map task packs strings by bucket and compresses each pack, so a shuffle moves
-  about the corpus once or twice however long a window is.
+* A first pass sends minimisers alone (six bytes each). A window whose minimiser
+  occurs in one document only cannot repeat in another, and goes no further. The
+  hashes only ever rule windows out; what is equal is decided on the bytes.
 * Of equal strings in a batch only the one of the smallest document travels; for
   the others the answer is known at once. A group of copies, however large, so
   sends one string per batch.
@@ -28,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, offsets, ranges, text_slices
+from .common import mix64, offsets, ranges, text_slices
 
-#: Bytes of packed strings a map task holds before it compresses and sends them.
-FLUSH_BYTES = 24_000_000
-#: Windows sorted at once in a bucket; a bucket of more is taken in several turns by its first digit.
-SORT_WINDOWS = 2_000_000
+#: Minimisers, and bytes of packed strings, that a map task holds before it sends them.
+FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 16_000_000
+#: Windows sorted at once in a bucket; a bucket of more is taken in turns by its minimisers.
+SORT_WINDOWS = 1_000_000
 #: Documents looked at for hot minimisers, and the share of them that makes one hot.
 HOT_SAMPLE, HOT_SHARE = 4_000, 0.01
 
@@ -73,33 +75,47 @@ class Units:
         return self.start[first], self.start[first + units] - 1
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def view64(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as big-endian numbers; zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype=">u8", buffer=padded, strides=(1,))
 
 
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    forth = powers(n + 1, 0x9E3779B97F4A7C15)
-    back = powers(n + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[:n], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each byte range."""
+    view, size = view64(data), end - start
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(len(start))
+    for k in range(int(-(-size.max() // 8)) if len(size) else 0):
+        at = at[size[at] > 8 * k]
+        out[at] = scramble(out[at] ^ digit(view, start[at], end[at], k))
+    return mix64(out)
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def gram_hash(codes: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each run of ``gram`` units; one entry per run."""
+    """A hash of each run of ``gram`` units; one entry per run. ``codes`` are bytes, or a number per word."""
     n = len(codes) - gram + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = codes[:n].astype(np.uint64)
-    for k in range(1, gram):
+    if codes.dtype == np.uint8 and gram % 8 == 0:
+        view = view64(codes)
+        parts = [view[k : k + n] for k in range(0, gram, 8)]
+    else:
+        parts = [codes[k : k + n] for k in range(gram)]
+    out = np.full(n, gram, dtype=np.uint64)
+    for x in parts:
+        out ^= x.astype(np.uint64)
         out *= np.uint64(0xD6E8FEB86659FD93)
-        out += codes[k : k + n].astype(np.uint64)
-    return mix64(out)
+        out ^= out >> np.uint64(32)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -111,15 +127,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if have == width or not len(x) else np.minimum(x[: len(x) - (width - have)], x[width - have :])
 
 
-def minimisers(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per window inside a text: the text's number, the unit it starts at, its minimiser's hash."""
-    at = offsets(units.count)
-    many = np.maximum(units.count - window + 1, 0)
-    where = ranges(at[:-1], many)
-    if not len(where):
-        return where, where, np.zeros(0, dtype=np.uint64)
-    least = sliding_min(gram_hash(units.codes(), gram), window - gram + 1)
-    return np.repeat(np.arange(len(many)), many), where, least[where]
+class Runs:
+    """Runs of consecutive windows of one text with one minimiser: text number, first unit, windows, minimiser's hash."""
+
+    def __init__(self, units: Units, window: int, gram: int):
+        at = offsets(units.count)
+        many = np.maximum(units.count - window + 1, 0)
+        n = int(at[-1]) - window + 1
+        self.text = self.first = self.many = np.zeros(0, dtype=np.int64)
+        self.least = np.zeros(0, dtype=np.uint64)
+        if n <= 0 or not many.any():
+            return
+        least = sliding_min(gram_hash(units.codes(), gram), window - gram + 1)[:n]
+        new = np.empty(n + 1, dtype=bool)
+        new[0] = new[n] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:n])
+        new[np.minimum(at, n)] = True  # a text begins
+        new[np.minimum((at[:-1] + many)[units.count >= window], n)] = True  # windows that would run into the next text begin
+        cut = np.flatnonzero(new)
+        first, size = cut[:-1], np.diff(cut)
+        text = np.searchsorted(at, first, side="right") - 1
+        whole = first < at[text] + many[text]
+        self.text, self.first, self.many, self.least = text[whole], first[whole], size[whole], least[first[whole]]
 
 
 def digit(view: np.ndarray, at: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
@@ -149,23 +178,15 @@ def split_groups(rows: np.ndarray, group: np.ndarray, key: np.ndarray, doc: np.n
 
 def least_documents(data: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each window the least document among the equal windows here (its own, if none is equal)."""
-    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
-    view = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
-    least = doc.copy()
-    turns = -(-len(at) // SORT_WINDOWS) if len(at) else 0
-    first = digit(view, at, end, 0)
-    turn = mix64(first) % np.uint64(max(turns, 1))
-    for t in range(turns):
-        rows = np.flatnonzero(turn == t) if turns > 1 else np.arange(len(at))
-        rows, group = split_groups(rows, (end - at)[rows], first[rows], doc)
-        k = 1
-        while len(rows) and 8 * k < int((end - at)[rows].max()):
-            rows, group = split_groups(rows, group, digit(view, at[rows], end[rows], k), doc)
-            k += 1
-        if len(rows):
-            heads = np.flatnonzero(np.diff(group, prepend=-1))
-            low = np.minimum.reduceat(doc[rows], heads)
-            least[rows] = np.repeat(low, np.diff(np.append(heads, len(rows))))
+    view, size, least = view64(data), end - at, doc.copy()
+    rows, group = split_groups(np.arange(len(at)), size, digit(view, at, end, 0), doc)
+    k = 1
+    while len(rows) and 8 * k < int(size[rows].max()):
+        rows, group = split_groups(rows, group, digit(view, at[rows], end[rows], k), doc)
+        k += 1
+    if len(rows):
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        least[rows] = np.repeat(np.minimum.reduceat(doc[rows], heads), np.diff(np.append(heads, len(rows))))
     return least
 
 
@@ -191,101 +212,202 @@ def merged(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray
 
 
 RANGES = "doc_id long, text_key long, first array<int>, last array<int>"
-HOLDER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("units", "<i4"), ("size", "<i4")])
+HOLDER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("units", "<i4"), ("size", "<i4"), ("turn", "<u4")])
+#: Of a minimiser's hash, what travels.
+SHORT = np.uint64(16)
+
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.encode("utf-8") for t in batch.column("text").to_pylist()]
 
-def _hot_minimisers(docs: DataFrame, kind: str, window: int, gram: int) -> frozenset[int]:
-    """Minimisers in over HOT_SHARE of about HOT_SAMPLE documents: at most 1 / HOT_SHARE times those of one document."""
+
+def _binary(chunks: list[bytes]) -> pa.Array:
+    return pa.array(chunks, pa.binary())
+
+
+def _hot_minimisers(docs: DataFrame, kind: str, window: int, gram: int) -> np.ndarray:
+    """Minimisers in over HOT_SHARE of about HOT_SAMPLE documents, 10,000 at most."""
     n = docs.count()
     fraction = min(1.0, HOT_SAMPLE / max(n, 1))
-    sample = docs.select("text").where("text is not null")
-    if fraction < 1:
-        sample = sample.sample(False, fraction, 7)
+    sample = docs.select("text").sample(False, fraction, 7) if fraction < 1 else docs.select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, many = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for part in text_slices(batches):
-            text, _, least = minimisers(Units([t.encode("utf-8") for t in part.column("text").to_pylist()], kind), window, gram)
-            if len(text):
-                each = np.unique(np.stack([text.astype(np.int64), least.view(np.int64)]), axis=1)[1]
-                value, many = np.unique(each, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(many)], ["h", "n"])
+            runs = Runs(Units(_texts(part), kind), window, gram)
+            order = np.lexsort((runs.text, runs.least))
+            text, least = runs.text[order], runs.least[order]
+            once = np.ones(len(text), dtype=bool)
+            once[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+            both = np.concatenate([value, least[once]])
+            value, back = np.unique(both, return_inverse=True)
+            many = np.bincount(back, weights=np.concatenate([many, np.ones(once.sum())]), minlength=len(value))
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(many.astype(np.int64))], ["h", "n"])
 
     found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    floor = max(10, HOT_SHARE * HOT_SAMPLE)
-    return frozenset(r["h"] & 0xFFFFFFFFFFFFFFFF for r in found.where(F.col("n") >= floor).orderBy(F.desc("n")).limit(10_000).collect())
+    floor = max(10, HOT_SHARE * min(n, HOT_SAMPLE))
+    hot = [r["h"] & 0xFFFFFFFFFFFFFFFF for r in found.where(F.col("n") >= floor).orderBy(F.desc("n")).limit(10_000).collect()]
+    return np.array(sorted(hot), dtype=np.uint64)
+
+
+def _shared_minimisers(docs: DataFrame, kind: str, window: int, gram: int, hot) -> DataFrame:
+    """doc_id, keys: per document the (shortened) minimisers that another document has too; hot ones are left out."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            doc, key = (np.concatenate([h[i] for h in held]) for i in range(2))
+            held.clear()
+            part = (mix64(key) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((key, doc, part))
+            doc, key, part = doc[order], key[order], part[order]
+            once = np.ones(len(doc), dtype=bool)
+            once[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+            doc, key, part = doc[once], key[once], part[once]
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            squeeze = zstandard.ZstdCompressor(level=1)
+            six = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            packs = [squeeze.compress(doc[a:z].tobytes() + six[a:z].tobytes()) for a, z in zip(cut.tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), _binary(packs)], ["part", "pack"])
+
+        size = 0
+        for batch in text_slices(batches):
+            runs = Runs(Units(_texts(batch), kind), window, gram)
+            cold = ~np.isin(runs.least, hot.value)
+            held.append((np.asarray(batch.column("doc_id"))[runs.text[cold]], runs.least[cold] >> SHORT))
+            size += int(cold.sum())
+            if size >= FLUSH_KEYS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    def meet(group: pa.Table) -> pa.Table:
+        docs_of, keys = [], []
+        expand = zstandard.ZstdDecompressor()
+        for x in group.column("pack").to_pylist():
+            raw = expand.decompress(x)
+            n = len(raw) // 14
+            docs_of.append(np.frombuffer(raw, dtype="<i8", count=n))
+            wide = np.zeros((n, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, 6)
+            keys.append(wide.view("<u8").ravel())
+        doc, key = np.concatenate(docs_of), np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        doc, key = doc[order], key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(np.append(head, len(key)))
+        more = np.repeat(np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), many)
+        doc, key = doc[more], key[more]
+        order = np.argsort(doc, kind="stable")
+        doc, key = doc[order], key[order]
+        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.array(key.view(np.int64)))
+        return pa.table({"doc_id": pa.array(doc[head]), "keys": lists})
+
+    packs = docs.select("doc_id", "text").mapInArrow(send, "part int, pack binary")
+    return packs.groupBy("part").applyInArrow(meet, "doc_id long, keys array<long>").groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("_keys"))
+
+
+def _same_as_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of byte ranges, and which of them in it equal the one before, byte for byte."""
+    order = np.lexsort((view64(data)[start].astype(np.uint64), size, least))
+    a, z = order[:-1], order[1:]
+    maybe = np.flatnonzero((least[a] == least[z]) & (size[a] == size[z]))
+    equal = np.zeros(len(order), dtype=bool)
+    if len(maybe):
+        n = size[a[maybe]]
+        same = data[ranges(start[a[maybe]], n)] == data[ranges(start[z[maybe]], n)]
+        equal[maybe + 1] = np.logical_and.reduceat(same, offsets(n)[:-1])
+    return order, equal
 
 
 def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """doc_id, text_key, first, last: arrays of unit ranges covered by windows that a smaller doc_id has too.
+    """``docs`` (doc_id, text, text_key, ...) with found: an array of (text_key, first, last), or null.
 
-    ``docs`` has doc_id, text and text_key (see ``common.keyed``). Rows with a null
-    id or text take no part. A document may have several rows here.
+    first and last are arrays of unit ranges covered by windows that a smaller
+    doc_id has too. Rows with a null id or text take no part.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null and text is not null")
-    hot = spark.sparkContext.broadcast(np.array(sorted(_hot_minimisers(docs, kind, window, gram)), dtype=np.uint64))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    hot = spark.sparkContext.broadcast(_hot_minimisers(usable, kind, window, gram))
+    flagged = _shared_minimisers(usable, kind, window, gram, hot)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list, list]] = {}
-        size, turn = 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # part, holder, whether decided
+        strings: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out_part, out_pack = [], []
-            squeeze = zstandard.ZstdCompressor(level=3)
-            for p, (heads, strings, known) in held.items():
-                head, done = np.array(heads, dtype=HOLDER).tobytes(), np.array(known, dtype=HOLDER).tobytes()
-                out_part.append(p)
-                out_pack.append(squeeze.compress(struct.pack("<qq", len(head), len(done)) + head + done + b"".join(strings)))
+            if not held:
+                return
+            part, head, done = (np.concatenate([h[i] for h in held]) for i in range(3))
+            data = np.concatenate(strings)
+            begin = np.zeros(len(head), dtype=np.int64)
+            begin[~done] = offsets(head["size"][~done].astype(np.int64))[:-1]
             held.clear()
-            for a in range(0, len(out_part), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(out_part[a : a + 64], pa.int32()), pa.array(out_pack[a : a + 64], pa.binary())], ["part", "pack"])
+            strings.clear()
+            order = np.lexsort((done, part))
+            part, head, done, begin = part[order], head[order], done[order], begin[order]
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            squeeze, packs = zstandard.ZstdCompressor(level=3), []
+            for a, z in zip(cut.tolist(), cut[1:].tolist()):
+                mid = a + int((~done[a:z]).sum())
+                body = data[ranges(begin[a:mid], head["size"][a:mid].astype(np.int64))]
+                # Each field by itself: neighbours in it are alike.
+                fields = b"".join(np.ascontiguousarray(head[a:z][f]).tobytes() for f in HOLDER.names)
+                packs.append(squeeze.compress(struct.pack("<qq", z - a, mid - a) + fields + body.tobytes()))
+            for a in range(0, len(packs), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]][a : a + 64], pa.int32()), _binary(packs[a : a + 64])], ["part", "pack"])
 
+        size, turn = 0, 0
         for batch in text_slices(batches):
-            docs_of, keys_of = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
-            units = Units([t.encode("utf-8") for t in batch.column("text").to_pylist()], kind)
-            text, where, least = minimisers(units, window, gram)
+            lists = batch.column("_keys")
+            use = np.flatnonzero(np.asarray(batch.column("doc_id").is_valid()) & np.asarray(batch.column("text").is_valid()))
+            batch = batch.take(pa.array(use))
+            if not batch.num_rows:
+                continue
+            docs_of, keys_of, lists = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key")), batch.column("_keys")
+            units = Units(_texts(batch), kind)
+            runs = Runs(units, window, gram)
+            is_hot = np.isin(runs.least, hot.value)
+            short = runs.least >> SHORT
+            # A document's own flagged minimisers: compared as (text, minimiser) pairs.
+            many = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            own = np.repeat(np.arange(len(many), dtype=np.uint64), many), np.asarray(lists.flatten()).view(np.uint64)
+            tag = np.uint64(0x9E3779B97F4A7C15)
+            stays = is_hot | np.isin(mix64(short + runs.text.astype(np.uint64) * tag), mix64(own[1] + own[0] * tag))
+            text, first, n, least, is_hot = (x[stays] for x in (runs.text, runs.first, runs.many, runs.least, is_hot))
             if not len(text):
                 continue
-            is_hot = np.isin(least, hot.value) if len(hot.value) else np.zeros(len(least), dtype=bool)
-            new = np.ones(len(text), dtype=bool)
-            new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1]) | is_hot[1:]
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(text)))
-            start, end = units.span(where[first], many + window - 1)
-            bucket = least[first].copy()
-            alone = is_hot[first]
-            if alone.any():
-                bucket[alone] = range_hash(units.bytes, start[alone], end[alone])
-            part = (mix64(bucket) % np.uint64(parts)).astype(np.int64)
-            relative = where[first] - offsets(units.count)[text[first]]
-            best: dict[bytes, tuple[int, tuple, int]] = {}
-            data = units.data
-            rows = zip(docs_of[text[first]].tolist(), keys_of[text[first]].tolist(), relative.tolist(), (many + window - 1).tolist(), start.tolist(), end.tolist(), part.tolist())
-            for doc, key, rel, length, a, z, p in rows:
-                string = data[a:z]
-                mine = (doc, key, rel, length, z - a)
-                seen = best.get(string)
-                if seen is None:
-                    best[string] = (p, mine)
-                    continue
-                if doc == seen[1][0]:
-                    heads, strings, _ = held.setdefault(p, ([], [], []))
-                    heads.append(mine)
-                    strings.append(string)
-                    size += z - a
-                else:
-                    if doc < seen[1][0]:
-                        best[string] = (p, mine)
-                        mine = seen[1]
-                    turn = (turn + 1) % parts  # decided here: any bucket may pass it on
-                    held.setdefault(turn, ([], [], []))[2].append(mine)
-                    size += HOLDER.itemsize
-            for string, (p, mine) in best.items():
-                heads, strings, _ = held.setdefault(p, ([], [], []))
-                heads.append(mine)
-                strings.append(string)
-                size += mine[4]
+            times = np.where(is_hot, n, 1)  # hot runs go window by window
+            step = ranges(np.zeros(len(n), dtype=np.int64), times)
+            text, first, least, is_hot, n = (np.repeat(x, times) for x in (text, first, least, is_hot, np.where(is_hot, 1, n)))
+            first = first + step
+            start, end = units.span(first, n + window - 1)
+            if is_hot.any():
+                least[is_hot] = range_hash(units.bytes, start[is_hot], end[is_hot])
+            head = np.zeros(len(text), dtype=HOLDER)
+            head["doc"], head["key"], head["units"], head["size"] = docs_of[text], keys_of[text], n + window - 1, end - start
+            head["first"] = first - offsets(units.count)[text]
+            head["turn"] = (mix64(least) >> np.uint64(32)).astype(np.uint32)
+            part = (mix64(least ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+            # Of equal strings those of the least document stay; the others are decided, and any bucket may pass them on.
+            order, equal = _same_as_before(units.bytes, start, end - start, least)
+            group = np.cumsum(~equal) - 1
+            low = np.minimum.reduceat(head["doc"][order], np.flatnonzero(~equal))
+            done = np.zeros(len(text), dtype=bool)
+            done[order] = head["doc"][order] > low[group]
+            part[done] = (turn + np.arange(int(done.sum()))) % parts
+            turn += int(done.sum())
+            go = ~done
+            rows = np.concatenate([np.flatnonzero(go), np.flatnonzero(done)])
+            strings.append(units.bytes[ranges(start[go], (end - start)[go])])
+            held.append((part[rows], head[rows], done[rows]))
+            size += len(strings[-1]) + 8 * len(rows)
             if size >= FLUSH_BYTES:
                 yield from flush()
                 size = 0
@@ -296,70 +418,68 @@ def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
         expand = zstandard.ZstdDecompressor()
         for x in group.column("pack").to_pylist():
             raw = expand.decompress(x)
-            a, b = struct.unpack_from("<qq", raw)
-            heads.append(np.frombuffer(raw, dtype=HOLDER, count=a // HOLDER.itemsize, offset=16))
-            known.append(np.frombuffer(raw, dtype=HOLDER, count=b // HOLDER.itemsize, offset=16 + a))
-            body.append(raw[16 + a + b :])
-            del raw
-        head, done, text = np.concatenate(heads), np.concatenate(known), b"".join(body)
+            n, live = struct.unpack_from("<qq", raw)
+            head, at = np.zeros(n, dtype=HOLDER), 16
+            for f in HOLDER.names:
+                head[f] = np.frombuffer(raw, dtype=HOLDER[f], count=n, offset=at)
+                at += n * HOLDER[f].itemsize
+            heads.append(head[:live])
+            known.append(head[live:])
+            body.append(np.frombuffer(raw, dtype=np.uint8, offset=at))
+        head, done, data = np.concatenate(heads), np.concatenate(known), np.concatenate(body)
         del heads, known, body
         out = [(done["doc"], done["key"], done["first"].astype(np.int64), (done["first"] + done["units"]).astype(np.int64))]
-        begin = offsets(head["size"].astype(np.int64))
-        # Strings are taken in turns of bounded size; equal windows are in one turn, by their string's length of life: a turn is chosen by content.
-        for rows, at, end, owner, relative in turns(np.frombuffer(text, dtype=np.uint8), head, begin[:-1]):
-            doc = head["doc"][owner]
-            hit = least_documents(rows, at, end, doc) < doc
+        begin = offsets(head["size"].astype(np.int64))[:-1]
+        windows = int((head["units"].astype(np.int64) - window + 1).sum())
+        turns = max(1, -(-windows // SORT_WINDOWS))
+        for t in range(turns):
+            mine = np.flatnonzero(head["turn"] % turns == t) if turns > 1 else np.arange(len(head))
+            if not len(mine):
+                continue
+            some = head[mine]
+            text = data[ranges(begin[mine], some["size"].astype(np.int64))] if turns > 1 else data
+            at, end, owner, relative = windows_of(text, some)
+            doc = some["doc"][owner]
+            hit = least_documents(text, at, end, doc) < doc
             owner, relative = owner[hit], relative[hit]
-            unit = head["first"][owner].astype(np.int64) + relative
-            out.append((doc[hit], head["key"][owner], unit, unit + window))
-        doc, key, first, last = (np.concatenate([o[i] for o in out]) for i in range(4))
-        tables = list(merged(doc, key, first, last))
+            unit = some["first"][owner].astype(np.int64) + relative
+            out.append((doc[hit], some["key"][owner], unit, unit + window))
+        tables = list(merged(*(np.concatenate([o[i] for o in out]) for i in range(4))))
         return pa.Table.from_batches(tables) if tables else empty
 
-    def turns(data: np.ndarray, head: np.ndarray, begin: np.ndarray):
-        """The windows of a bucket: data, byte ranges, string numbers, place in the string."""
-        units = head["units"].astype(np.int64)
+    def windows_of(data: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of strings that lie one after the other: byte ranges, string numbers, places in the string."""
+        units, size = head["units"].astype(np.int64), head["size"].astype(np.int64)
+        begin = offsets(size)[:-1]
         many = units - window + 1
         owner = np.repeat(np.arange(len(head)), many)
         relative = ranges(np.zeros(len(head), dtype=np.int64), many)
         if kind == BYTES:
             at = begin[owner] + relative
-            yield data, at, at + window, owner, relative
-            return
-        blanks = np.flatnonzero(data == 32)
-        # Words of a string start at its begin and after each blank in it.
-        before = np.searchsorted(blanks, begin)
-        edge = begin + head["size"].astype(np.int64)
-        low = before[owner] + relative
-        padded = np.append(blanks, len(data))
-        at = np.where(relative == 0, begin[owner], padded[np.minimum(low - 1, len(blanks))] + 1)
-        stop = low + window - 1
-        end = np.where(relative + window == units[owner], edge[owner], padded[np.minimum(stop, len(blanks))])
-        yield data, at, end, owner, relative
+            return at, at + window, owner, relative
+        # Words begin at a string's start and after each blank in it; a string has units - 1 blanks.
+        starts = np.sort(np.concatenate([begin, np.flatnonzero(data == 32) + 1]))
+        word = (offsets(units)[:-1])[owner] + relative
+        last = word + window - 1
+        ends = np.append(starts[1:] - 1, len(data))
+        ends[offsets(units)[1:] - 1] = begin + size
+        return starts[word], ends[last], owner, relative
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
     empty = schema.empty_table()
-    packs = docs.select("doc_id", "text", "text_key").mapInArrow(pack, "part int, pack binary")
-    return packs.groupBy("part").applyInArrow(sort, RANGES)
-
-
-def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Which of n units lie in any of the ranges."""
-    step = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(step, first, 1)
-    np.add.at(step, last, -1)
-    return np.cumsum(step[:n]) > 0
-
-
-def with_ranges(docs: DataFrame, id_col: str, text_col: str, kind: str, window: int, gram: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, first, last of every row of ``docs`` (null arrays where nothing is repeated)."""
-    rows = keyed(docs, id_col, text_col)
-    found = repeated_ranges(rows, kind, window, gram)
-    found = found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set(F.arrays_zip("first", "last"))).alias("_runs"))
-    found = found.select("doc_id", "text_key", F.col("_runs.first").alias("_first"), F.col("_runs.last").alias("_last"))
-    if extra:
-        text = docs["`" + text_col + "`"].cast("string")
-        rows = docs.withColumns({"_qid": docs["`" + id_col + "`"].cast("long"), "_qkey": F.xxhash64(text, F.length(text))})
-        found = found.withColumnsRenamed({"doc_id": "_qid", "text_key": "_qkey"})
-        return rows.join(found, ["_qid", "_qkey"], "left").drop("_qid", "_qkey")
-    return rows.join(found, ["doc_id", "text_key"], "left")
+    # Both joins read the documents dealt by doc_id in the same form, so Spark makes that exchange once.
+    sent = docs.join(flagged, "doc_id", "left").select(*docs.columns, "_keys").mapInArrow(pack, "part int, pack binary")
+    runs = sent.groupBy("part").applyInArrow(sort, RANGES)
+    found = runs.groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "first", "last")).alias("found"))
+    return docs.join(found, "doc_id", "left").select(*docs.columns, "found")
+
+
+def covered(found: list | None, key: int, n: int) -> np.ndarray | None:
+    """Which of n units lie in any of the ranges found for this text; None if there are none."""
+    step = None
+    for f in found or ():
+        if f["text_key"] == key:
+            step = np.zeros(n + 1, dtype=np.int32) if step is None else step
+            np.add.at(step, f["first"], 1)
+            np.add.at(step, f["last"], -1)
+    return None if step is None else np.cumsum(step[:n]) > 0
