@@ -64,13 +64,12 @@ def merge_glossaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     items, in order. Entries that nothing is merged into stay as they are. Existing
     entries of one name all stay, and the last of them takes what comes in.
     """
-    old = existing.withColumns({"_src": F.lit(0), "_key": F.lower("english")})
-    new = incoming.withColumns({"_src": F.lit(1), "_key": F.lower("english")})
+    fields = ("english", "ru", "kind", "notes", "do_not_use", "aliases")
+    old, new = (rows.select(F.lit(src).alias("_src"), F.lower("english").alias("_key"), "ord", *fields) for src, rows in enumerate((existing, incoming)))
     last = old.groupBy("_key").agg(F.max("ord").alias("_last"))
     target = old.join(last, "_key")
     alone = target.where("ord != _last").drop("_last")
     both = target.where("ord = _last").drop("_last").unionByName(new)
-    fields = ("english", "ru", "kind", "notes", "do_not_use", "aliases")
     groups = both.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_src", "ord", *fields))).alias("_all"))
     head = F.col("_all")[0]
     notes = F.aggregate(F.slice("_all", 2, F.size("_all")), blank_to_null(head["notes"]), lambda acc, e: merge_notes(acc, e["notes"]))
