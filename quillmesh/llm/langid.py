@@ -150,15 +150,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def label(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word when every switch costs ``switch`` (Viterbi).
 
-    If no other language gains more than one switch's cost over the text's best on
-    any stretch, no switch can pay and the answer is that language throughout.
+    A path of m stretches off the text's best language has m - 1 switches or more;
+    if no language gains over half a switch's cost on any stretch, that cannot pay
+    for two stretches, and one stretch alone is no better than the best language.
     """
     n, k = scores.shape
     total = scores.sum(axis=0, dtype=np.float64)
     best = int(np.argmax(total))
     sums = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=sums[1:])
-    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch:
+    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch / 2:
         return np.full(n, best)
     back = np.empty((n, k), dtype=np.int16)
     now = scores[0].astype(np.float64)
