@@ -65,10 +65,16 @@ def random_strings(n: int, seed: int = 1) -> list[str]:
     return ["".join(draw.choices(ALPHABETS[i % len(ALPHABETS)], k=draw.randint(20, 48))) for i in range(n)]
 
 
+def likelihood(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
+    """Log-likelihood of each transition; where few were counted, that of the second character by itself."""
+    n = counts.reshape(N, N).astype(float)
+    alone = n.sum(axis=0) + 0.5
+    return np.log((n + weight * alone / alone.sum()) / (n.sum(axis=1, keepdims=True) + weight))
+
+
 def ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each transition, with one added to every count."""
-    logs = [np.log((c.reshape(N, N) + 1.0) / (c.reshape(N, N) + 1.0).sum(axis=1, keepdims=True)) for c in (secret, ordinary)]
-    return logs[0] - logs[1]
+    """Log-likelihood ratio of each transition."""
+    return likelihood(secret) - likelihood(ordinary)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> np.ndarray:
