@@ -25,7 +25,7 @@ TRAIN_DOCS, TRAIN_CHARS = 1_500, 4_000
 #: Hash buckets of n-grams, lengths of n-grams.
 BUCKETS, GRAMS = 1 << 17, (1, 2, 3, 4)
 #: Log-likelihood that a switch of language must outweigh, and the most that one word can say for a language.
-SWITCH, WORD_LIMIT = 12.0, 8.0
+SWITCH, WORD_LIMIT = 20.0, 8.0
 #: Words a Python worker remembers.
 REMEMBERED = 400_000
 UNKNOWN = "und"
@@ -150,30 +150,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def label(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word when every switch costs ``switch`` (Viterbi).
 
-    A path of m stretches off the text's best language has m - 1 switches or more;
-    if no language gains over half a switch's cost on any stretch, that cannot pay
-    for two stretches, and one stretch alone is no better than the best language.
+    The answer is the text's best language throughout, without a search, if neither
+    kind of other path can win. One that visits the best language pays at least one
+    switch for each stretch elsewhere, so no stretch may gain more than that; one
+    that never does pays at least one switch, so even the best word by word of the other
+    languages, less a switch, may not exceed the best language's total.
     """
     n, k = scores.shape
     total = scores.sum(axis=0, dtype=np.float64)
     best = int(np.argmax(total))
-    sums = np.zeros((n + 1, k))
-    np.cumsum(scores - scores[:, best : best + 1], axis=0, out=sums[1:])
-    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch / 2:
-        return np.full(n, best)
-    back = np.empty((n, k), dtype=np.int16)
-    now = scores[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(np.argmax(now))
-        moved = now[top] - switch > now
-        back[t] = np.where(moved, top, stay)
-        now = np.where(moved, now[top] - switch, now) + scores[t]
-    out = np.empty(n, dtype=np.int64)
-    out[-1] = int(np.argmax(now))
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    others = np.delete(scores, best, axis=1)
+    if k == 1 or others.max(axis=1).sum(dtype=np.float64) - switch <= total[best]:
+        sums = np.zeros((n + 1, k - 1))
+        np.cumsum(others - scores[:, best : best + 1], axis=0, out=sums[1:])
+        if k == 1 or (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch:
+            return np.full(n, best)
+    rows = scores.tolist()
+    now, before, floors = rows[0], [], []
+    for row in rows[1:]:
+        floor = max(now) - switch
+        before.append(now)
+        floors.append(floor)
+        now = [(v if v >= floor else floor) + s for v, s in zip(now, row)]
+    at = now.index(max(now))
+    out = [at]
+    for held, floor in zip(reversed(before), reversed(floors)):
+        if held[at] < floor:
+            at = held.index(floor + switch) if floor + switch in held else held.index(max(held))
+        out.append(at)
+    return np.array(out[::-1])
 
 
 class Labeller:
