@@ -113,7 +113,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.when(F.col("n") > 2 * train_docs, F.lit(2.0 * train_docs) / F.col("n")).otherwise(1.0)
     drawn = docs.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)).alias("draw"))
-    drawn = drawn.join(sizes.select("lang", share.alias("share")), "lang").where(F.col("draw") <= F.col("share") * (1 << 30))
+    # One row per language, as many as the model has columns.
+    drawn = drawn.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.col("draw") <= F.col("share") * (1 << 30))
     sample = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("nth") <= train_docs).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
