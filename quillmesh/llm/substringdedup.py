@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed
-from .superkmer import WORDS, covered, repeated_ranges
+from .superkmer import WORDS, without_repeats
 
 #: Words of a minimiser.
 GRAM = 6
@@ -29,20 +27,16 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_
     cannot clash; an empty table gives no rows.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, gone, kept = [], [], []
-            for text, key, found in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found"))):
-                words = (text or "").encode("utf-8").split()
-                n.append(len(words))
-                hit = covered(found, key, len(words))
-                if hit is not None:
-                    words = [words[i] for i in np.flatnonzero(~hit).tolist()]
-                gone.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    rows = repeated_ranges(keyed(docs, id_col, text_col), WORDS, window, min(GRAM, window))
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    def cut(b: pa.RecordBatch, hits) -> pa.RecordBatch:
+        n, gone, kept = [], [], []
+        for row, text in enumerate(b.column("text").to_pylist()):
+            words = (text or "").encode("utf-8").split()
+            n.append(len(words))
+            hit = hits(row, len(words))
+            if hit is not None:
+                words = [words[i] for i in np.flatnonzero(~hit).tolist()]
+            gone.append(n[-1] - len(words))
+            kept.append(b" ".join(words).decode("utf-8"))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return without_repeats(keyed(docs, id_col, text_col), WORDS, window, min(GRAM, window), cut, "doc_id long, n_words long, n_removed long, kept string")

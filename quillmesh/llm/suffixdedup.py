@@ -11,8 +11,6 @@ are the windows that repeat, exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, keyed
-from .superkmer import BYTES, covered, repeated_ranges
+from .superkmer import BYTES, without_repeats
 
 #: Bytes of the run by which suffixes are dealt out.
 GRAM = 24
@@ -28,13 +26,8 @@ GRAM = 24
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(text: str | None, key: int, found: list | None) -> tuple[int, int, int, bytes]:
-    raw = (text or "").encode("utf-8")
-    hit = covered(found, key, len(raw))
-    if hit is None:
-        return len(raw), 0, 0, raw
-    spans = int((hit & ~np.append(False, hit[:-1])).sum())
-    return len(raw), int(hit.sum()), spans, np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
+def _kept(raw: bytes, hit: np.ndarray | None) -> bytes:
+    return raw if hit is None else np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,15 +43,19 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_
     gives no rows.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                rows = [_cut(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found")))]
-                n, gone, spans, kept = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def cut(b: pa.RecordBatch, hits) -> pa.RecordBatch:
+        n, gone, spans, kept = [], [], [], []
+        for row, text in enumerate(b.column("text").to_pylist()):
+            raw = (text or "").encode("utf-8")
+            hit = hits(row, len(raw))
+            n.append(len(raw))
+            kept.append(_kept(raw, hit))
+            gone.append(len(raw) - len(kept[-1]))
+            spans.append(0 if hit is None else int((hit & ~np.append(False, hit[:-1])).sum()))
+        numbers = [pa.array(x, pa.int64()) for x in (n, gone, spans)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = repeated_ranges(keyed(docs, id_col, text_col), BYTES, window, min(GRAM, window))
-    return rows.mapInArrow(cut, CUT)
+    return without_repeats(keyed(docs, id_col, text_col), BYTES, window, min(GRAM, window), cut, CUT)
 
 
 def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,11 +68,12 @@ def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     rest = F.struct(column(docs, id_col).alias("id"), *(column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col))
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("text_key"), rest.alias("rest"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [None if t is None else _cut(t, k, f)[3].decode("utf-8", "ignore") if f else t for t, k, f in zip(*(b.column(c).to_pylist() for c in ("text", "text_key", "found")))]
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
+    def cut(b: pa.RecordBatch, hits) -> pa.RecordBatch:
+        kept = []
+        for row, t in enumerate(b.column("text").to_pylist()):
+            raw = (t or "").encode("utf-8")
+            kept.append(None if t is None else _kept(raw, hits(row, len(raw))).decode("utf-8", "ignore"))
+        return pa.RecordBatch.from_arrays([b.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
 
-    found = repeated_ranges(rows, BYTES, window, min(GRAM, window))
-    out = found.mapInArrow(cut, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]))
+    out = without_repeats(rows, BYTES, window, min(GRAM, window), cut, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]))
     return out.select(*((F.col("text") if c == text_col else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)))

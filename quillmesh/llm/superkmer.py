@@ -25,19 +25,20 @@ starts in a document of a smaller id.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow_schema
 
 from .common import mix64, offsets, ranges, text_slices
 
 #: Minimisers, and bytes of packed strings, that a map task holds before it sends them.
-FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 16_000_000
+FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 24_000_000
 #: Windows sorted at once in a bucket; a bucket of more is taken in turns by its minimisers.
 SORT_WINDOWS = 1_000_000
 #: Documents looked at for hot minimisers, and the share of them that makes one hot.
@@ -190,12 +191,12 @@ def least_documents(data: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.n
     return least
 
 
-def merged(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Unit ranges as one row per document: doc_id, text_key, first and last (exclusive), overlaps joined."""
+def merged(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unit ranges by document, with overlapping ones joined: doc, key, first, last (exclusive)."""
     order = np.lexsort((first, key, doc))
     doc, key, first, last = doc[order], key[order], first[order], last[order]
     if not len(doc):
-        return
+        return doc, key, first, last
     other = np.ones(len(doc), dtype=bool)
     other[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
     number = np.cumsum(other)
@@ -204,14 +205,45 @@ def merged(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray
     fresh = other.copy()
     fresh[1:] |= first[1:] > reach[:-1]
     at = np.flatnonzero(fresh)
-    ends = reach[np.append(at[1:], len(doc)) - 1]
-    heads = np.flatnonzero(other[at])
-    cut = np.append(heads, len(at)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (first[at], ends)]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[at][heads]), pa.array(key[at][heads]), *lists], ["doc_id", "text_key", "first", "last"])
+    return doc[at], key[at], first[at], reach[np.append(at[1:], len(doc)) - 1]
+
+
+def spark_xxhash64(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for longs, as unsigned numbers."""
+    one, two, three, four, five = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = turn(x.view(np.uint64) * two, 31) * one ^ (five + np.uint64(50))
+    h = turn(h, 27) * one + four
+    h ^= h >> np.uint64(33)
+    h *= two
+    h ^= h >> np.uint64(29)
+    h *= three
+    return h ^ h >> np.uint64(32)
+
+
+def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
+    """The home of each document: where its text and all that is found out about it meet."""
+    return np.mod(spark_xxhash64(doc).view(np.int64), homes)
+
+
+def by_home(columns: tuple[np.ndarray, ...], doc: np.ndarray, homes: int) -> pa.Table:
+    """home, pack: rows of number columns, packed by their document's home; as many rows as homes at most."""
+    home = home_of(doc, homes)
+    order = np.lexsort((*columns[::-1], home))
+    home, columns = home[order], tuple(c[order].astype(np.int64, copy=False) for c in columns)
+    cut = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(home)).tolist()
+    squeeze = zstandard.ZstdCompressor(level=3)
+    packs = [squeeze.compress(b"".join(c[a:z].tobytes() for c in columns)) for a, z in zip(cut, cut[1:])]
+    return pa.table({"home": pa.array(home[cut[:-1]].astype(np.int32)), "pack": _binary(packs)})
+
+
+def unpacked(packs: pa.Table, width: int) -> list[np.ndarray]:
+    """The number columns of all packs of a home."""
+    expand, parts = zstandard.ZstdDecompressor(), [np.zeros((width, 0), dtype=np.int64)]
+    parts += [np.frombuffer(expand.decompress(x), dtype=np.int64).reshape(width, -1) for x in packs.column("pack").to_pylist()]
+    return list(np.concatenate(parts, axis=1))
 
 
-RANGES = "doc_id long, text_key long, first array<int>, last array<int>"
 HOLDER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("units", "<i4"), ("size", "<i4"), ("turn", "<u4")])
 #: Of a minimiser's hash, what travels.
 SHORT = np.uint64(16)
@@ -225,9 +257,8 @@ def _binary(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
 
 
-def _hot_minimisers(docs: DataFrame, kind: str, window: int, gram: int) -> np.ndarray:
-    """Minimisers in over HOT_SHARE of about HOT_SAMPLE documents, 10,000 at most."""
-    n = docs.count()
+def _hot_minimisers(docs: DataFrame, n: int, kind: str, window: int, gram: int) -> np.ndarray:
+    """Minimisers in over HOT_SHARE of about HOT_SAMPLE of the n documents, 10,000 at most."""
     fraction = min(1.0, HOT_SAMPLE / max(n, 1))
     sample = docs.select("text").sample(False, fraction, 7) if fraction < 1 else docs.select("text")
 
@@ -250,9 +281,8 @@ def _hot_minimisers(docs: DataFrame, kind: str, window: int, gram: int) -> np.nd
     return np.array(sorted(hot), dtype=np.uint64)
 
 
-def _shared_minimisers(docs: DataFrame, kind: str, window: int, gram: int, hot) -> DataFrame:
-    """doc_id, keys: per document the (shortened) minimisers that another document has too; hot ones are left out."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _shared_minimisers(docs: DataFrame, parts: int, kind: str, window: int, gram: int, hot) -> DataFrame:
+    """home, pack: (document, shortened minimiser) pairs of minimisers that another document has too, by the document's home; hot ones are left out."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -302,14 +332,10 @@ def _shared_minimisers(docs: DataFrame, kind: str, window: int, gram: int, hot)
         many = np.diff(np.append(head, len(key)))
         more = np.repeat(np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), many)
         doc, key = doc[more], key[more]
-        order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.array(key.view(np.int64)))
-        return pa.table({"doc_id": pa.array(doc[head]), "keys": lists})
+        return by_home((doc, key), doc, parts)
 
     packs = docs.select("doc_id", "text").mapInArrow(send, "part int, pack binary")
-    return packs.groupBy("part").applyInArrow(meet, "doc_id long, keys array<long>").groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("_keys"))
+    return packs.groupBy("part").applyInArrow(meet, "home int, pack binary")
 
 
 def _same_as_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,19 +351,85 @@ def _same_as_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, least
     return order, equal
 
 
-def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """``docs`` (doc_id, text, text_key, ...) with found: an array of (text_key, first, last), or null.
+#: Bytes of text that share a home at most, on average.
+HOME_BYTES = 16 << 20
+
+
+def to_arrow_schema(schema) -> pa.Schema:
+    return _to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
+
+
+def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Callable[[pa.RecordBatch, Callable[[int, int], np.ndarray | None]], pa.RecordBatch], schema) -> DataFrame:
+    """``cut`` applied to all rows of ``docs`` (doc_id, text, text_key, ...), a batch at a time.
 
-    first and last are arrays of unit ranges covered by windows that a smaller
-    doc_id has too. Rows with a null id or text take no part.
+    ``cut(batch, hits)`` returns a batch of ``schema``; ``hits(row, n)`` tells which
+    of the row's n units lie in a window that a smaller doc_id has too, or None if
+    none does. Rows with a null id or text are never hit.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // HOME_BYTES))
     usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    hot = spark.sparkContext.broadcast(_hot_minimisers(usable, kind, window, gram))
-    flagged = _shared_minimisers(usable, kind, window, gram, hot)
+    hot = spark.sparkContext.broadcast(_hot_minimisers(usable, size["n"], kind, window, gram))
+    flagged = _shared_minimisers(usable, parts, kind, window, gram, hot)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def house(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by home, as compressed Arrow streams: text shrinks by more than half on its way."""
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            home = rows.column("home").to_numpy()
+            order = np.argsort(home, kind="stable")
+            rows, home = rows.drop_columns("home").take(pa.array(order)).combine_chunks(), home[order]
+            cut = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(home)).tolist()
+            squeeze = zstandard.ZstdCompressor(level=3)
+            for a, z in zip(cut, cut[1:]):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, rows.schema) as stream:
+                    stream.write_table(rows.slice(a, z - a))
+                yield pa.RecordBatch.from_arrays([pa.array([home[a]], pa.int32()), _binary([squeeze.compress(out.getvalue())])], ["home", "pack"])
+
+        size = 0
+        for batch in text_slices(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= FLUSH_BYTES:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    def opened(packs: pa.Table) -> list[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        return [b for x in packs.column("pack").to_pylist() for b in pa.ipc.open_stream(expand.decompress(x)).read_all().to_batches()]
+
+    def send(home: pa.Table, packs: pa.Table) -> pa.Table:
+        found = list(pack(opened(home), *unpacked(packs, 2)))
+        return pa.Table.from_batches(found) if found else pa.table({"part": pa.array([], pa.int32()), "pack": _binary([])})
+
+    def finish(home: pa.Table, packs: pa.Table) -> pa.Table:
+        doc, key, first, last = unpacked(packs, 4)
+        order = np.lexsort((key, doc))
+        doc, key, first, last = doc[order], key[order], first[order], last[order]
+        out = []
+        for batch in text_slices(opened(home)):
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+
+            def hits(row: int, n: int) -> np.ndarray | None:
+                if ids[row] is None or keys[row] is None:
+                    return None
+                a, z = int(np.searchsorted(doc, ids[row])), int(np.searchsorted(doc, ids[row], side="right"))
+                mine = np.arange(a, z)[key[a:z] == keys[row]]
+                return covered(first[mine], last[mine], n) if len(mine) else None
+
+            out.append(cut(batch, hits))
+        return pa.Table.from_batches(out) if out else empty_result
+
+    def pack(home: list[pa.RecordBatch], flag_doc: np.ndarray, flag_key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tag = np.uint64(0x9E3779B97F4A7C15)
+        flags = np.unique(mix64(flag_key.view(np.uint64) + flag_doc.view(np.uint64) * tag))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # part, holder, whether decided
         strings: list[np.ndarray] = []
 
@@ -364,22 +456,17 @@ def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]][a : a + 64], pa.int32()), _binary(packs[a : a + 64])], ["part", "pack"])
 
         size, turn = 0, 0
-        for batch in text_slices(batches):
-            lists = batch.column("_keys")
+        for batch in text_slices(home):
             use = np.flatnonzero(np.asarray(batch.column("doc_id").is_valid()) & np.asarray(batch.column("text").is_valid()))
             batch = batch.take(pa.array(use))
             if not batch.num_rows:
                 continue
-            docs_of, keys_of, lists = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key")), batch.column("_keys")
+            docs_of, keys_of = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
             units = Units(_texts(batch), kind)
             runs = Runs(units, window, gram)
             is_hot = np.isin(runs.least, hot.value)
             short = runs.least >> SHORT
-            # A document's own flagged minimisers: compared as (text, minimiser) pairs.
-            many = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            own = np.repeat(np.arange(len(many), dtype=np.uint64), many), np.asarray(lists.flatten()).view(np.uint64)
-            tag = np.uint64(0x9E3779B97F4A7C15)
-            stays = is_hot | np.isin(mix64(short + runs.text.astype(np.uint64) * tag), mix64(own[1] + own[0] * tag))
+            stays = is_hot | np.isin(mix64(short + docs_of.view(np.uint64)[runs.text] * tag), flags)
             text, first, n, least, is_hot = (x[stays] for x in (runs.text, runs.first, runs.many, runs.least, is_hot))
             if not len(text):
                 continue
@@ -444,8 +531,8 @@ def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
             owner, relative = owner[hit], relative[hit]
             unit = some["first"][owner].astype(np.int64) + relative
             out.append((doc[hit], some["key"][owner], unit, unit + window))
-        tables = list(merged(*(np.concatenate([o[i] for o in out]) for i in range(4))))
-        return pa.Table.from_batches(tables) if tables else empty
+        ranges_of = merged(*(np.concatenate([o[i] for o in out]) for i in range(4)))
+        return by_home(ranges_of, ranges_of[0], parts)
 
     def windows_of(data: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The windows of strings that lie one after the other: byte ranges, string numbers, places in the string."""
@@ -465,21 +552,18 @@ def repeated_ranges(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
         ends[offsets(units)[1:] - 1] = begin + size
         return starts[word], ends[last], owner, relative
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
-    empty = schema.empty_table()
-    # Both joins read the documents dealt by doc_id in the same form, so Spark makes that exchange once.
-    sent = docs.join(flagged, "doc_id", "left").select(*docs.columns, "_keys").mapInArrow(pack, "part int, pack binary")
-    runs = sent.groupBy("part").applyInArrow(sort, RANGES)
-    found = runs.groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "first", "last")).alias("found"))
-    return docs.join(found, "doc_id", "left").select(*docs.columns, "found")
-
-
-def covered(found: list | None, key: int, n: int) -> np.ndarray | None:
-    """Which of n units lie in any of the ranges found for this text; None if there are none."""
-    step = None
-    for f in found or ():
-        if f["text_key"] == key:
-            step = np.zeros(n + 1, dtype=np.int32) if step is None else step
-            np.add.at(step, f["first"], 1)
-            np.add.at(step, f["last"], -1)
-    return None if step is None else np.cumsum(step[:n]) > 0
+    empty_result = to_arrow_schema(schema).empty_table()
+    # Both meetings read the documents dealt by home in the same form, so Spark makes that exchange once.
+    home = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key", F.lit(0).cast("long"))), F.lit(parts).cast("long")).cast("int")
+    housed = docs.withColumn("home", home).mapInArrow(house, "home int, pack binary")
+    sent = housed.groupBy("home").cogroup(flagged.groupBy("home")).applyInArrow(send, "part int, pack binary")
+    runs = sent.groupBy("part").applyInArrow(sort, "home int, pack binary")
+    return housed.groupBy("home").cogroup(runs.groupBy("home")).applyInArrow(finish, schema)
+
+
+def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n units lie in any of the ranges."""
+    step = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, last, -1)
+    return np.cumsum(step[:n]) > 0
