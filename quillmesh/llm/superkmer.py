@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow_schema
 from .common import mix64, offsets, ranges, text_slices
 
 #: Minimisers, and bytes of packed strings, that a map task holds before it sends them.
-FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 24_000_000
+FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 16_000_000
 #: Windows sorted at once in a bucket; a bucket of more is taken in turns by its minimisers.
 SORT_WINDOWS = 1_000_000
 #: Documents looked at for hot minimisers, and the share of them that makes one hot.
@@ -373,40 +373,8 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
     hot = spark.sparkContext.broadcast(_hot_minimisers(usable, size["n"], kind, window, gram))
     flagged = _shared_minimisers(usable, parts, kind, window, gram, hot)
 
-    def house(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by home, as compressed Arrow streams: text shrinks by more than half on its way."""
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            home = rows.column("home").to_numpy()
-            order = np.argsort(home, kind="stable")
-            rows, home = rows.drop_columns("home").take(pa.array(order)).combine_chunks(), home[order]
-            cut = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(home)).tolist()
-            squeeze = zstandard.ZstdCompressor(level=3)
-            for a, z in zip(cut, cut[1:]):
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, rows.schema) as stream:
-                    stream.write_table(rows.slice(a, z - a))
-                yield pa.RecordBatch.from_arrays([pa.array([home[a]], pa.int32()), _binary([squeeze.compress(out.getvalue())])], ["home", "pack"])
-
-        size = 0
-        for batch in text_slices(batches):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= FLUSH_BYTES:
-                yield from flush()
-                size = 0
-        if held:
-            yield from flush()
-
-    def opened(packs: pa.Table) -> list[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        return [b for x in packs.column("pack").to_pylist() for b in pa.ipc.open_stream(expand.decompress(x)).read_all().to_batches()]
-
     def send(home: pa.Table, packs: pa.Table) -> pa.Table:
-        found = list(pack(opened(home), *unpacked(packs, 2)))
+        found = list(pack(home, *unpacked(packs, 2)))
         return pa.Table.from_batches(found) if found else pa.table({"part": pa.array([], pa.int32()), "pack": _binary([])})
 
     def finish(home: pa.Table, packs: pa.Table) -> pa.Table:
@@ -414,7 +382,7 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
         order = np.lexsort((key, doc))
         doc, key, first, last = doc[order], key[order], first[order], last[order]
         out = []
-        for batch in text_slices(opened(home)):
+        for batch in text_slices(home.to_batches()):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
 
             def hits(row: int, n: int) -> np.ndarray | None:
@@ -427,7 +395,7 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
             out.append(cut(batch, hits))
         return pa.Table.from_batches(out) if out else empty_result
 
-    def pack(home: list[pa.RecordBatch], flag_doc: np.ndarray, flag_key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pack(home: pa.Table, flag_doc: np.ndarray, flag_key: np.ndarray) -> Iterator[pa.RecordBatch]:
         tag = np.uint64(0x9E3779B97F4A7C15)
         flags = np.unique(mix64(flag_key.view(np.uint64) + flag_doc.view(np.uint64) * tag))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # part, holder, whether decided
@@ -456,7 +424,7 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]][a : a + 64], pa.int32()), _binary(packs[a : a + 64])], ["part", "pack"])
 
         size, turn = 0, 0
-        for batch in text_slices(home):
+        for batch in text_slices(home.to_batches()):
             use = np.flatnonzero(np.asarray(batch.column("doc_id").is_valid()) & np.asarray(batch.column("text").is_valid()))
             batch = batch.take(pa.array(use))
             if not batch.num_rows:
@@ -555,7 +523,7 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
     empty_result = to_arrow_schema(schema).empty_table()
     # Both meetings read the documents dealt by home in the same form, so Spark makes that exchange once.
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key", F.lit(0).cast("long"))), F.lit(parts).cast("long")).cast("int")
-    housed = docs.withColumn("home", home).mapInArrow(house, "home int, pack binary")
+    housed = docs.withColumn("home", home)
     sent = housed.groupBy("home").cogroup(flagged.groupBy("home")).applyInArrow(send, "part int, pack binary")
     runs = sent.groupBy("part").applyInArrow(sort, "home int, pack binary")
     return housed.groupBy("home").cogroup(runs.groupBy("home")).applyInArrow(finish, schema)
