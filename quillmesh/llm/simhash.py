@@ -31,18 +31,21 @@ LIST = 1024
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of lower-cased A-Z words: a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` lower-cased A-Z words, in order; of all words if they are fewer, none of no words."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    hash_of = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([hash_of(joined, seed)] if words else [], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.append(0, ends[:-1])
-    hash_of = xxhash.xxh64_intdigest
-    h = np.array([hash_of(joined[a:z], seed) for a, z in zip(starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")
+    return np.array([hash_of(joined[a:z], seed) for a, z in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of lower-cased A-Z words: a bit is set if it is in over half of the shingles' hashes."""
+    h = shingle_hashes(text, shingle, seed)
     votes = np.zeros(64, dtype=np.int64)
     for a in range(0, len(h), 65536):
         votes += np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmesh.llm import ann, bpe, components, langid, media, packing, queries, secrets, simhash, superkmer
+from quillmesh.llm import ann, bpe, components, langid, media, nearcopies, packing, queries, secrets, simhash, superkmer
 from quillmesh.llm.substringdedup import remove_repeated_words
 from quillmesh.llm.suffixdedup import dedup_texts, remove_repeated_bytes
 from quillmesh.llm.urlfilter import filter_urls
@@ -122,6 +122,39 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (20, 21)").count() == 0
 
 
+def test_near_copies_of_the_pipeline(spark, empty, monkeypatch):
+    import corpus_pipeline
+
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for g in range(30):  # originals, each with copies that 0 to 8 changed words put on both sides of 0.8
+        r = random.Random(g)
+        base = [r.choice(vocabulary) for _ in range(120)] + "all rights are reserved by their owners here".split() * (g % 3)
+        rows.append((10 * g, " ".join(base)))
+        for c in range(1, 9):
+            w = list(base)
+            for k in r.sample(range(120), c):
+                w[k] = "edit"
+            rows.append((10 * g + c, " ".join(w)))
+    rows += [(5, rows[40][1]), (None, rows[9][1]), (None, rows[9][1]), (None, "no other text is like this"), (900, None), (901, ""), (None, None)]
+    sets = [set(zip(*(w[k:] for k in range(5)))) or {tuple(w)} for w in ((t or "").lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    want = [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in set(group)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, home string").repartition(3)
+    for common in (3, 10**9):
+        monkeypatch.setattr(nearcopies, "COMMON", common)
+        kept = corpus_pipeline.near_copies(spark, docs, SF)
+        assert kept.columns == docs.columns
+        same(((i is None, i or 0) for i in (r["doc_id"] for r in kept.collect())), want)
+    assert 30 < len(want) < len(rows) - 50
+    assert corpus_pipeline.near_copies(spark, empty, SF).collect() == []
+
+
 def test_links_of_dense_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIST", 16)
     r = random.Random(3)
