@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -229,6 +230,29 @@ def test_packing(spark, empty):
     assert packing.pack_documents(empty, JSON, RANKS, P.PATTERN).collect() == []
 
 
+def test_pipeline_returns_tokens(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    coder = bpe.encoder(RANKS, P.PATTERN)
+    pieces = corpus_pipeline.packing(spark, docs, SF).collect()
+    by = {}
+    for r in sorted(pieces, key=lambda r: r["start"]):
+        by[r["doc_id"]] = by.get(r["doc_id"], b"") + bytes(r["ids"])
+    for r in docs.where("doc_id % 10 = 0 and not contains(text, '<|')").collect():
+        assert coder.decode(by[r["doc_id"]][:-4]) == (r["text"] or "").encode()
+    got = queries.op2_packing(spark, SF)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    same(map(tuple, got.collect()), [(r["doc_id"], r["start"], r["length"], zlib.crc32(bytes(r["ids"])), *r[4:]) for r in pieces])
+
+
+def test_narrow_ids_come_back():
+    for ids in ([], [0], [65535, 3], [65536], [1, 1 << 31]):
+        wide = np.array(ids, "<u4").tobytes()
+        assert packing.widen(packing.narrow(wide, len(ids)), len(ids)) == wide
+    assert len(packing.narrow(np.array([65535, 3], "<u4").tobytes(), 2)) == 4
+
+
 def test_knapsack():
     rng = np.random.default_rng(0)
     for _ in range(20):
