@@ -121,48 +121,48 @@ def fingerprint(recordings: DataFrame, id_col: str = "vec_id", audio_col: str =
     return recordings.select(column(recordings, id_col).cast("long").alias("id"), column(recordings, audio_col).cast("binary").alias("audio")).mapInArrow(run, "id long, prints array<long>")
 
 
-def best_alignment(flat: np.ndarray, start: np.ndarray, order: np.ndarray, query: np.ndarray, skip: np.ndarray) -> tuple[int, int, int, float] | None:
-    """The recording (by number) that aligns best with ``query``: number, offset, votes, bit error.
+def alignments(flat: np.ndarray, start: np.ndarray, order: np.ndarray, query: np.ndarray, skip: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Every recording (by number) that aligns with ``query``: number, offset, votes, bit error.
 
     ``flat`` holds all recordings' integers, ``start`` where each begins, ``order``
-    sorts ``flat``. Fewest bit errors first, then most votes, then the lower number.
+    sorts ``flat``. Of a recording's offsets with MIN_VOTES and at most MAX_ERROR
+    that of most votes counts, then the lower.
     """
     values = flat[order]
     low, high = np.searchsorted(values, query), np.searchsorted(values, query, side="right")
     hits = order[ranges(low, high - low)]
     if not len(hits):
-        return None
+        return []
     owner = np.searchsorted(start, hits, side="right") - 1
     offset = (hits - start[owner]) - np.repeat(np.arange(len(query)), high - low)
     wide = 1 << 32
     pair, votes = np.unique(owner * wide + (offset + wide // 2), return_counts=True)
     enough = (votes >= MIN_VOTES) & ~skip[pair // wide]
-    best = None
     pair, votes = pair[enough], votes[enough]
-    # One offset per recording: that of most votes.
-    rank = np.lexsort((pair, -votes, pair // wide))
-    first = np.ones(len(rank), dtype=bool)
-    first[1:] = (pair[rank] // wide)[1:] != (pair[rank] // wide)[:-1]
-    for i in rank[first].tolist():
+    out: dict[int, tuple[int, int, int, float]] = {}
+    for i in np.lexsort((pair, -votes, pair // wide)).tolist():
         k, off = int(pair[i] // wide), int(pair[i] % wide) - wide // 2
+        if k in out:
+            continue
         a, z = max(0, off), min(int(start[k + 1] - start[k]), len(query) + off)
         mine = flat[start[k] + a : start[k] + z] ^ query[a - off : z - off]
         error = float(np.bitwise_count(mine).sum()) / (32 * len(mine))
-        found = (error, -int(votes[i]), k, off)
-        if error <= MAX_ERROR and (best is None or found < best):
-            best = found
-    return None if best is None else (best[2], best[3], -best[1], best[0])
+        if error <= MAX_ERROR:
+            out[k] = (k, off, int(votes[i]), error)
+    return list(out.values())
 
 
-def align(prints: DataFrame, every: int = 100) -> DataFrame:
+def align(prints: DataFrame, every: int = 100, best_only: bool = False) -> DataFrame:
     """vec_id, n_prints, prints_crc32, class_id, match_id, match_offset, match_votes, match_error.
 
     Recordings of equal integers are one class, named by its least id; classes are
     searched, copies are not repeated. For each row whose id is divisible by
-    ``every`` the best alignment with another class is given (by bit errors, then
-    votes, then id), or nulls if none has MIN_VOTES shared integers at one offset and at most
-    MAX_ERROR differing bits; other rows have nulls. ``match_offset`` is the frame of the match at
-    which the query begins. Recordings without integers, and null ids, match nothing.
+    ``every`` each alignment with another class is given, a row for each: all classes
+    that have MIN_VOTES shared integers at one offset and at most MAX_ERROR differing
+    bits there, or one row of nulls if none has; other rows have nulls. With ``best_only``
+    the best of them alone is given (by bit errors, then votes, then id). ``match_id`` is
+    a class: its copies are the rows of that class_id. ``match_offset`` is the frame of the
+    match at which the query begins. Recordings without integers, and null ids, match nothing.
     Repeated rows are answered alike. An empty table gives no rows.
     """
     text = F.array_join("prints", ",")
@@ -181,17 +181,18 @@ def align(prints: DataFrame, every: int = 100) -> DataFrame:
             start = offsets(np.array([len(x) for x in lists]))
             order = np.argsort(flat, kind="stable")
             for qid, q in zip(queries.column("class_id").to_pylist(), queries.column("prints").to_pylist()):
-                found = best_alignment(flat, start, order, np.array(q, dtype=np.uint32), ids == qid)
-                if found:
-                    out.append((qid, int(ids[found[0]]), *found[1:]))
+                found = alignments(flat, start, order, np.array(q, dtype=np.uint32), ids == qid)
+                out += [(qid, int(ids[f[0]]), *f[1:]) for f in found]
         kinds = (("class_id", pa.int64()), ("match_id", pa.int64()), ("match_offset", pa.int64()), ("match_votes", pa.int64()), ("match_error", pa.float64()))
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds)})
 
     found = search_blocks(classes.select("class_id", "prints"), checkpointed(asked), "class_id", search, "class_id long, match_id long, match_offset long, match_votes long, match_error double")
-    best = found.groupBy("class_id").agg(F.min(F.struct("match_error", -F.col("match_votes"), "match_id", "match_offset", "match_votes")).alias("b"))
-    best = best.select("class_id", "b.match_id", "b.match_offset", "b.match_votes", "b.match_error").withColumnRenamed("class_id", "_c")
+    if best_only:
+        found = found.groupBy("class_id").agg(F.min(F.struct("match_error", -F.col("match_votes"), "match_id", "match_offset", "match_votes")).alias("b"))
+        found = found.select("class_id", "b.match_id", "b.match_offset", "b.match_votes", "b.match_error")
+    found = found.withColumnRenamed("class_id", "_c")
     named = rows.join(classes.select("digest", "class_id"), "digest", "left")
-    joined = named.join(best, (named["class_id"] == best["_c"]) & (named["id"] % every == 0), "left")
+    joined = named.join(found, (named["class_id"] == found["_c"]) & (named["id"] % every == 0), "left")
     return joined.select(F.col("id").alias("vec_id"), F.size("prints").cast("long").alias("n_prints"), "prints_crc32", "class_id", "match_id", "match_offset", "match_votes", "match_error")
 
 

@@ -77,7 +77,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings rendered from ``embeddings`` (there is no media table): fingerprints of all, alignments of every hundredth."""
+    """Recordings rendered from ``embeddings`` (there is no media table): fingerprints of all, all alignments of every hundredth."""
     return media.align(media.fingerprint(media.render(table(spark, sf_dir, "embeddings"))))
 
 

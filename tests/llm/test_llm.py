@@ -396,6 +396,43 @@ def test_media(spark):
     assert media.align(prints.limit(0)).collect() == []
 
 
+def test_media_gives_every_alignment(spark):
+    rng = np.random.default_rng(8)
+    base, other = (rng.integers(0, 1 << 32, 200, dtype=np.uint32) for _ in range(2))
+
+    def noisy(x, flips):
+        x = x.copy()
+        for k in rng.choice(len(x), flips, replace=False):
+            x[k] ^= np.uint32(1 << int(rng.integers(32)))
+        return x
+
+    # Seven integers of base at one offset, where the rest differs, outvote the five at the offset that aligns.
+    decoy = np.concatenate([noisy(base, 195), base[:7], other[:60]])
+    lists = {0: base, 1: noisy(base, 20), 2: noisy(base, 40), 3: base[50:120], 4: noisy(base, 40)[10:], 5: other, 6: decoy, 7: base[:3]}
+    lists |= {8: lists[1], 100: noisy(base, 30), 200: lists[2], 300: rng.integers(0, 1 << 32, 50, dtype=np.uint32)}
+    rows = [(k, [int(i) for i in v]) for k, v in lists.items()]
+    prints = spark.createDataFrame(rows, "id long, prints array<long>").repartition(3)
+    name = {k: min(j for j in lists if lists[j].tolist() == v.tolist()) for k, v in lists.items()}
+    want = {}
+    for q in (0, 100, 200, 300):
+        for m in set(name.values()) - {name[q]}:
+            x, y, found = lists[q], lists[m], []
+            for off in range(-len(x), len(y)):
+                a, z = max(0, off), min(len(y), len(x) + off)
+                votes = int((x[a - off : z - off] == y[a:z]).sum())
+                error = float(np.bitwise_count(x[a - off : z - off] ^ y[a:z]).sum()) / (32 * max(1, z - a))
+                if votes >= media.MIN_VOTES and error <= media.MAX_ERROR:
+                    found.append((-votes, off, error))
+            if found:
+                want[q, m] = (min(found)[1], -min(found)[0], min(found)[2])
+    got = media.align(prints).collect()
+    assert {(r["vec_id"], r["match_id"]): (r["match_offset"], r["match_votes"], r["match_error"]) for r in got if r["match_id"] is not None} == want
+    assert len(got) == len(want) + len(rows) - len({q for q, _ in want}) and (0, 6) in want and len(want) > 12
+    best = {r["vec_id"]: r for r in media.align(prints, best_only=True).collect()}
+    assert len(best) == len(rows)
+    assert all(best[q]["match_error"] == min(v[2] for (p, _), v in want.items() if p == q) for q in (0, 100, 200))
+
+
 def test_integral_image():
     chroma = np.random.default_rng(7).random((20, 12))
     plain = []
