@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,6 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # the GNU C library has it
+except (AttributeError, OSError):
+    _TRIM = None
+
 #: Text handled at once inside a Python worker, in characters.
 SLICE_CHARS = 400_000
 
@@ -24,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset and Spark runs in one process, a temporary folder is set; on a
+    cluster that is an error, as no folder of one machine would do.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         folder = f"{tempfile.gettempdir()}/quillmesh-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -62,6 +70,13 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterat
             yield batch.slice(a, b - a)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one keeps another task cannot have."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     """Starts of runs of these lengths, with the total at the end."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
@@ -69,6 +84,12 @@ def offsets(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Each value once, ascending."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each run, one run after the other."""
     at = offsets(lengths)

@@ -1,12 +1,14 @@
 """Suffix-array dedup: a radix sort of suffixes by most significant digits, only as deep as the threshold.
 
-Suffixes are dealt out by the smallest hashed 24-byte run within the threshold (a
-digit that equal windows share, wherever it lies in them): the first pass drops
-those whose digit no other document has, and neighbouring suffixes of a text share
-one packed string; see ``superkmer``. There each further pass
-orders the suffixes still in play by their next eight bytes and drops those that
-have become unique or lie in one document only. Groups left after the last pass
-are the windows that repeat, exactly.
+The first digit of a suffix is the least hashed 24-byte run within the threshold,
+which equal windows share wherever it lies in them: it deals the suffixes out, and
+those whose digit no other document has are dropped before any text moves. So
+neighbouring suffixes of a text share one packed string; see ``superkmer``. Dealt by
+their leading bytes each would have to move its 50 bytes by itself. In a
+bucket every further pass is a counting sort of the suffixes still in play by their
+next two bytes, from the first bytes to the threshold; those that have become unique,
+or lie in one document only, drop out. The groups left after the last pass are the
+windows that repeat, exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, keyed
-from .superkmer import BYTES, without_repeats
+from .superkmer import BYTES, least_of_groups, split_groups, without_repeats
 
 #: Bytes of the run by which suffixes are dealt out.
 GRAM = 24
@@ -26,6 +28,23 @@ GRAM = 24
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def equal_suffixes(data: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each suffix, cut off at ``end``, the least document among the equal ones of its group (its own, if none is equal).
+
+    All are cut off at one depth. A digit is two bytes; a pass sorts stably by it (numpy counts 16-bit keys) and then by the groups so far.
+    """
+    rows, depth = np.arange(len(at)), int(end[0] - at[0]) if len(at) else 0
+    for k in range(0, depth, 2):
+        place = at[rows] + k
+        key = data[place].astype(np.uint16) << np.uint16(8)
+        if k + 1 < depth:
+            key |= data[place + 1]
+        rows, group = split_groups(rows, group[rows] if not k else group, key, doc)
+        if not len(rows):
+            break
+    return least_of_groups(doc, rows, group)
+
+
 def _kept(raw: bytes, hit: np.ndarray | None) -> bytes:
     return raw if hit is None else np.frombuffer(raw, dtype=np.uint8)[~hit].tobytes()
 
@@ -55,7 +74,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_
         numbers = [pa.array(x, pa.int64()) for x in (n, gone, spans)]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return without_repeats(keyed(docs, id_col, text_col), BYTES, window, min(GRAM, window), cut, CUT)
+    return without_repeats(keyed(docs, id_col, text_col), BYTES, window, min(GRAM, window), cut, CUT, equal_suffixes)
 
 
 def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,5 +94,5 @@ def dedup_texts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
             kept.append(None if t is None else _kept(raw, hits(row, len(raw))).decode("utf-8", "ignore"))
         return pa.RecordBatch.from_arrays([b.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
 
-    out = without_repeats(rows, BYTES, window, min(GRAM, window), cut, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]))
+    out = without_repeats(rows, BYTES, window, min(GRAM, window), cut, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]), equal_suffixes)
     return out.select(*((F.col("text") if c == text_col else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)))

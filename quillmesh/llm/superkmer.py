@@ -1,22 +1,24 @@
 """Windows dealt out as super-k-mers, and the sorting that finds equal ones.
 
 Units are words or bytes. Every window of ``window`` units has a minimiser: the
-smallest hash among its runs of ``gram`` units. Equal windows have equal
-minimisers, so they meet in one bucket; consecutive windows of one minimiser
-travel there as one packed string instead of one string each.
-
-* A first pass sends minimisers alone (six bytes each). A window whose minimiser
-  occurs in one document only cannot repeat in another, and goes no further. The
-  hashes only ever rule windows out; what is equal is decided on the bytes.
-* Of equal strings in a batch only the one of the smallest document travels; for
-  the others the answer is known at once. A group of copies, however large, so
-  sends one string per batch.
-* Minimisers that a sample shows to be hot do not get one bucket: their windows
-  travel singly, dealt by a hash of their whole content. The sample only balances
-  the load; which windows are equal does not depend on it.
-* In a bucket windows are sorted by most-significant digits of eight bytes; after
-  each pass only groups of two or more that span two documents go on. What is left
-  after the last digit is equal, byte for byte.
+least hash among its runs of ``gram`` units. Equal windows have equal minimisers,
+so they meet in one bucket; consecutive windows of one minimiser travel there as
+one packed string instead of one string each.
+
+* Documents are dealt to homes by a hash of their id. A home first sends its
+  distinct minimisers alone (six bytes each) and is told, a bit for each, which
+  occur in another document too. A window whose minimiser does not goes no further.
+  The hashes only ever rule windows out; what is equal is decided on the bytes.
+* Grams that a sample shows to be frequent come last in the order, so a window that
+  touches a frequent passage has a minimiser of its own surroundings, and only those
+  within it share one. Which windows are equal does not depend on the sample.
+* Of equal strings in a home only the one of the smallest document travels; for the
+  others the answer is known at once. A bucket does the same with what it gets. A
+  group of copies, however large, so sends one string per home.
+* In a bucket, strings of a minimiser that only one document is left with are done.
+  The windows of the others are sorted by most-significant digits; after each pass
+  only groups of two or more that span two documents go on. What is left after the
+  last digit is equal, byte for byte.
 
 The result is, per document, the runs of units which a window covers that also
 starts in a document of a smaller id.
@@ -24,44 +26,53 @@ starts in a document of a smaller id.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow_schema
 
-from .common import mix64, offsets, ranges, text_slices
+from .common import distinct, mix64, offsets, ranges, text_slices, tidy
 
-#: Minimisers, and bytes of packed strings, that a map task holds before it sends them.
-FLUSH_KEYS, FLUSH_BYTES = 1_500_000, 16_000_000
-#: Windows sorted at once in a bucket; a bucket of more is taken in turns by its minimisers.
-SORT_WINDOWS = 1_000_000
-#: Documents looked at for hot minimisers, and the share of them that makes one hot.
-HOT_SAMPLE, HOT_SHARE = 4_000, 0.01
+#: Bytes of text that share a home, on average.
+HOME_BYTES = 16 << 20
+#: Documents looked at for frequent grams, at least; documents there that make one frequent; bits of the table of frequent grams, and most of these.
+HOT_SAMPLE, HOT_DOCS, HOT_BITS, HOT_MOST = 4_000, 5, 22, 400_000
+#: Windows of a bucket sorted at once; more are taken in turns by their minimisers.
+SORT_WINDOWS = 400_000
 
 WORDS, BYTES = "words", "bytes"
+#: Space and 0x09-0x0D part words.
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 class Units:
-    """The units of some texts, one text after the other."""
+    """The units of some texts (a string or binary array without nulls), one text after the other."""
 
-    def __init__(self, texts: list[bytes], kind: str):
+    def __init__(self, texts: pa.Array, kind: str):
         self.kind = kind
         if kind == WORDS:
-            words = [t.split() for t in texts]
-            self.count = np.array([len(w) for w in words], dtype=np.int64)
-            flat = [x for w in words for x in w]
-            self.data = b" ".join(flat)
-            self.start = offsets(np.array([len(x) + 1 for x in flat], dtype=np.int64))
+            data = np.frombuffer(b"".join(x + b" " for x in texts.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+            size = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
+            blank = _BLANK[data]
+            last = blank.copy()  # the blank right after a word
+            last[1:] &= ~blank[:-1]
+            last[:1] = False
+            keep = ~blank | last
+            self.bytes = np.where(blank, np.uint8(32), data)[keep]
+            self.start = np.append(0, np.flatnonzero(self.bytes == 32) + 1)  # where words begin, and the end
+            self.count = np.diff(np.append(0, np.cumsum(last)[np.cumsum(size) - 1])) if len(size) else np.zeros(0, dtype=np.int64)
         else:
-            self.count = np.array([len(t) for t in texts], dtype=np.int64)
-            self.data = b"".join(texts)
-        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+            texts = texts.cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            self.count = np.diff(ends)
+            body = texts.buffers()[2]
+            self.bytes = np.frombuffer(body, dtype=np.uint8)[ends[0] : ends[-1]] if body is not None and len(texts) else np.zeros(0, dtype=np.uint8)
 
     def codes(self) -> np.ndarray:
         """A 64-bit number per unit; equal units have equal ones."""
@@ -129,9 +140,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of consecutive windows of one text with one minimiser: text number, first unit, windows, minimiser's hash."""
+    """Runs of consecutive windows of one text with one minimiser: text number, first unit, windows, minimiser's hash.
+
+    ``hot`` tells by the leading bits of a gram's hash whether it comes last in the order.
+    """
 
-    def __init__(self, units: Units, window: int, gram: int):
+    def __init__(self, units: Units, window: int, gram: int, hot: np.ndarray | None = None):
         at = offsets(units.count)
         many = np.maximum(units.count - window + 1, 0)
         n = int(at[-1]) - window + 1
@@ -139,7 +153,11 @@ class Runs:
         self.least = np.zeros(0, dtype=np.uint64)
         if n <= 0 or not many.any():
             return
-        least = sliding_min(gram_hash(units.codes(), gram), window - gram + 1)[:n]
+        grams = gram_hash(units.codes(), gram)
+        if hot is not None:
+            grams >>= np.uint64(1)
+            grams |= hot.take((grams >> np.uint64(63 - HOT_BITS)).view(np.int64)).astype(np.uint64) << np.uint64(63)
+        least = sliding_min(grams, window - gram + 1)[:n]
         new = np.empty(n + 1, dtype=bool)
         new[0] = new[n] = True
         np.not_equal(least[1:], least[:-1], out=new[1:n])
@@ -165,7 +183,8 @@ def digit(view: np.ndarray, at: np.ndarray, end: np.ndarray, k: int) -> np.ndarr
 def split_groups(rows: np.ndarray, group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: rows sorted by (group, key); only new groups that span two documents stay."""
     order = np.argsort(key, kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
+    by = group[order]
+    order = order[np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")]
     rows, group, key = rows[order], group[order], key[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
@@ -177,20 +196,26 @@ def split_groups(rows: np.ndarray, group: np.ndarray, key: np.ndarray, doc: np.n
     return rows[ranges(first[size > 0], size[size > 0])], np.repeat(np.arange((size > 0).sum()), size[size > 0])
 
 
-def least_documents(data: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window the least document among the equal windows here (its own, if none is equal)."""
-    view, size, least = view64(data), end - at, doc.copy()
-    rows, group = split_groups(np.arange(len(at)), size, digit(view, at, end, 0), doc)
-    k = 1
-    while len(rows) and 8 * k < int(size[rows].max()):
-        rows, group = split_groups(rows, group, digit(view, at[rows], end[rows], k), doc)
-        k += 1
+def least_of_groups(doc: np.ndarray, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the least document of its group (its own, if it is in none)."""
+    least = doc.copy()
     if len(rows):
         heads = np.flatnonzero(np.diff(group, prepend=-1))
         least[rows] = np.repeat(np.minimum.reduceat(doc[rows], heads), np.diff(np.append(heads, len(rows))))
     return least
 
 
+def least_documents(data: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each byte range the least document among the equal ranges of its group here (its own, if none is equal)."""
+    view, size = view64(data), end - at
+    rows, group = split_groups(np.arange(len(at)), group, size.astype(np.uint64), doc)
+    k = 0
+    while len(rows) and 8 * k < int(size[rows].max()):
+        rows, group = split_groups(rows, group, digit(view, at[rows], end[rows], k), doc)
+        k += 1
+    return least_of_groups(doc, rows, group)
+
+
 def merged(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unit ranges by document, with overlapping ones joined: doc, key, first, last (exclusive)."""
     order = np.lexsort((first, key, doc))
@@ -226,159 +251,338 @@ def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
     return np.mod(spark_xxhash64(doc).view(np.int64), homes)
 
 
-def by_home(columns: tuple[np.ndarray, ...], doc: np.ndarray, homes: int) -> pa.Table:
-    """home, pack: rows of number columns, packed by their document's home; as many rows as homes at most."""
-    home = home_of(doc, homes)
-    order = np.lexsort((*columns[::-1], home))
-    home, columns = home[order], tuple(c[order].astype(np.int64, copy=False) for c in columns)
-    cut = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(home)).tolist()
-    squeeze = zstandard.ZstdCompressor(level=3)
-    packs = [squeeze.compress(b"".join(c[a:z].tobytes() for c in columns)) for a, z in zip(cut, cut[1:])]
-    return pa.table({"home": pa.array(home[cut[:-1]].astype(np.int32)), "pack": _binary(packs)})
+#: What a packed string is known by: document, text, first unit, units, bytes, minimiser.
+HOLDER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("units", "<i4"), ("size", "<i4"), ("least", "<u8")])
+#: Bits of a minimiser's hash that do not travel in the first pass.
+SHORT = np.uint64(16)
+
 
+def _binary(chunks: list[bytes]) -> pa.Array:
+    return pa.array(chunks, pa.binary())
 
-def unpacked(packs: pa.Table, width: int) -> list[np.ndarray]:
-    """The number columns of all packs of a home."""
-    expand, parts = zstandard.ZstdDecompressor(), [np.zeros((width, 0), dtype=np.int64)]
-    parts += [np.frombuffer(expand.decompress(x), dtype=np.int64).reshape(width, -1) for x in packs.column("pack").to_pylist()]
-    return list(np.concatenate(parts, axis=1))
 
+def to_arrow_schema(schema) -> pa.Schema:
+    return _to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
 
-HOLDER = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("units", "<i4"), ("size", "<i4"), ("turn", "<u4")])
-#: Of a minimiser's hash, what travels.
-SHORT = np.uint64(16)
 
+def cuts(sorted_values: np.ndarray) -> list[int]:
+    """Where each value of a sorted array begins, and the end."""
+    return np.append(np.flatnonzero(np.diff(sorted_values, prepend=-1)), len(sorted_values)).tolist()
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.encode("utf-8") for t in batch.column("text").to_pylist()]
 
+class Splitter:
+    """Sizes, alphabet and the order of grams: what the tasks of one job share."""
 
-def _binary(chunks: list[bytes]) -> pa.Array:
-    return pa.array(chunks, pa.binary())
+    def __init__(self, kind: str, window: int, gram: int, parts: int, hot: np.ndarray | None):
+        self.kind, self.window, self.gram, self.parts, self.hot = kind, window, gram, parts, hot
+        self._table: np.ndarray | None = None
 
+    def runs(self, home: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, Units, Runs]]:
+        """Ids, keys, units and runs of a home's texts, a slice at a time."""
+        if self.hot is not None and self._table is None:
+            self._table = np.zeros(1 << HOT_BITS, dtype=np.uint8)
+            self._table[self.hot] = 1
+        for batch in text_slices(home.to_batches()):
+            batch = batch.filter(pc.and_(batch.column("doc_id").is_valid(), batch.column("text").is_valid()))
+            if batch.num_rows:
+                units = Units(batch.column("text"), self.kind)
+                yield np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key")), units, Runs(units, self.window, self.gram, self._table)
+
+    def asked(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shortened minimisers, those of one bucket together and ascending, and their buckets."""
+        key = distinct(key)
+        part = (mix64(key) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        return key[order], part[order]
+
+
+def ask(split: Splitter, home: pa.Table) -> pa.Table:
+    """A home's distinct minimisers, and which of them two of its documents have, by bucket."""
+    docs, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for ids, _, _, runs in split.runs(home):
+        docs.append(ids[runs.text])
+        keys.append(runs.least >> SHORT)
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    doc, key = doc[order], key[order]
+    head = np.flatnonzero(np.diff(key, prepend=np.uint64(1) << np.uint64(63)) != 0)
+    both = np.zeros(0, dtype=np.uint64)
+    if len(key):
+        both = key[head][np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)]
+    key, part = split.asked(key)
+    at, number = cuts(part), home.column("home")[0].as_py() if home.num_rows else 0
+    twice = np.zeros(len(key), dtype=bool)
+    if len(both):
+        twice = both[np.minimum(np.searchsorted(both, key), len(both) - 1)] == key
+    squeeze, packs = zstandard.ZstdCompressor(level=1), []
+    for a, z in zip(at, at[1:]):
+        planes = key[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+        packs.append(squeeze.compress(np.ascontiguousarray(planes).tobytes()) + np.packbits(twice[a:z]).tobytes())
+    many = np.diff(at)
+    tidy()
+    return pa.table({"part": pa.array(part[at[:-1]], pa.int32()), "home": pa.array(np.full(len(packs), number), pa.int32()), "n": pa.array(many, pa.int32()), "pack": _binary(packs)})
+
+
+def answer(group: pa.Table) -> pa.Table:
+    """For each home that asked a bucket, a bit per minimiser: whether another document has it too."""
+    expand = zstandard.ZstdDecompressor()
+    many = group.column("n").to_numpy().astype(np.int64)
+    at = offsets(many)
+    key, twice = np.zeros((int(at[-1]), 8), dtype=np.uint8), np.zeros(int(at[-1]), dtype=bool)
+    for x, n, a in zip(group.column("pack").to_pylist(), many.tolist(), at.tolist()):
+        bits = -(-n // 8)
+        key[a : a + n, :6] = np.frombuffer(expand.decompress(x[: len(x) - bits]), dtype=np.uint8).reshape(6, n).T
+        twice[a : a + n] = np.unpackbits(np.frombuffer(x[len(x) - bits :], dtype=np.uint8), count=n)
+    key = key.view("<u8").ravel()
+    order = np.argsort(key)
+    same = key[order]
+    same = same[1:] == same[:-1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    # A minimiser that one home has twice is alone there, or marked above with its equals.
+    bits = [np.packbits(twice[a:z]).tobytes() for a, z in zip(at.tolist(), at[1:].tolist())]
+    part = group.column("part").combine_chunks()
+    out = pa.table({"home": group.column("home").combine_chunks(), "part": part, "bits": _binary(bits)})
+    del key, twice, order, same
+    tidy()
+    return out
 
-def _hot_minimisers(docs: DataFrame, n: int, kind: str, window: int, gram: int) -> np.ndarray:
-    """Minimisers in over HOT_SHARE of about HOT_SAMPLE of the n documents, 10,000 at most."""
-    fraction = min(1.0, HOT_SAMPLE / max(n, 1))
-    sample = docs.select("text").sample(False, fraction, 7) if fraction < 1 else docs.select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, many = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        for part in text_slices(batches):
-            runs = Runs(Units(_texts(part), kind), window, gram)
-            order = np.lexsort((runs.text, runs.least))
-            text, least = runs.text[order], runs.least[order]
-            once = np.ones(len(text), dtype=bool)
-            once[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
-            both = np.concatenate([value, least[once]])
-            value, back = np.unique(both, return_inverse=True)
-            many = np.bincount(back, weights=np.concatenate([many, np.ones(once.sum())]), minlength=len(value))
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(many.astype(np.int64))], ["h", "n"])
-
-    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    floor = max(10, HOT_SHARE * min(n, HOT_SAMPLE))
-    hot = [r["h"] & 0xFFFFFFFFFFFFFFFF for r in found.where(F.col("n") >= floor).orderBy(F.desc("n")).limit(10_000).collect()]
-    return np.array(sorted(hot), dtype=np.uint64)
-
-
-def _shared_minimisers(docs: DataFrame, parts: int, kind: str, window: int, gram: int, hot) -> DataFrame:
-    """home, pack: (document, shortened minimiser) pairs of minimisers that another document has too, by the document's home; hot ones are left out."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            doc, key = (np.concatenate([h[i] for h in held]) for i in range(2))
-            held.clear()
-            part = (mix64(key) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key, doc, part))
-            doc, key, part = doc[order], key[order], part[order]
-            once = np.ones(len(doc), dtype=bool)
-            once[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-            doc, key, part = doc[once], key[once], part[once]
-            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            squeeze = zstandard.ZstdCompressor(level=1)
-            six = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            packs = [squeeze.compress(doc[a:z].tobytes() + six[a:z].tobytes()) for a, z in zip(cut.tolist(), cut[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), _binary(packs)], ["part", "pack"])
-
-        size = 0
-        for batch in text_slices(batches):
-            runs = Runs(Units(_texts(batch), kind), window, gram)
-            cold = ~np.isin(runs.least, hot.value)
-            held.append((np.asarray(batch.column("doc_id"))[runs.text[cold]], runs.least[cold] >> SHORT))
-            size += int(cold.sum())
-            if size >= FLUSH_KEYS:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def meet(group: pa.Table) -> pa.Table:
-        docs_of, keys = [], []
-        expand = zstandard.ZstdDecompressor()
-        for x in group.column("pack").to_pylist():
-            raw = expand.decompress(x)
-            n = len(raw) // 14
-            docs_of.append(np.frombuffer(raw, dtype="<i8", count=n))
-            wide = np.zeros((n, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, 6)
-            keys.append(wide.view("<u8").ravel())
-        doc, key = np.concatenate(docs_of), np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        doc, key = doc[order], key[order]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        many = np.diff(np.append(head, len(key)))
-        more = np.repeat(np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), many)
-        doc, key = doc[more], key[more]
-        return by_home((doc, key), doc, parts)
-
-    packs = docs.select("doc_id", "text").mapInArrow(send, "part int, pack binary")
-    return packs.groupBy("part").applyInArrow(meet, "home int, pack binary")
-
-
-def _same_as_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of byte ranges, and which of them in it equal the one before, byte for byte."""
+def told(split: Splitter, key: np.ndarray, bits: pa.Table) -> np.ndarray:
+    """The shared ones, ascending, of a home's shortened minimisers."""
+    key, part = split.asked(key)
+    at, shared = cuts(part), np.zeros(len(key), dtype=bool)
+    begin = dict(zip(part[at[:-1]].tolist(), zip(at, at[1:])))
+    for p, x in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist()):
+        a, z = begin[p]
+        shared[a:z] = np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=z - a)
+    return np.sort(key[shared])
+
+
+def equal_before(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of byte ranges by minimiser, and which of them in it equal the one before, byte for byte."""
     order = np.lexsort((view64(data)[start].astype(np.uint64), size, least))
     a, z = order[:-1], order[1:]
     maybe = np.flatnonzero((least[a] == least[z]) & (size[a] == size[z]))
     equal = np.zeros(len(order), dtype=bool)
-    if len(maybe):
-        n = size[a[maybe]]
-        same = data[ranges(start[a[maybe]], n)] == data[ranges(start[z[maybe]], n)]
-        equal[maybe + 1] = np.logical_and.reduceat(same, offsets(n)[:-1])
+    for some in np.array_split(maybe, max(1, int(size[a[maybe]].sum()) >> 22)) if len(maybe) else []:
+        n = size[a[some]]
+        same = data[ranges(start[a[some]], n)] == data[ranges(start[z[some]], n)]
+        equal[some + 1] = np.logical_and.reduceat(same, offsets(n)[:-1])
     return order, equal
 
 
-#: Bytes of text that share a home at most, on average.
-HOME_BYTES = 16 << 20
+def decided(data: np.ndarray, start: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings a smaller document has too; and for all strings a number, equal for those of one minimiser."""
+    order, equal = equal_before(data, start, head["size"].astype(np.int64), head["least"])
+    done, family = np.zeros(len(head), dtype=bool), np.zeros(len(head), dtype=np.int64)
+    if len(head):
+        doc, least = head["doc"][order], head["least"][order]
+        low = np.minimum.reduceat(doc, np.flatnonzero(~equal))
+        done[order] = doc > low[np.cumsum(~equal) - 1]
+        family[order] = np.cumsum(np.append(True, least[1:] != least[:-1])) - 1
+    return done, family
 
 
-def to_arrow_schema(schema) -> pa.Schema:
-    return _to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
+def whole(head: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The unit ranges of strings, joined by document."""
+    first = head["first"].astype(np.int64)
+    return merged(head["doc"], head["key"], first, first + head["units"])
+
+
+#: What goes from a home to a bucket: packed strings, or ranges that are decided and only pass through.
+STRINGS, RANGES = 0, 1
+
+
+def send(split: Splitter, home: pa.Table, bits: pa.Table) -> pa.Table:
+    """A home's strings of shared minimisers, by bucket."""
+    heads, strings = [], []
+    if bits.num_rows:
+        slices = list(split.runs(home))
+        shared = told(split, np.concatenate([r.least >> SHORT for _, _, _, r in slices]), bits)
+        for ids, keys, units, runs in slices if len(shared) else ():
+            short = runs.least >> SHORT
+            at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short)
+            if not len(at):
+                continue
+            text, first = runs.text[at], runs.first[at]
+            head = np.zeros(len(at), dtype=HOLDER)
+            head["doc"], head["key"], head["least"] = ids[text], keys[text], runs.least[at]
+            head["units"] = runs.many[at] + split.window - 1
+            start, end = units.span(first, head["units"].astype(np.int64))
+            head["size"], head["first"] = end - start, first - offsets(units.count)[text]
+            heads.append(head)
+            strings.append(units.bytes[ranges(start, end - start)])
+    if not heads:
+        return pa.table({"part": pa.array([], pa.int32()), "what": pa.array([], pa.int32()), "pack": _binary([])})
+    head, data = np.concatenate(heads), np.concatenate(strings)
+    del heads, strings
+    start = offsets(head["size"].astype(np.int64))[:-1]
+    done, _ = decided(data, start, head)
+    known = whole(head[done])
+    head, start = head[~done], start[~done]
+    part = (mix64(head["least"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(split.parts)).astype(np.int32)
+    order = np.lexsort((head["doc"], part))
+    head, start, part = head[order], start[order], part[order]
+    at, squeeze, packs = cuts(part), zstandard.ZstdCompressor(level=1), []
+    for a, z in zip(at, at[1:]):
+        body = data[ranges(start[a:z], head["size"][a:z].astype(np.int64))]
+        # Each field by itself: neighbours in it are alike.
+        fields = b"".join(np.ascontiguousarray(head[f][a:z]).tobytes() for f in HOLDER.names)
+        packs.append((z - a).to_bytes(8, "little") + squeeze.compress(fields + body.tobytes()))
+    where, what = part[at[:-1]].tolist(), [STRINGS] * len(packs)
+    if len(known[0]):
+        number = home.column("home")[0].as_py()
+        packs.append(squeeze.compress(np.stack(known).astype("<i8").tobytes()))
+        where, what = [*where, number % split.parts], [*what, RANGES]
+    del data, head, start
+    tidy()
+    return pa.table({"part": pa.array(where, pa.int32()), "what": pa.array(what, pa.int32()), "pack": _binary(packs)})
+
+
+def by_home(found: tuple[np.ndarray, ...], homes: int) -> pa.Table:
+    """home, pack: ranges (doc, key, first, last) packed by their document's home; as many rows as homes at most."""
+    home = home_of(found[0], homes)
+    order = np.lexsort((*found[::-1], home))
+    home, found = home[order], tuple(c[order].astype(np.int64, copy=False) for c in found)
+    at, squeeze = cuts(home), zstandard.ZstdCompressor(level=1)
+    packs = [squeeze.compress(b"".join(c[a:z].tobytes() for c in found)) for a, z in zip(at, at[1:])]
+    return pa.table({"home": pa.array(home[at[:-1]].astype(np.int32)), "pack": _binary(packs)})
+
+
+def unpacked(packs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The ranges (doc, key, first, last) of packs."""
+    expand, parts = zstandard.ZstdDecompressor(), [np.zeros((4, 0), dtype=np.int64)]
+    parts += [np.frombuffer(expand.decompress(x), dtype=np.int64).reshape(4, -1) for x in packs]
+    return tuple(np.concatenate(parts, axis=1))
+
+
+def windows_of(kind: str, window: int, data: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of strings that lie one after the other: byte ranges, string numbers, places in the string."""
+    units, size = head["units"].astype(np.int64), head["size"].astype(np.int64)
+    begin = offsets(size)[:-1]
+    many = units - window + 1
+    owner = np.repeat(np.arange(len(head)), many)
+    relative = ranges(np.zeros(len(head), dtype=np.int64), many)
+    if kind == BYTES:
+        at = begin[owner] + relative
+        return at, at + window, owner, relative
+    # Words begin at a string's start and after each blank in it; a string has units - 1 blanks.
+    starts = np.sort(np.concatenate([begin, np.flatnonzero(data == 32) + 1]))
+    word = (offsets(units)[:-1])[owner] + relative
+    last = word + window - 1
+    ends = np.append(starts[1:] - 1, len(data))
+    ends[offsets(units)[1:] - 1] = begin + size
+    return starts[word], ends[last], owner, relative
+
+
+def meet(split: Splitter, find: Callable, group: pa.Table) -> pa.Table:
+    """A bucket: the ranges of its strings that a smaller document has too, by home."""
+    expand, heads, body, known = zstandard.ZstdDecompressor(), [np.zeros(0, dtype=HOLDER)], [np.zeros(0, dtype=np.uint8)], []
+    for x, what in zip(group.column("pack").to_pylist(), group.column("what").to_pylist()):
+        if what == RANGES:
+            known.append(x)
+            continue
+        n, raw, at = int.from_bytes(x[:8], "little"), expand.decompress(x[8:]), 0
+        head = np.zeros(n, dtype=HOLDER)
+        for f in HOLDER.names:
+            head[f] = np.frombuffer(raw, dtype=HOLDER[f], count=n, offset=at)
+            at += n * HOLDER[f].itemsize
+        heads.append(head)
+        body.append(np.frombuffer(raw, dtype=np.uint8, offset=at))
+    head, data = np.concatenate(heads), np.concatenate(body)
+    del heads, body
+    out = [unpacked(known)]
+    start = offsets(head["size"].astype(np.int64))[:-1]
+    done, family = decided(data, start, head)
+    out.append(whole(head[done]))
+    # Of the rest, minimisers that one document is left with have nothing more to find.
+    go = np.flatnonzero(~done)
+    order = go[np.lexsort((head["doc"][go], family[go]))]
+    if len(order):
+        doc, mine = head["doc"][order], family[order]
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        many = np.diff(np.append(first, len(order)))
+        order = order[np.repeat(doc[first] < doc[first + many - 1], many)]
+    # Turns of whole families.
+    windows = np.cumsum(head["units"][order].astype(np.int64) - split.window + 1)
+    turn = windows // SORT_WINDOWS
+    fresh = np.diff(family[order], prepend=-1) != 0
+    turn = turn[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    at = cuts(turn)
+    for a, z in zip(at, at[1:]):
+        mine = order[a:z]
+        some = head[mine]
+        text = data[ranges(start[mine], some["size"].astype(np.int64))]
+        place, end, owner, relative = windows_of(split.kind, split.window, text, some)
+        doc = some["doc"][owner]
+        number = np.cumsum(np.diff(family[mine], prepend=-1) != 0)
+        hit = find(text, place, end, doc, number[owner]) < doc
+        owner, relative = owner[hit], relative[hit]
+        unit = some["first"][owner].astype(np.int64) + relative
+        out.append(merged(doc[hit], some["key"][owner], unit, unit + split.window))
+    del data, head, start, family, done
+    found = merged(*(np.concatenate([o[i] for o in out]) for i in range(4)))
+    out = by_home(found, split.parts)
+    tidy()
+    return out
 
 
-def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Callable[[pa.RecordBatch, Callable[[int, int], np.ndarray | None]], pa.RecordBatch], schema) -> DataFrame:
+def frequent_grams(docs: DataFrame, n: int, kind: str, gram: int, parts: int) -> np.ndarray | None:
+    """Leading bits of grams that HOT_DOCS documents of a sample have, HOT_MOST at most; the sample grows with the number of buckets."""
+    share = min(1.0, max(HOT_SAMPLE, 2 * parts) / max(n, 1))
+    sample = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    dealt = 12
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            units = Units(part.column("text"), kind)
+            h = gram_hash(units.codes(), gram) >> np.uint64(1)
+            at = offsets(units.count)
+            many = np.maximum(units.count - gram + 1, 0)
+            text = np.repeat(np.arange(len(many)), many)
+            h = h[ranges(at[:-1], many)] >> np.uint64(63 - 40)  # 40 bits of the hash and 20 of the text's number
+            h = distinct(h << np.uint64(20) | text.astype(np.uint64) & np.uint64((1 << 20) - 1)) >> np.uint64(20)
+            to = (h % np.uint64(dealt)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            h, to = h[order], to[order]
+            cut = cuts(to)
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int32()), _binary([h[a:z].astype("<u8").tobytes() for a, z in zip(cut, cut[1:])])], ["part", "pack"])
+        tidy()
+
+    def count(group: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x, dtype="<u8") for x in group.column("pack").to_pylist()]))
+        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.diff(np.append(head, len(h)))
+        keep = many >= HOT_DOCS
+        value, many = h[head][keep], many[keep]
+        top = np.argsort(-many, kind="stable")[: HOT_MOST // dealt]
+        tidy()
+        return pa.table({"h": pa.array((value[top] >> np.uint64(40 - HOT_BITS)).astype(np.int64))})
+
+    found = sample.mapInArrow(read, "part int, pack binary").groupBy("part").applyInArrow(count, "h long").distinct().toArrow()
+    hot = found.column("h").to_numpy()
+    return np.sort(hot) if len(hot) else None
+
+
+def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Callable[[pa.RecordBatch, Callable[[int, int], np.ndarray | None]], pa.RecordBatch], schema, find: Callable = least_documents) -> DataFrame:
     """``cut`` applied to all rows of ``docs`` (doc_id, text, text_key, ...), a batch at a time.
 
     ``cut(batch, hits)`` returns a batch of ``schema``; ``hits(row, n)`` tells which
     of the row's n units lie in a window that a smaller doc_id has too, or None if
-    none does. Rows with a null id or text are never hit.
+    none does. Rows with a null id or text are never hit. ``find`` sorts windows; see
+    ``least_documents``.
     """
     spark = docs.sparkSession
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // HOME_BYTES))
     usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    hot = spark.sparkContext.broadcast(_hot_minimisers(usable, size["n"], kind, window, gram))
-    flagged = _shared_minimisers(usable, parts, kind, window, gram, hot)
-
-    def send(home: pa.Table, packs: pa.Table) -> pa.Table:
-        found = list(pack(home, *unpacked(packs, 2)))
-        return pa.Table.from_batches(found) if found else pa.table({"part": pa.array([], pa.int32()), "pack": _binary([])})
+    # At most HOT_MOST numbers.
+    shared = spark.sparkContext.broadcast(Splitter(kind, window, gram, parts, frequent_grams(usable, size["n"], kind, gram, parts)))
+    empty_result = to_arrow_schema(schema).empty_table()
 
     def finish(home: pa.Table, packs: pa.Table) -> pa.Table:
-        doc, key, first, last = unpacked(packs, 4)
+        doc, key, first, last = unpacked(packs.column("pack").to_pylist())
         order = np.lexsort((key, doc))
         doc, key, first, last = doc[order], key[order], first[order], last[order]
         out = []
@@ -393,139 +597,17 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
                 return covered(first[mine], last[mine], n) if len(mine) else None
 
             out.append(cut(batch, hits))
+        del doc, key, first, last, order
+        tidy()
         return pa.Table.from_batches(out) if out else empty_result
 
-    def pack(home: pa.Table, flag_doc: np.ndarray, flag_key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tag = np.uint64(0x9E3779B97F4A7C15)
-        flags = np.unique(mix64(flag_key.view(np.uint64) + flag_doc.view(np.uint64) * tag))
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # part, holder, whether decided
-        strings: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            part, head, done = (np.concatenate([h[i] for h in held]) for i in range(3))
-            data = np.concatenate(strings)
-            begin = np.zeros(len(head), dtype=np.int64)
-            begin[~done] = offsets(head["size"][~done].astype(np.int64))[:-1]
-            held.clear()
-            strings.clear()
-            order = np.lexsort((done, part))
-            part, head, done, begin = part[order], head[order], done[order], begin[order]
-            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            squeeze, packs = zstandard.ZstdCompressor(level=3), []
-            for a, z in zip(cut.tolist(), cut[1:].tolist()):
-                mid = a + int((~done[a:z]).sum())
-                body = data[ranges(begin[a:mid], head["size"][a:mid].astype(np.int64))]
-                # Each field by itself: neighbours in it are alike.
-                fields = b"".join(np.ascontiguousarray(head[a:z][f]).tobytes() for f in HOLDER.names)
-                packs.append(squeeze.compress(struct.pack("<qq", z - a, mid - a) + fields + body.tobytes()))
-            for a in range(0, len(packs), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]][a : a + 64], pa.int32()), _binary(packs[a : a + 64])], ["part", "pack"])
-
-        size, turn = 0, 0
-        for batch in text_slices(home.to_batches()):
-            use = np.flatnonzero(np.asarray(batch.column("doc_id").is_valid()) & np.asarray(batch.column("text").is_valid()))
-            batch = batch.take(pa.array(use))
-            if not batch.num_rows:
-                continue
-            docs_of, keys_of = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
-            units = Units(_texts(batch), kind)
-            runs = Runs(units, window, gram)
-            is_hot = np.isin(runs.least, hot.value)
-            short = runs.least >> SHORT
-            stays = is_hot | np.isin(mix64(short + docs_of.view(np.uint64)[runs.text] * tag), flags)
-            text, first, n, least, is_hot = (x[stays] for x in (runs.text, runs.first, runs.many, runs.least, is_hot))
-            if not len(text):
-                continue
-            times = np.where(is_hot, n, 1)  # hot runs go window by window
-            step = ranges(np.zeros(len(n), dtype=np.int64), times)
-            text, first, least, is_hot, n = (np.repeat(x, times) for x in (text, first, least, is_hot, np.where(is_hot, 1, n)))
-            first = first + step
-            start, end = units.span(first, n + window - 1)
-            if is_hot.any():
-                least[is_hot] = range_hash(units.bytes, start[is_hot], end[is_hot])
-            head = np.zeros(len(text), dtype=HOLDER)
-            head["doc"], head["key"], head["units"], head["size"] = docs_of[text], keys_of[text], n + window - 1, end - start
-            head["first"] = first - offsets(units.count)[text]
-            head["turn"] = (mix64(least) >> np.uint64(32)).astype(np.uint32)
-            part = (mix64(least ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-            # Of equal strings those of the least document stay; the others are decided, and any bucket may pass them on.
-            order, equal = _same_as_before(units.bytes, start, end - start, least)
-            group = np.cumsum(~equal) - 1
-            low = np.minimum.reduceat(head["doc"][order], np.flatnonzero(~equal))
-            done = np.zeros(len(text), dtype=bool)
-            done[order] = head["doc"][order] > low[group]
-            part[done] = (turn + np.arange(int(done.sum()))) % parts
-            turn += int(done.sum())
-            go = ~done
-            rows = np.concatenate([np.flatnonzero(go), np.flatnonzero(done)])
-            strings.append(units.bytes[ranges(start[go], (end - start)[go])])
-            held.append((part[rows], head[rows], done[rows]))
-            size += len(strings[-1]) + 8 * len(rows)
-            if size >= FLUSH_BYTES:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def sort(group: pa.Table) -> pa.Table:
-        heads, known, body = [], [], []
-        expand = zstandard.ZstdDecompressor()
-        for x in group.column("pack").to_pylist():
-            raw = expand.decompress(x)
-            n, live = struct.unpack_from("<qq", raw)
-            head, at = np.zeros(n, dtype=HOLDER), 16
-            for f in HOLDER.names:
-                head[f] = np.frombuffer(raw, dtype=HOLDER[f], count=n, offset=at)
-                at += n * HOLDER[f].itemsize
-            heads.append(head[:live])
-            known.append(head[live:])
-            body.append(np.frombuffer(raw, dtype=np.uint8, offset=at))
-        head, done, data = np.concatenate(heads), np.concatenate(known), np.concatenate(body)
-        del heads, known, body
-        out = [(done["doc"], done["key"], done["first"].astype(np.int64), (done["first"] + done["units"]).astype(np.int64))]
-        begin = offsets(head["size"].astype(np.int64))[:-1]
-        windows = int((head["units"].astype(np.int64) - window + 1).sum())
-        turns = max(1, -(-windows // SORT_WINDOWS))
-        for t in range(turns):
-            mine = np.flatnonzero(head["turn"] % turns == t) if turns > 1 else np.arange(len(head))
-            if not len(mine):
-                continue
-            some = head[mine]
-            text = data[ranges(begin[mine], some["size"].astype(np.int64))] if turns > 1 else data
-            at, end, owner, relative = windows_of(text, some)
-            doc = some["doc"][owner]
-            hit = least_documents(text, at, end, doc) < doc
-            owner, relative = owner[hit], relative[hit]
-            unit = some["first"][owner].astype(np.int64) + relative
-            out.append((doc[hit], some["key"][owner], unit, unit + window))
-        ranges_of = merged(*(np.concatenate([o[i] for o in out]) for i in range(4)))
-        return by_home(ranges_of, ranges_of[0], parts)
-
-    def windows_of(data: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The windows of strings that lie one after the other: byte ranges, string numbers, places in the string."""
-        units, size = head["units"].astype(np.int64), head["size"].astype(np.int64)
-        begin = offsets(size)[:-1]
-        many = units - window + 1
-        owner = np.repeat(np.arange(len(head)), many)
-        relative = ranges(np.zeros(len(head), dtype=np.int64), many)
-        if kind == BYTES:
-            at = begin[owner] + relative
-            return at, at + window, owner, relative
-        # Words begin at a string's start and after each blank in it; a string has units - 1 blanks.
-        starts = np.sort(np.concatenate([begin, np.flatnonzero(data == 32) + 1]))
-        word = (offsets(units)[:-1])[owner] + relative
-        last = word + window - 1
-        ends = np.append(starts[1:] - 1, len(data))
-        ends[offsets(units)[1:] - 1] = begin + size
-        return starts[word], ends[last], owner, relative
-
-    empty_result = to_arrow_schema(schema).empty_table()
-    # Both meetings read the documents dealt by home in the same form, so Spark makes that exchange once.
+    # The three meetings read the documents dealt by home in the same form, so Spark makes that exchange once.
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key", F.lit(0).cast("long"))), F.lit(parts).cast("long")).cast("int")
     housed = docs.withColumn("home", home)
-    sent = housed.groupBy("home").cogroup(flagged.groupBy("home")).applyInArrow(send, "part int, pack binary")
-    runs = sent.groupBy("part").applyInArrow(sort, "home int, pack binary")
+    asked = housed.groupBy("home").applyInArrow(lambda t: ask(shared.value, t), "part int, home int, n int, pack binary")
+    bits = asked.groupBy("part").applyInArrow(answer, "home int, part int, bits binary")
+    sent = housed.groupBy("home").cogroup(bits.groupBy("home")).applyInArrow(lambda t, b: send(shared.value, t, b), "part int, what int, pack binary")
+    runs = sent.groupBy("part").applyInArrow(lambda t: meet(shared.value, find, t), "home int, pack binary")
     return housed.groupBy("home").cogroup(runs.groupBy("home")).applyInArrow(finish, schema)
 
 

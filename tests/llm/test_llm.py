@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from quillmesh.llm import ann, bpe, components, langid, media, nearcopies, packing, queries, secrets, simhash, superkmer
 from quillmesh.llm.substringdedup import remove_repeated_words
-from quillmesh.llm.suffixdedup import dedup_texts, remove_repeated_bytes
+from quillmesh.llm.suffixdedup import dedup_texts, equal_suffixes, remove_repeated_bytes
 from quillmesh.llm.urlfilter import filter_urls
 
 SF = "/root/testdata/sf0.001"
@@ -79,14 +79,27 @@ def test_words(docs, empty):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_bytes(docs, empty, hot, monkeypatch):
-    if hot:  # every minimiser of two documents is taken for hot
-        monkeypatch.setattr(superkmer, "_hot_minimisers", lambda d, n, kind, window, gram: np.unique(superkmer.Runs(superkmer.Units([(r[1] or "").encode() for r in corpus()[:12]], kind), window, gram).least))
+    monkeypatch.setattr(superkmer, "HOT_DOCS", 2 if hot else 10**6)
     brute = removed([(r[0], r[1]) for r in corpus()], lambda t: (t or "").encode(), 50)
     want = [(i, len(u), sum(h), sum(x and not (k and h[k - 1]) for k, x in enumerate(h)), bytes(b for b, x in zip(u, h) if not x)) for i, u, h in brute]
     same(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in remove_repeated_bytes(docs).collect()), want)
     assert remove_repeated_bytes(empty).collect() == []
 
 
+def test_sorts_of_windows_agree():
+    rng = np.random.default_rng(9)
+    data = np.frombuffer(b"".join(rng.choice([b"ab", b"abc", b"b"], 3000).tolist()), dtype=np.uint8)
+    at = np.arange(len(data) - 9)
+    doc, group = rng.integers(0, 40, len(at)), rng.integers(0, 3, len(at))
+    first: dict = {}
+    for i in range(len(at)):
+        k = (group[i], data[i : i + 9].tobytes())
+        first[k] = min(first.get(k, 99), doc[i])
+    want = [first[group[i], data[i : i + 9].tobytes()] for i in range(len(at))]
+    for find in (superkmer.least_documents, equal_suffixes):
+        assert find(data, at, at + 9, doc, group).tolist() == want
+
+
 def test_dedup_texts_keeps_rows_and_columns(docs):
     out = dedup_texts(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
