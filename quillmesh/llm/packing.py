@@ -1,11 +1,12 @@
 """Packing documents into fixed-length sequences: cutting-stock column generation.
 
-A document's tokens are cut into full sequences, at most one half sequence and a
-remainder of at most half (short stock packs tightly). Only the
-histogram of piece lengths, at most ``max_tokens`` rows at any corpus size, goes to
-the driver. There a linear program over patterns (how many pieces of each length
+A document's tokens are cut into full sequences, one piece that is a multiple of a
+grain (a 32nd of a sequence) and a last one of half a grain to one and a half, so there
+are few lengths (about 80), no document ends in a crumb, and short stock packs tightly.
+Only the histogram of piece lengths, as many rows at any corpus size, goes to the driver. There a linear program over patterns (how many pieces of each length
 share a sequence) is solved by column generation: a knapsack dynamic programme
-prices the next pattern from the program's duals. The patterns' counts are rounded
+prices the next patterns from the program's duals, until none improves it or the
+duals prove that no further one can save a sequence. The patterns' counts are rounded
 down, what is left over is filled greedily by subset sums, and the plan, again
 bounded by ``max_tokens``, is broadcast: the n-th ranked piece of a length takes
 the n-th place which the plan has for that length.
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 from .common import checkpointed, column, offsets, text_slices
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", narrowed: bool = False) -> DataFrame:
     """Tokenise whole texts and cut them: doc_id, start, length, ids (binary, little-endian u32), doc_tokens.
 
     ``tokenizer`` is a tokenizer file, ``vocabulary`` the rank file of the same
     vocabulary, which a faster library reads. Where a text holds one of the
     tokenizer's added tokens literally, the tokenizer file itself is used, so the ids are always its
     own. Each document ends with ``end_id``. A null text counts as empty (one
-    piece, the end id). Repeated rows and null ids are packed like any other row.
+    piece, the end id). Repeated rows and null ids are packed like any other row. With
+    ``narrowed`` ids are stored by ``narrow``.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -47,7 +49,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of, tokens, pat = shared.value
         fast = tiktoken.Encoding("pack", pat_str=pat, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
-        end, half = np.array([end_id], dtype="<u4").tobytes(), max(1, max_tokens // 2)
+        end = np.array([end_id], dtype="<u4").tobytes()
         for part in text_slices(batches):
             doc, start, length, ids, total = [], [], [], [], []
             for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
@@ -60,12 +62,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
                     packed = fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes() + end
                 n = len(packed) // 4
                 a = 0
-                while a < n:
-                    size = max_tokens if n - a >= max_tokens else half if n - a > half else n - a
+                for size in piece_lengths(n, max_tokens):
                     doc.append(key)
                     start.append(a)
                     length.append(size)
-                    ids.append(packed[4 * a : 4 * (a + size)])
+                    piece = packed[4 * a : 4 * (a + size)]
+                    ids.append(narrow(piece, size) if narrowed else piece)
                     total.append(n)
                     a += size
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
@@ -74,8 +76,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
     return docs.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of items that fits in ``room``, by dynamic programming; its value and counts."""
+def priced(values: np.ndarray, sizes: np.ndarray, room: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
+    """The most valuable multiset of items that fits in ``room``, by dynamic programming: its value, and counts of up to ``most`` multisets.
+
+    The first is the best; the others are the best that hold some one item, in order of their value.
+    """
     top = int(sizes.max())
     worth = np.zeros(top)  # by size - 1, read backwards beside best
     worth[sizes - 1] = np.maximum(values, 0)
@@ -86,12 +91,41 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
         sums = best[c - k : c] + back[top - k :]
         i = int(sums.argmax())
         best[c], choice[c] = sums[i], k - i
-    counts, c, slot = np.zeros(len(sizes), dtype=np.int64), room, {int(s): i for i, s in enumerate(sizes)}
-    while c > 0:
-        if choice[c] in slot:
-            counts[slot[choice[c]]] += 1
-        c -= choice[c]
-    return float(best[room]), counts
+    slot = {int(s): i for i, s in enumerate(sizes)}
+
+    def counted(first: int | None) -> np.ndarray:
+        counts, c = np.zeros(len(sizes), dtype=np.int64), room
+        if first is not None:
+            counts[first] += 1
+            c -= int(sizes[first])
+        while c > 0:
+            if choice[c] in slot:
+                counts[slot[choice[c]]] += 1
+            c -= choice[c]
+        return counts
+
+    out = [counted(None)]
+    if most > 1:
+        with_item = np.maximum(values, 0) + best[room - sizes]
+        out += [counted(i) for i in np.argsort(-with_item, kind="stable")[: most - 1].tolist()]
+    return float(best[room]), out
+
+
+def piece_lengths(n: int, max_tokens: int) -> list[int]:
+    """The pieces of ``n`` tokens: full sequences, a multiple of the grain, the last."""
+    grain = max(1, max_tokens // 32)
+    least = grain // 2 + 1
+    out, rest = [max_tokens] * (n // max_tokens), n % max_tokens
+    if rest >= least + grain:
+        out.append((rest - least) // grain * grain)
+        rest -= out[-1]
+    return [*out, rest] if rest else out
+
+
+def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The best value and its counts."""
+    value, patterns = priced(values, sizes, room)
+    return value, patterns[0]
 
 
 def fullest(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
@@ -121,58 +155,75 @@ def fullest(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
     return counts
 
 
-def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
-    """A feasible basis to start from: greedy patterns, each used until some size is exhausted and left out of all later ones."""
-    left, active, columns = demand.astype(float), np.ones(len(sizes), dtype=bool), []
-    for _ in range(len(sizes)):
-        counts = fullest(sizes, np.where(active, np.maximum(np.ceil(left), 1), 0).astype(np.int64), room)
-        ratio = np.where(counts > 0, left / np.maximum(counts, 1), np.inf)
-        out = int(np.argmin(ratio))
-        left = np.maximum(left - ratio[out] * counts, 0)
-        active[out] = False
-        columns.append(counts)
-    return np.array(columns, dtype=float).T
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
-    """Patterns (counts by size) and how often each is used, from the linear program.
-
-    The basis starts from greedy patterns and is kept as an inverse, updated at
-    each pivot. It stops when the duals' bound, their total over the knapsack's
-    best value, or the plain bound of all tokens over ``room``, is within ``gap``
-    (or within 1 + m / 50 sequences, far less than rounding m patterns moves) of
-    the present total, or after ``rounds`` pivots; either way the patterns cover
-    the demand exactly.
+#: Patterns taken from one pricing; pivots between fresh inverses of the basis.
+PRICED, PIVOTS = 40, 64
+#: How far duals are pulled towards the best bound's; the relative gap at which the program counts as solved.
+PULL, GAP = 0.9, 1e-6
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns (counts by size) and how often each is used, from the linear program that covers the demand exactly.
+
+    It begins with patterns of one size each. Every round prices patterns by the
+    knapsack and pivots on those that improve. They are priced from duals pulled
+    towards those of the best bound so far, at first each size's share of ``room``,
+    which spares most of the rounds; where these find nothing, from the duals
+    themselves. It ends when no pattern improves the program, or when the bound (duals'
+    total over the knapsack's value) proves that no further pattern can save one
+    sequence, or GAP of all. The demand is raised by tiny unequal
+    amounts so that no pivot is degenerate. A basis that is singular, or a total below the
+    bound, raises ArithmeticError: it would be no solution.
     """
     m = len(sizes)
-    basis = first_basis(sizes, demand, room)
-    inverse = np.linalg.inv(basis)
-    plain, slack = float(sizes @ demand) / room, 1 + m / 50
-    for pivot in range(rounds):
-        used = inverse @ demand
-        total = used.sum()
-        if total <= max(plain * (1 + gap), plain + slack):
-            break
+    each = room // sizes
+    basis, inverse = np.diag(each.astype(float)), np.diag(1.0 / each)
+    wanted = demand + 1e-7 * (1 + np.arange(m) / m)
+    bound, centre, pull, since = float(sizes @ demand) / room, sizes / room, PULL, 0
+    while True:
         duals = inverse.sum(axis=0)
-        value, counts = knapsack(duals, sizes, room)
-        bound = (duals @ demand) / value
-        if value <= 1 + 1e-9 or total <= max(bound * (1 + gap), bound + slack):
+        total = float(duals @ wanted)
+        if total - bound < max(1.0, GAP * bound):
+            break
+        mixed = pull * centre + (1 - pull) * duals
+        value, patterns = priced(mixed, sizes, room, PRICED)
+        now = float(mixed @ demand) / max(value, 1.0)
+        if now > bound:
+            bound, centre = now, mixed / max(value, 1.0)
+        if pull == 0 and value <= 1 + 1e-9:
             break
-        step = inverse @ counts
-        able = step > 1e-9
-        ratio = np.where(able, np.maximum(used, 0) / np.where(able, step, 1), np.inf)
-        leave = int(np.argmin(ratio))
-        basis[:, leave] = counts
-        if pivot % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[leave] / step[leave]
-            inverse -= np.outer(step, row)
-            inverse[leave] = row
-    used = np.linalg.solve(basis, demand.astype(float))
+        improved = False
+        for counts in patterns:
+            if inverse.sum(axis=0) @ counts <= 1 + 1e-9:
+                continue
+            used, step = inverse @ wanted, inverse @ counts
+            able = step > 1e-9
+            ratio = np.where(able, np.maximum(used, 0) / np.where(able, step, 1), np.inf)
+            least = ratio.min()
+            leave = int(np.argmax(np.where(ratio <= least * (1 + 1e-9) + 1e-12, step, -1)))  # of equals the safest pivot
+            basis[:, leave], improved, since = counts, True, since + 1
+            if since % PIVOTS == 0:
+                inverse = _inverse(basis)
+            else:
+                row = inverse[leave] / step[leave]
+                inverse -= np.outer(step, row)
+                inverse[leave] = row
+        pull = PULL if improved else 0 if pull < 0.1 else pull / 2
+    used = _inverse(basis) @ demand
+    if used.sum() < bound * (1 - 1e-6) - 1e-6 or used.min() < -1e-3 * (1 + used.max()):
+        raise ArithmeticError("the linear program lost its numbers")
     return [(basis[:, j].astype(np.int64), float(used[j])) for j in range(m)]
 
 
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    try:
+        out = np.linalg.inv(basis)
+    except np.linalg.LinAlgError as wrong:
+        raise ArithmeticError("singular basis") from wrong
+    if not np.isfinite(out).all():
+        raise ArithmeticError("singular basis")
+    return out
+
+
 def fill_rest(sizes: np.ndarray, left: np.ndarray, room: int) -> list[np.ndarray]:
     """Sequences for the few pieces that rounding leaves."""
     left, out = left.copy(), []
@@ -213,19 +264,24 @@ def plan(histogram: dict[int, int], room: int) -> dict[str, np.ndarray]:
     return {n: v[order] for n, v in table.items()}
 
 
-def assign(pieces: DataFrame, max_tokens: int = 1024) -> DataFrame:
+#: Pieces of one length and bucket, on average, at most: they are ranked together.
+RANKED = 100_000
+
+
+def assign(pieces: DataFrame, max_tokens: int = 1024, narrowed: bool = False) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, start, length, ...), which are read more than once: pass a stored table.
 
     Ranks within a length are dealt without one task seeing a whole length: pieces
     fall into buckets by a hash of their place, (length, bucket) counts are summed,
     and a piece's rank is its bucket's start plus its row number there. A null id
-    is hashed like any value. No pieces: no rows.
+    is hashed like any value. No pieces: no rows. ``narrowed``: ids were stored by
+    ``narrow`` and come back whole.
     """
     spark = pieces.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(histogram.values(), default=0) // RANKED))
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = salted.groupBy("length", "_bucket").count()
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     shared = spark.sparkContext.broadcast(plan(histogram, max_tokens))
     starts = counts.withColumn("_from", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")))
@@ -246,23 +302,15 @@ def assign(pieces: DataFrame, max_tokens: int = 1024) -> DataFrame:
                     i[mine] = a + np.searchsorted(p["first"][a:z], rank[mine], side="right") - 1
             k = rank - p["first"][i]
             kept = [n for n in b.schema.names if n != "_rank"]
+            if narrowed:
+                whole = [widen(x, n) for x, n in zip(b.column("ids").to_pylist(), length.tolist())]
+                b = b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(whole, pa.binary()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(p["sequence"][i] + k // p["each"][i]), pa.array(p["offset"][i] + k % p["each"][i] * length)], [*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
     return ranked.mapInArrow(place, fields + ", sequence_id long, offset long")
 
 
-def _recoded(pieces: DataFrame, code) -> DataFrame:
-    """``pieces`` with ``code(ids, length)`` for their ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [code(x, n) for x, n in zip(b.column("ids").to_pylist(), b.column("length").to_pylist())]
-            yield b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
-
-    return pieces.mapInArrow(run, pieces.schema)
-
-
 def narrow(ids: bytes, length: int) -> bytes:
     """u32 ids as u16 where all fit."""
     wide = np.frombuffer(ids, dtype="<u4")
@@ -281,5 +329,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: st
     one are gapless from 0; each id of a document lies in exactly one piece.
     Nulls, empty texts, repeated rows: see ``cut_documents``; an empty table gives no rows.
     """
-    pieces = cut_documents(docs, tokenizer, vocabulary, pattern, max_tokens, end_id, id_col, text_col)
-    return _recoded(assign(checkpointed(_recoded(pieces, narrow)), max_tokens), widen)  # stored and shuffled in half the bytes
+    pieces = cut_documents(docs, tokenizer, vocabulary, pattern, max_tokens, end_id, id_col, text_col, narrowed=True)
+    return assign(checkpointed(pieces), max_tokens, narrowed=True)  # stored and shuffled in half the bytes

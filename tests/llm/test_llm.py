@@ -259,6 +259,25 @@ def test_pipeline_returns_tokens(spark):
     same(map(tuple, got.collect()), [(r["doc_id"], r["start"], r["length"], zlib.crc32(bytes(r["ids"])), *r[4:]) for r in pieces])
 
 
+def test_column_generation_reaches_the_bound(monkeypatch):
+    calls, old = [], packing.priced
+    monkeypatch.setattr(packing, "priced", lambda *a: calls.append(1) or old(*a))
+    draw = np.random.default_rng(1)
+    for docs in (200, 20_000):
+        lengths = [p for n in draw.lognormal(6, 1.2, docs).astype(int) + 1 for p in packing.piece_lengths(int(n), 1024)]
+        sizes, demand = np.unique(lengths, return_counts=True)
+        calls.clear()
+        used = packing.column_generation(sizes, demand, 1024)
+        assert calls and len(sizes) < 90
+        assert np.allclose(sum(c * x for c, x in used), demand, atol=1e-3) and all(c @ sizes <= 1024 for c, _ in used)
+        assert sum(x for _, x in used) <= sizes @ demand / 1024 + 1
+        table = packing.plan(dict(zip(sizes.tolist(), demand.tolist())), 1024)
+        assert table["sequence"].max() + 1 <= sizes @ demand / 1024 + len(sizes) / 4 + 2
+    # A program whose optimum is above the bound of all tokens: two thirds of a sequence is the best that a size of 683 can do.
+    assert sum(x for _, x in packing.column_generation(np.array([683]), np.array([50]), 1024)) == pytest.approx(50)
+    assert packing.piece_lengths(2, 1) == [1, 1] and sum(packing.piece_lengths(5000, 1024)) == 5000
+
+
 def test_narrow_ids_come_back():
     for ids in ([], [0], [65535, 3], [65536], [1, 1 << 31]):
         wide = np.array(ids, "<u4").tobytes()
