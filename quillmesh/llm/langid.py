@@ -18,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, mix64, offsets, text_slices
+from .common import column, mix64, offsets, text_slices, tidy
 
-#: Labelled documents of each language, and characters of each, from which a model is fitted.
-TRAIN_DOCS, TRAIN_CHARS = 1_500, 4_000
+#: Labelled documents of each language from whose whole texts a model is fitted.
+TRAIN_DOCS = 1_500
 #: Hash buckets of n-grams, lengths of n-grams.
 BUCKETS, GRAMS = 1 << 17, (1, 2, 3, 4)
-#: Log-likelihood that a switch of language must outweigh, and the most that one word can say for a language.
-SWITCH, WORD_LIMIT = 12.0, 8.0
+#: Log-likelihood that a switch of language must outweigh, the most that one word can say against a candidate,
+#: and what it says against a language that its script rules out: more than any number of switches.
+SWITCH, WORD_LIMIT, EXCLUDED = 12.0, 8.0, 1e6
 #: Words a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 
 #: First and last code point of scripts.
@@ -93,22 +94,25 @@ class Model:
     allowed: np.ndarray  # which languages are seen in a script
 
     def score(self, words: list[str]) -> np.ndarray:
-        """A row per word: each language's log-likelihood less the best one's; languages of other scripts are out of the running."""
+        """A row per word: each language's log-likelihood less the best one's; languages that are not written in the word's script get -EXCLUDED."""
         if not words:
             return np.zeros((0, len(self.languages)), dtype=np.float32)
         bucket, of, script = grams(words)
         total = np.stack([np.bincount(of, weights=self.weight[bucket, k], minlength=len(words)) for k in range(len(self.languages))], axis=1)
         can = self.allowed[script]
-        total = np.where(can | ~can.any(axis=1)[:, None], total, -np.inf)
-        return np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT).astype(np.float32)
+        can = can | ~can.any(axis=1)[:, None]
+        best = np.where(can, total, -np.inf).max(axis=1, keepdims=True)
+        return np.where(can, np.maximum(total - best, -WORD_LIMIT), -EXCLUDED).astype(np.float32)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most ``train_docs`` labelled documents of each language, chosen by a hash of the id.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
+    """A model from the whole texts of at most ``train_docs`` labelled documents of each language, chosen by a hash of the id.
 
-    N-grams are counted on the executors; the driver gets one number per bucket and language.
+    N-grams are counted on the executors; the driver gets one array of BUCKETS numbers per
+    language, which is the model itself. Rows with a null text or label teach nothing; repeated
+    rows count each time; null ids are drawn like any other. No labelled row: a model without languages.
     """
-    docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.substring(column(docs, text_col).cast("string"), 1, train_chars).alias("text"), column(docs, lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"), column(docs, lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     # Ids alone are ranked; a hash bound keeps about twice the sample of each language before that.
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.when(F.col("n") > 2 * train_docs, F.lit(2.0 * train_docs) / F.col("n")).otherwise(1.0)
@@ -131,18 +135,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, n in seen.items():
             every = np.concatenate([n, script_of[lang]])
             at = np.flatnonzero(every)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(every[at])], ["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([every[at].astype("<i8").tobytes()], pa.binary())], ["lang", "at", "n"])
+        tidy()
 
-    counts = sample.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
+    def total(group: pa.Table) -> pa.Table:
+        every = np.zeros(BUCKETS + OTHER + 1, dtype="<i8")
+        for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist()):
+            every[np.frombuffer(at, dtype="<i4")] += np.frombuffer(n, dtype="<i8")
+        return pa.table({"lang": group.column("lang")[:1], "n": pa.array([every.tobytes()], pa.binary())})
+
+    counts = sample.mapInArrow(count, "lang string, at binary, n binary").groupBy("lang").applyInArrow(total, "lang string, n binary").collect()
+    languages = sorted(r["lang"] for r in counts)
     weight = np.zeros((BUCKETS, max(1, len(languages))), dtype=np.float64)
     allowed = np.zeros((OTHER + 1, max(1, len(languages))), dtype=bool)
-    for k, lang in enumerate(languages):
-        mine = counts[counts["lang"] == lang]
-        at, n = mine["at"].to_numpy(), mine["n"].to_numpy()
-        weight[at[at < BUCKETS], k] = n[at < BUCKETS]
-        letters = n[at >= BUCKETS]
-        allowed[at[at >= BUCKETS] - BUCKETS, k] = letters >= 0.001 * letters.sum()
+    for r in counts:
+        n, k = np.frombuffer(r["n"], dtype="<i8"), languages.index(r["lang"])
+        weight[:, k] = n[:BUCKETS]
+        letters = n[BUCKETS:]
+        allowed[:, k] = (letters > 0) & (letters >= 0.001 * letters.sum())
     weight += 0.5
     weight = np.log(weight / weight.sum(axis=0, keepdims=True)).astype(np.float32)
     return Model(languages, weight, allowed)
@@ -233,14 +243,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         labeller = Labeller(shared.value, switch)
         for part in text_slices(batches):
             rows = labeller(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], kind)], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or holds under ``least`` of the letters; all columns stay."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """``docs`` without the rows in which no language was found, or the commonest holds under ``least`` of the letters; all columns stay.
+
+    A null text, or one without a letter, goes; a text of several languages stays. Repeated
+    rows, null ids and columns of any name are no matter; an empty table stays empty. If the
+    model has no language, nothing can be judged and every row stays.
+    """
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -251,5 +268,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             for a in range(0, len(text), 64):
                 out += [-1.0 if lang == UNKNOWN else score for lang, score, _ in labeller(text.iloc[a : a + 64].tolist())]
             yield pd.Series(out, dtype="float64")
+        del labeller
+        tidy()
 
     return docs.where(sure(column(docs, text_col).cast("string")) >= least)

@@ -309,6 +309,67 @@ def test_langid(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, EMPTY), none).collect()} == {"und"}
     assert langid.identify(empty, model).collect() == []
     assert langid.keep_identified(spark.createDataFrame(rows, EMPTY), model).count() == 5
+    assert langid.keep_identified(spark.createDataFrame(rows, EMPTY), none).count() == len(rows)
+    assert langid.keep_identified(empty, model).collect() == []
+    clash = spark.createDataFrame([(r[0], r[1], "q", 1.0) for r in rows], "doc_id long, text string, lang_pred string, score double")
+    assert sorted(r["lang_pred"] for r in langid.identify(clash, model).collect()) == sorted(r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, EMPTY), model).collect())
+
+
+def test_script_rules_languages_out():
+    allowed = np.zeros((langid.OTHER + 1, 2), dtype=bool)
+    allowed[list(langid.SCRIPTS).index("latin"), 0] = allowed[list(langid.SCRIPTS).index("cyrillic"), 1] = True
+    model = langid.Model(["en", "ru"], np.zeros((langid.BUCKETS, 2), dtype=np.float32), allowed)
+    [(lang, score, spans)] = langid.Labeller(model, langid.SWITCH)(["hello hello привет hello hello"])
+    assert lang == "en" and [s["lang"] for s in spans] == ["en", "ru", "en"] and score == 20 / 26
+    [(_, _, spans)] = langid.Labeller(model, langid.SWITCH)(["hello שלום hello"])
+    assert [s["lang"] for s in spans] == ["en"]
+
+
+def test_langid_equals_brute_force(spark):
+    """Every word scored by plain loops from the model's numbers, every text labelled by a full Viterbi table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    rows = docs.orderBy("doc_id").limit(40).collect() + spark.createDataFrame([(900001, "Der 中文 Hund and the cat ça été über dem Haus", "x", "y", 1), (900002, "a " * 20_000 + "über das", "x", "y", 1)], docs.schema).collect()
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, docs.schema), model).collect()}
+
+    def word(w):
+        points, total = [2, *map(ord, w.lower()), 3], [0.0] * len(model.languages)
+        for n in langid.GRAMS:
+            for a in range(len(points) - n + 1):
+                if n == 1 and points[a] <= 3:
+                    continue
+                code = n
+                for p in points[a : a + n]:
+                    code = (code * 0x9E3779B97F4A7C15 + p) % 2**64
+                bucket = int(superkmer.mix64(np.array([code], dtype=np.uint64))[0]) % langid.BUCKETS
+                total = [t + float(x) for t, x in zip(total, model.weight[bucket])]
+        script = next((i for i, r in enumerate(langid.SCRIPTS.values()) if any(a <= ord(w[0]) <= z for a, z in r)), langid.OTHER)
+        can = [bool(c) for c in model.allowed[script]]
+        can = can if any(can) else [True] * len(can)
+        best = max(t for t, c in zip(total, can) if c)
+        return [max(t - best, -langid.WORD_LIMIT) if c else -langid.EXCLUDED for t, c in zip(total, can)]
+
+    known: dict = {}
+    for r in rows:
+        words_here = [m[0] for m in re.finditer(r"[^\W\d_]+", r["text"] or "")]
+        table, back = None, []
+        for w in words_here:
+            s = known.setdefault(w, word(w))
+            if table is None:
+                table = list(s)
+                continue
+            top = max(range(len(table)), key=table.__getitem__)
+            back.append([k if table[k] >= table[top] - langid.SWITCH else top for k in range(len(table))])
+            table = [max(t, table[top] - langid.SWITCH) + x for t, x in zip(table, s)]
+        letters = dict.fromkeys(model.languages, 0)
+        at = max(range(len(table)), key=table.__getitem__) if table else 0
+        for w, step in zip(reversed(words_here), [*reversed(back), None]):
+            letters[model.languages[at]] += len(w)
+            at = step[at] if step else at
+        want = max(letters, key=letters.get) if words_here else "und"
+        assert got[r["doc_id"]]["lang_pred"] == want
+        if words_here:
+            assert abs(got[r["doc_id"]]["score"] - letters[want] / sum(letters.values())) < 1e-9
 
 
 def test_viterbi_shortcut_is_exact():
@@ -392,6 +453,8 @@ def test_neighbours(spark):
         hits += len({f[1] for f in found} & set(top.tolist()))
     assert hits / (5 * len(got)) >= 0.9
     assert [v for _, v, _ in sorted(got[50])][:2] == [300, 301]
+    huge = spark.createDataFrame([(0, [1e300, 1e300], "x"), (1, [1e-300, 1e-300], "x"), (2, [1e300, -1e300], "x"), (3, [2.0], "x")], "vec_id long, embedding array<double>, score string")
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(huge).orderBy("rank").collect()] == [(0, 1, 1.0), (0, 2, 0.0)]
     few = ann.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"))
     assert sorted((r["query_id"], r["rank"]) for r in few.collect()) == [(0, 1), (0, 2)]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
@@ -399,12 +462,28 @@ def test_neighbours(spark):
 
 def test_pigeonhole_retrieves_every_code():
     rng = np.random.default_rng(5)
-    code = rng.integers(0, 256, (500, 8)).astype(np.uint8)
-    code[100:150] = code[0] ^ (1 << rng.integers(0, 8, (50, 8))).astype(np.uint8) * (rng.random((50, 8)) < 0.6)
+    code = rng.integers(0, 1 << 16, (500, 4)).astype("<u2")
+    code[100:150] = code[0] ^ (1 << rng.integers(0, 16, (50, 4))).astype(np.uint16) * (rng.random((50, 4)) < 0.6)
     tables = ann.Tables(code)
     for radius in (0, 3, 7, 8, 20, 30, 64):
         apart = np.bitwise_count(code ^ code[0]).sum(axis=1)
-        assert tables.within(code[0], radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+        assert tables.within(code[0], radius)[0].tolist() == np.flatnonzero(apart <= radius).tolist()
+
+
+def test_index_probes_little_where_neighbours_are_near():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(200, 32))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(size=(4000, 32)) * 0.15
+    codes = ann.Codes(x[rng.permutation(4000)], 5)
+    tables = ann.Tables(codes.encode(x))
+    unit, shares, hits = x / np.linalg.norm(x, axis=1, keepdims=True), [], 0
+    for q in range(0, 4000, 50):
+        others = np.arange(4000) != q
+        at = tables.near(tables.code[q], others, 5, codes.margin)
+        shares.append(tables.probed / 4000)
+        like = np.where(others, unit @ unit[q], -2)
+        hits += len(set(at[np.argsort(-like[at])[:5]].tolist()) & set(np.argsort(-like)[:5].tolist()))
+    assert hits / 5 / len(shares) >= 0.9 and np.mean(shares) < 0.15
 
 
 def test_media(spark):
