@@ -7,6 +7,7 @@ an end tag closes what is open inside its element, and one without a start is ig
 
 from __future__ import annotations
 
+import re
 from html import unescape
 from html.parser import HTMLParser
 
@@ -27,6 +28,10 @@ CLOSES_P = set(TEXT_BLOCKS) | {"pre", "hr", "dl", "form", "header", "footer", "n
 
 # -- expressions ---------------------------------------------------------------
 
+#: How a tag's name and the start of a block look in raw markup.
+TAG, BLOCK = r"</?([A-Za-z][A-Za-z0-9]*)\b", r"<(p|h1|h2|h3|h4|h5|h6|blockquote|li)\b"
+
+
 def strip_tags(html: Column) -> Column:
     """Each tag as a blank; entities stay."""
     return F.regexp_replace(html, r"<[^>]+>", " ")
@@ -34,33 +39,26 @@ def strip_tags(html: Column) -> Column:
 
 def tag_names(html: Column) -> Column:
     """Distinct lower-cased names of tags, but for html, head and body."""
-    found = F.regexp_extract_all(html, F.lit(r"</?([A-Za-z][A-Za-z0-9]*)\b"), 1)
+    found = F.regexp_extract_all(html, F.lit(TAG), 1)
     return F.array_except(F.array_distinct(F.transform(found, F.lower)), F.array(F.lit("html"), F.lit("head"), F.lit("body")))
 
 
 def count_blocks(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(r"(?i)<(p|h1|h2|h3|h4|h5|h6|blockquote|li)\b"))
-
-
-def first_heading_markup(html: Column) -> Column:
-    """The markup inside the first heading, by pattern; empty if there is none."""
-    return F.regexp_extract(html, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
+    return F.regexp_count(html, F.lit("(?i)" + BLOCK))
 
 
 def body_markup(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
 
 
-def plain_text_fast(html: Column) -> Column:
-    """Readable text by patterns alone; for well-formed pages the same lines as ``plain_text``."""
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in ("head", "script", "style"):
-        x = F.regexp_replace(x, rf"(?is)<{name}\b[^>]*>.*?</{name}>", "")
-    x = F.regexp_replace(x, r"(?i)<br\b[^>]*>|</(p|div|h[1-6]|li|blockquote|section|article|tr|table|ul|ol)>", "\n")
-    x = F.regexp_replace(x, r"<[^>]+>", "")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    return F.regexp_replace(F.regexp_replace(x, "^\n+", ""), "\n+", "\n")
+def tag_names_of(html: str) -> set[str]:
+    """``tag_names`` of one value."""
+    return {x.lower() for x in re.findall(TAG, html, re.A)} - {"html", "head", "body"}
+
+
+def count_blocks_of(html: str) -> int:
+    """``count_blocks`` of one value."""
+    return len(re.findall(BLOCK, html, re.A | re.I))
 
 
 # -- the tree ------------------------------------------------------------------

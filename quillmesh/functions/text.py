@@ -39,8 +39,13 @@ def utf16_length(x: Column) -> Column:
 
 
 def token_estimate(x: Column) -> Column:
-    """A quarter of the length, rounded down."""
-    return F.floor(F.length(x) / 4)
+    """A quarter of the length in UTF-16 units, rounded down."""
+    return F.floor(utf16_length(x) / 4)
+
+
+def tokens_of(x: str) -> int:
+    """``token_estimate`` of one value."""
+    return len(x.encode("utf-16-le")) // 8
 
 
 def sha256_hex(x: Column) -> Column:
@@ -53,7 +58,10 @@ def session_id(prefix: Column) -> Column:
 
 
 def preview(x: Column, width: int = 80) -> Column:
-    return F.left(collapse_space(x), F.lit(width))
+    """The first ``width`` UTF-16 units of a text with its white space collapsed; a pair of units is not cut."""
+    line = F.left(collapse_space(x), F.lit(width))
+    fits = F.filter(F.sequence(F.lit(0), F.length(line)), lambda n: utf16_length(F.left(line, n)) <= width)
+    return F.when(utf16_length(line) <= width, line).otherwise(F.left(line, F.array_max(fits)))
 
 
 def split_list(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import count_blocks, tag_names, visible_text_of
+from .html import count_blocks, count_blocks_of, tag_names, tag_names_of, visible_text_of
 from .text import is_blank, trim_space
 
 #: English words that show untranslated prose.
@@ -94,6 +94,31 @@ def english_check(content: str) -> tuple[str | None, list[str]]:
     return None, warnings
 
 
+def check_answer(source: str, content: str | None, finish_reason: str | None) -> tuple[str | None, list[str]]:
+    """(reason, warnings) of one answer, by all checks in order: what the translation loop applies."""
+    if not (content or "").strip():
+        return EMPTY, []
+    if (finish_reason or "").lower() in ("length", "max_tokens"):
+        return TRUNCATED, []
+    wanted = tag_names_of(source)
+    if wanted and not wanted & tag_names_of(content):
+        return NO_TAGS, []
+    blocks = count_blocks_of(source)
+    if blocks >= 2 and 2 * count_blocks_of(content) < blocks:
+        return DROPPED, []
+    return english_check(content)
+
+
+CHECKED = T.StructType([T.StructField("reason", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(CHECKED)
+def checked(source: pd.Series, content: pd.Series, finish_reason: pd.Series) -> pd.DataFrame:
+    """``check_answer`` of each row."""
+    found = [check_answer(s or "", c, f) for s, c, f in zip(source, content, finish_reason)]
+    return pd.DataFrame({"reason": [f[0] for f in found], "warnings": [f[1] for f in found]})
+
+
 @F.pandas_udf(T.StructType([T.StructField("reason", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))]))
 def english(content: pd.Series) -> pd.DataFrame:
     found = [(None, []) if c is None else english_check(c) for c in content]

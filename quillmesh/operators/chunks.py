@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, token_estimate
+from ..functions.text import chunk_id, pair_prompt, split_equally, token_estimate, utf16_length
 
 
 def pack_blocks(lengths: Column, budget: Column | int, joint: bool = False) -> Column:
@@ -39,7 +39,7 @@ def plan_chunks(chapters: DataFrame, budget: int, joint: bool = False, strict: b
     whole = (F.size(blocks) == 0) | ((token_estimate(F.coalesce("body_inner_html", F.lit(""))) <= budget) & F.lit(fits_whole))
     parts = F.when(whole, F.array(F.coalesce("body_inner_html", F.lit("")))).otherwise(blocks)
     rows = chapters.select("chapter_no", "file_path", parts.alias("parts"))
-    groups = pack_blocks(F.transform("parts", F.length), budget, joint)
+    groups = pack_blocks(F.transform("parts", utf16_length), budget, joint)
     if strict:
         over = F.exists("parts", lambda p: token_estimate(p) > budget)
         groups = F.when(over, F.raise_error(F.concat(F.lit("a block exceeds the token budget: "), "file_path")).cast("array<int>")).otherwise(groups)
@@ -104,19 +104,38 @@ def status_counts(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "done").alias("n_done"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.coalesce(F.bool_or(F.col("status") == "failed"), F.lit(False)).alias("has_failures"))
 
 
+def pair_places() -> tuple[Column, ...]:
+    """The columns by which a pair is named in its prompt, before and after its texts."""
+    return tuple(F.col(c) for c in ("o_idx", "n_o", "o_path", "t_idx", "n_t", "t_path"))
+
+
+def wrapped_pair(o_text: Column, t_text: Column) -> Column:
+    """The prompt of a pair from its places and two texts."""
+    o_idx, n_o, o_path, t_idx, n_t, t_path = pair_places()
+    return pair_prompt(o_idx, n_o, o_path, o_text, t_idx, n_t, t_path, t_text)
+
+
 def split_pairs(pairs: DataFrame, budget: int, most: int = 1000) -> DataFrame:
-    """label, ord, piece, parts, o_text, t_text: pairs (ord, label, o_text, t_text) cut into the fewest equal parts that fit the budget.
+    """``pairs`` (o_idx, n_o, o_path, o_text, t_idx, n_t, t_path, t_text, ...) with parts, piece and prompt: each cut into the fewest equal parts whose prompts fit the budget.
 
     Both texts are cut into the same number of parts, 2 to ``most`` if the whole
-    does not fit; a side that runs out is empty. A pair that never fits raises an error.
+    does not fit; a side that runs out is empty. What is costed is the whole prompt, with
+    the lines around the texts, in UTF-16 units. Slices are of characters; where a text has
+    characters of two units, all its are costed so. A pair that never fits raises an error.
     """
-    size = lambda p: F.floor((F.ceil(F.length("o_text") / p) + F.ceil(F.length("t_text") / p)) / 4)
-    # Cutting into p parts fits if the largest parts do; the least such p is sought among 1..most.
-    need = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda p: size(p) <= budget))
-    rows = pairs.withColumn("parts", F.coalesce(need, F.raise_error(F.concat(F.lit("a pair does not fit the budget: "), "label")).cast("int")))
-    from ..functions.text import split_equally
-
+    around = utf16_length(wrapped_pair(F.lit(""), F.lit("")))
+    room = F.lit(4 * budget + 3) - around
+    unit = lambda c: F.when(utf16_length(F.col(c)) > F.length(c), 2).otherwise(1)
+    rows = pairs.withColumns({"_room": room, "_units": utf16_length(F.col("o_text")) + utf16_length(F.col("t_text")), "_uo": unit("o_text"), "_ut": unit("t_text")})
+    size = lambda p: F.ceil(F.length("o_text") / p) * F.col("_uo") + F.ceil(F.length("t_text") / p) * F.col("_ut")
+    # The first parts are the largest. Between the quotient by the room and that by the room less what rounding adds lies the least number that fits.
+    low = F.greatest(F.lit(2), F.ceil(F.col("_units") / F.greatest("_room", F.lit(1))))
+    high = F.least(F.lit(most), F.greatest(low, F.ceil(2 * F.col("_units") / F.greatest(F.col("_room") - 4, F.lit(1))) + 1))
+    tried = F.when(low <= most, F.sequence(F.least(low, F.lit(most)).cast("int"), F.greatest(high, F.least(low, F.lit(most))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    need = F.when(F.col("_units") <= F.col("_room"), 1).otherwise(F.array_min(F.filter(tried, lambda p: size(p) <= F.col("_room"))))
+    rows = rows.withColumn("parts", F.coalesce(need, F.raise_error(F.concat(F.lit("a pair does not fit the budget: "), "o_path")).cast("int"))).drop("_room", "_units", "_uo", "_ut")
     cut = rows.withColumns({"_o": split_equally(F.col("o_text"), F.col("parts")), "_t": split_equally(F.col("t_text"), F.col("parts"))})
-    cut = cut.select("label", "ord", "parts", "_o", "_t", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("piece"))
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_o"), F.size("_t")))))
     at = lambda c: F.coalesce(F.try_element_at(c, F.col("piece")), F.lit(""))
-    return cut.select("label", "ord", "piece", "parts", at("_o").alias("o_text"), at("_t").alias("t_text"))
+    cut = cut.withColumns({"o_text": at("_o"), "t_text": at("_t"), "parts": F.greatest(F.size("_o"), F.size("_t"))}).drop("_o", "_t")
+    return cut.withColumn("prompt", wrapped_pair(F.col("o_text"), F.col("t_text")))

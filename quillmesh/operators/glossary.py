@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import appears_in, blank_to_null, is_blank, trim_space
 
-#: Terms up to this number are broadcast to a nested loop; more go through an equi-join on their first word.
+#: Terms up to this number are broadcast to a nested loop; more go through an equi-join.
 BROADCAST_TERMS = 2_000
+#: Characters of the key of a term that does not begin with an ASCII letter.
+GRAM = 3
 
 
 def terms_of(entries: DataFrame) -> DataFrame:
@@ -19,23 +21,26 @@ def terms_of(entries: DataFrame) -> DataFrame:
 def term_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """id_col, ord, term: which terms (ord, term) appear in which texts.
 
-    Few terms, by count, are broadcast and tested against every text, which is
-    lowered once. Many terms are first equi-joined on their first run of letters:
-    no ASCII letter may stand beside a term, so one that starts with an ASCII letter
-    occurs only where that run is a whole run of the text.
+    Few terms, by count, are broadcast and tested against every text where it lies.
+    Many are first matched by a key of (id, key) rows without texts: no ASCII letter may stand
+    beside a term, so one that begins with an ASCII letter occurs only where its first run of letters is a
+    whole run of the text; any other occurs only where its first GRAM characters do. Candidates
+    are then tested beside their text. Rows of one id are one text's worth of candidates.
     """
-    texts = texts.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
     few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    test = appears_in(F.col("_text"), F.col("term"), F.col("_low"))
     if few:
-        spread = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return spread.join(F.broadcast(terms.select("ord", "term")), test).select(id_col, "ord", "term")
-    first = F.lower(F.regexp_extract("term", "^[A-Za-z]+", 0))
-    keyed = terms.select("ord", "term", first.alias("_run"))
-    runs = texts.select(id_col, "_text", "_low", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("([a-z]+)"), 1))).alias("_run"))
-    by_run = runs.join(keyed.where("_run != ''"), "_run").where(test).select(id_col, "ord", "term")
-    odd = texts.join(F.broadcast(keyed.where("_run = ''")), test).select(id_col, "ord", "term")
-    return by_run.unionByName(odd)
+        texts = texts.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
+        return texts.join(F.broadcast(terms.select("ord", "term")), appears_in(F.col("_text"), F.col("term"), F.col("_low"))).select(id_col, "ord", "term")
+    run = F.lower(F.regexp_extract("term", "^[A-Za-z]+", 0))
+    keyed = terms.where("term != ''").select("ord", "term", F.when(run != "", run).otherwise(F.concat(F.lit(" "), F.left(F.lower("term"), F.lit(GRAM)))).alias("_key"))
+    low = F.lower(text_col)
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.substring(low, i, F.lit(n))))
+    keys = F.array_union(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), F.flatten(F.array(*(grams(n) for n in range(1, GRAM + 1)))))
+    odd = keyed.where("_key like ' %'").limit(1).count()
+    seen = texts.select(id_col, F.explode(keys if odd else F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1))).alias("_key"))
+    candidates = seen.join(keyed, "_key").select(F.col(id_col).alias("_id"), "ord", "term").distinct()
+    both = texts.select(id_col, F.col(text_col).alias("_text")).join(candidates, F.col(id_col) == F.col("_id"))
+    return both.where(appears_in(F.col("_text"), F.col("term"))).select(id_col, "ord", "term")
 
 
 def compile_glossary(entries: DataFrame, texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

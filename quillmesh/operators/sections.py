@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import classify_role
-from ..functions.text import length_ratio, pair_path_key, preview
+from ..functions.text import is_blank, length_ratio, pair_path_key, preview
+from .numbering import number_within
 
 
 def number_sections(chapters: DataFrame, book_col: str = "book_id", order_col: str = "spine") -> DataFrame:
     """``chapters`` with idx, 1, 2, ... within a book, blank sections left out first."""
-    kept = chapters.where("trim(coalesce(plain_text, '')) != ''")
-    return kept.withColumn("idx", F.row_number().over(Window.partitionBy(book_col).orderBy(order_col)))
+    return number_within(chapters.where(~is_blank(F.col("plain_text"))), book_col, order_col, "idx")
 
 
 def preview_sections(sections: DataFrame) -> DataFrame:

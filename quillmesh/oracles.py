@@ -38,7 +38,7 @@ _EDITIONS = "e AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY la
 
 
 def _chunks(joint: bool) -> str:
-    cost = "length(line)" if joint else "length(line) // 4"
+    cost = _units("line") if joint else f"{_units('line')} // 4"
     limit = BUDGET * 4 + 3 if joint else BUDGET
     return f"""
 WITH RECURSIVE l AS (
@@ -75,6 +75,21 @@ z AS (SELECT *, len(regexp_extract_all(t, '[0-9]')) AS nd, len(regexp_extract_al
 pr AS (SELECT *, t = '' OR regexp_matches(t, '[01]{{8,}}') OR (nd >= 6 AND nd * 2 >= nl) OR (nd >= 4 AND regexp_matches(t, '[=%/>]')) AS protocol FROM z)"""
 
 
+def _units(c: str) -> str:
+    """Length in UTF-16 units."""
+    return f"(length({c}) + length(regexp_replace({c}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+#: From protocol-free lines pr(k, pos, line, protocol): the first failing run's first known word of each k, and its warnings.
+_ENGLISH = f"""ws AS (
+  SELECT k, pos, unnest(regexp_extract_all(line, '[\\pL\\pN_]+')) AS w, unnest(regexp_extract_all(line, '([^\\pL\\pN_]*)[\\pL\\pN_]+', 1)) AS gap, unnest(range(len(regexp_extract_all(line, '[\\pL\\pN_]+')))) AS i FROM pr WHERE NOT protocol
+), a AS (SELECT *, regexp_full_match(w, '[A-Za-z]+') AS plain FROM ws),
+b AS (SELECT *, CASE WHEN coalesce(lag(plain) OVER o, false) AND regexp_full_match(gap, '[\\s,''"’‘«»-]*') THEN 0 ELSE 1 END AS fresh FROM a WINDOW o AS (PARTITION BY k, pos ORDER BY i)),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY k, pos ORDER BY i) AS run FROM b),
+r AS (SELECT k, pos, run, count(*) AS n, count(*) FILTER (lower(w) IN ({_in(FUNCTION_WORDS)})) AS f, arg_min(w, i) FILTER (lower(w) IN ({_in(FUNCTION_WORDS)})) AS word FROM c WHERE plain GROUP BY ALL HAVING f > 0),
+en AS (SELECT k, arg_min(word, (pos, run)) FILTER (n >= 3 OR f >= 2) AS word, count(*) FILTER (n < 3 AND f < 2) AS warned FROM r GROUP BY k)"""
+
+
 def _tags(c: str) -> str:
     return f"list_filter(list_distinct(list_transform(regexp_extract_all({c}, '</?([A-Za-z][A-Za-z0-9]*)\\b', 1), lambda x: lower(x))), lambda x: x NOT IN ('html', 'head', 'body'))"
 
@@ -89,9 +104,13 @@ def _plain(c: str) -> str:
         x = f"regexp_replace({x}, '(?is)<{name}\\b[^>]*>.*?</{name}>', '', 'g')"
     x = f"regexp_replace({x}, '(?i)<br\\b[^>]*>|</(p|div|h[1-6]|li|blockquote|section|article|tr|table|ul|ol)>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    return f"regexp_replace(regexp_replace({_unescaped(x)}, '^\\n+', ''), '\\n+', chr(10), 'g')"
+
+
+def _unescaped(x: str) -> str:
     for name, sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
         x = f"replace({x}, '{name}', {sign})"
-    return f"regexp_replace(regexp_replace({x}, '^\\n+', ''), '\\n+', chr(10), 'g')"
+    return x
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT * FROM ph WHERE len(list_filter(string_split(lower(phrase), ' '), lambda w: w NOT IN ({_in(STOP_WORDS)}))) > 0
 ), c AS (SELECT lower(phrase) AS k, first(phrase ORDER BY doc_id, pos, phrase) AS term, count(*) AS n, min(doc_id) AS first_doc FROM ok GROUP BY k)
 SELECT term, n, first_doc FROM c WHERE k NOT IN (SELECT lower(term) FROM terms)""",
-        "token_estimate": "SELECT lang, sum(length(text) // 4)::BIGINT AS tokens, max(length(text) // 4)::BIGINT AS most FROM documents GROUP BY lang",
+        "token_estimate": f"SELECT lang, sum({_units('text')} // 4)::BIGINT AS tokens, max({_units('text')} // 4)::BIGINT AS most FROM documents GROUP BY lang",
         "source_budget": """WITH p(context, reserved, prefix, max_input, multiplier, reserve) AS (VALUES (1000000, 128000, 5000, 90000, 0.0::DOUBLE, 0), (1000000, 128000, 5000, 90000, 2.0, 0), (1000000, 128000, 5000, 90000, 2.0, 8192), (100000, 30000, 5000, 90000, 0.0, 0), (100000, 30000, 5000, NULL, 0.0, 0))
 SELECT context, reserved, multiplier, reserve, least(context - prefix - reserved, max_input - prefix, CASE WHEN multiplier > 0 THEN floor((reserved - reserve) / multiplier)::BIGINT END)::BIGINT AS budget FROM p""",
         "chunk_plan": _chunks(False),
@@ -154,24 +173,27 @@ SELECT status, count(*) AS n, count(CASE WHEN status = 'done' THEN html END) AS
         "block_count": f"SELECT page_id, {blocks('html')}::BIGINT AS n_blocks FROM pages",
         "distinct_tags": f"SELECT page_id, array_to_string(list_sort({_tags('html')}), ',') AS tags FROM pages",
         "html_plain_text": f"SELECT page_id, sha256({_plain('html')}) AS sha FROM pages",
-        "page_heading": "SELECT page_id, regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS heading FROM pages",
+        "page_heading": f"SELECT page_id, nullif(trim(regexp_replace({_unescaped("regexp_replace(regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g')), '') AS heading FROM pages",
         "collapse_ws_hash": f"SELECT doc_id, sha256(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) AS sha FROM documents",
         "validate_translation": f"""WITH w AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations),
-x AS (SELECT conv_id, turn, {_wrap('b')} AS source, CASE WHEN turn % 3 = 2 THEN text ELSE {_wrap('text')} END AS content, CASE WHEN conv_id % 5 = 0 THEN 'LENGTH' ELSE 'stop' END AS finish FROM w WHERE role = 'assistant' AND b IS NOT NULL)
+x AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS k, conv_id, turn, text, {_wrap('b')} AS source, CASE WHEN turn % 3 = 2 THEN text ELSE {_wrap('text')} END AS content, CASE WHEN conv_id % 5 = 0 THEN 'LENGTH' ELSE 'stop' END AS finish FROM w WHERE role = 'assistant' AND b IS NOT NULL),
+l AS (SELECT k, unnest(y) AS line, unnest(range(len(y))) AS pos FROM (SELECT k, string_split(text, chr(10)) AS y FROM x)), {_PROTOCOL}, {_ENGLISH}
 SELECT conv_id, turn, CASE WHEN content IS NULL OR regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g') = '' THEN 'empty' WHEN lower(finish) IN ('length', 'max_tokens') THEN 'truncated'
   WHEN len({_tags('source')}) > 0 AND NOT list_has_any({_tags('source')}, {_tags('content')}) THEN 'no source tags'
-  WHEN {blocks('source')} >= 2 AND {blocks('content')} * 2 < {blocks('source')} THEN 'dropped blocks' END AS reason FROM x""",
+  WHEN {blocks('source')} >= 2 AND {blocks('content')} * 2 < {blocks('source')} THEN 'dropped blocks' ELSE 'English function word: ' || word END AS reason FROM x LEFT JOIN en USING (k)""",
         "protocol_lines": f"WITH {_LINES}, {_PROTOCOL} SELECT doc_id, count(*) FILTER (protocol) AS n_protocol, count(*) AS n_lines FROM pr GROUP BY doc_id",
-        "english_runs": f"""WITH {_LINES}, {_PROTOCOL}, ws AS (
-  SELECT doc_id, pos, unnest(regexp_extract_all(line, '[\\pL\\pN_]+')) AS w, unnest(regexp_extract_all(line, '([^\\pL\\pN_]*)[\\pL\\pN_]+', 1)) AS gap, unnest(range(len(regexp_extract_all(line, '[\\pL\\pN_]+')))) AS k FROM pr WHERE lang <> 'en' AND NOT protocol
-), a AS (SELECT *, regexp_full_match(w, '[A-Za-z]+') AS plain FROM ws),
-b AS (SELECT *, CASE WHEN coalesce(lag(plain) OVER o, false) AND regexp_full_match(gap, '[\\s,''"’‘«»-]*') THEN 0 ELSE 1 END AS fresh FROM a WINDOW o AS (PARTITION BY doc_id, pos ORDER BY k)),
-c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, pos ORDER BY k) AS run FROM b),
-r AS (SELECT doc_id, pos, run, count(*) AS n, count(*) FILTER (lower(w) IN ({_in(FUNCTION_WORDS)})) AS f FROM c WHERE plain GROUP BY ALL HAVING f > 0)
-SELECT doc_id, count(*) FILTER (n >= 3 OR f >= 2) AS n_fail, count(*) FILTER (n < 3 AND f < 2) AS n_warn FROM r GROUP BY doc_id""",
+        "english_runs": f"""WITH {_LINES.replace("SELECT doc_id, lang, unnest", "SELECT doc_id AS k, unnest").replace("FROM documents", "FROM documents WHERE lang <> 'en'")}, {_PROTOCOL}, {_ENGLISH}
+SELECT doc_id, word, CASE WHEN word IS NOT NULL THEN 0 ELSE least(3, coalesce(warned, 0)) END::BIGINT AS n_warn FROM documents LEFT JOIN en ON k = doc_id WHERE lang <> 'en'""",
         "usage_totals": "SELECT sum((6 + length(text)) // 4)::BIGINT AS prompt_tokens, 0::BIGINT AS cached_tokens, sum(length(text) // 4)::BIGINT AS completion_tokens, count(*) AS steps, 0::BIGINT AS failures FROM conversations",
         "response_parse": "SELECT conv_id, turn, role, sha256(text) AS sha, 'stop' AS finish_reason, length(text)::BIGINT AS prompt_tokens, NULL::BIGINT AS cached_tokens FROM conversations",
-        "sse_fold": "SELECT conv_id AS stream_id, sha256(string_agg(text, '' ORDER BY turn, role)) AS sha FROM conversations GROUP BY conv_id",
-        "plain_text_join": "SELECT source AS book_id, sha256(string_agg(text, chr(10) ORDER BY doc_id, text)) AS sha FROM documents GROUP BY source",
+        "sse_fold": "SELECT conv_id AS stream_id, sha256(string_agg(text, '' ORDER BY turn, role)) AS sha, 'stop' AS finish_reason, count(*) AS prompt_tokens, NULL::VARCHAR AS error FROM conversations GROUP BY conv_id",
+        "plain_text_join": "SELECT doc_id // 100 AS book_id, sha256(string_agg(text, chr(10) ORDER BY doc_id, text)) AS sha FROM documents GROUP BY ALL",
+        "split_pairs": """WITH j AS (SELECT a.doc_id AS ord, a.text AS o, b.text AS t, 'Original [' || a.doc_id || '/9] o' || a.doc_id || ':' || chr(10) AS h1, chr(10) || chr(10) || 'Translation [' || b.doc_id || '/7] t' || b.doc_id || ':' || chr(10) AS h2 FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2 WHERE a.doc_id >= 0 AND a.text IS NOT NULL AND b.text IS NOT NULL),
+n AS (SELECT *, list_filter(range(1, 1001), lambda p: (length(h1) + length(h2) + ceil(length(o) / p) + ceil(length(t) / p))::BIGINT // 4 <= 600)[1] AS p FROM j),
+z AS (SELECT *, greatest(1, ceil(length(o) / p))::BIGINT AS so, greatest(1, ceil(length(t) / p))::BIGINT AS st FROM n),
+c AS (SELECT *, greatest(1, ceil(length(o) / so), ceil(length(t) / st))::BIGINT AS parts FROM z),
+q AS (SELECT *, unnest(range(1, parts + 1)) AS i FROM c),
+y AS (SELECT ord, parts, i, h1 || substr(o, (i - 1) * so + 1, so) || h2 || substr(t, (i - 1) * st + 1, st) AS prompt FROM q)
+SELECT ord, parts, max(length(prompt))::BIGINT AS longest, sha256(string_agg(prompt, chr(10) ORDER BY i)) AS sha FROM y GROUP BY ord, parts""",
         "safe_ids": f"SELECT page_id, regexp_replace(url, '[^A-Za-z0-9-]', '_', 'g') AS file_id, trim(replace(url, '\\', '/'), '/') AS entry, lower(trim(replace(regexp_replace(url, '^{SPACE}+|{SPACE}+$', '', 'g'), '\\', '/'), '/')) AS pair_key FROM pages",
     }

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -12,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_error, session_id
-from ..functions.validate import english_check
+from ..functions.text import compact_error, session_id, tokens_of
+from ..functions.validate import check_answer
+from ..streaming.ordered import EventFold
 
 
 @dataclass(frozen=True)
@@ -86,6 +90,118 @@ def parse_response(body: Column) -> Column:
     return F.struct(content.alias("content"), at("$.choices[0].finish_reason").alias("finish_reason"), at("$.usage.prompt_tokens").cast("long").alias("prompt_tokens"), cached.cast("long").alias("cached_tokens"), at("$.usage.completion_tokens").cast("long").alias("completion_tokens"))
 
 
+#: Efforts that a model's reasoning may be given, and how long a cached prefix may live.
+EFFORTS, LIFETIMES = ("", "none", "minimal", "low", "medium", "high", "xhigh", "max"), ("", "5m", "1h")
+
+
+@dataclass(frozen=True)
+class HttpCompleter:
+    """A client of a chat-completions service at ``base_url``; the key is read from the environment where the call runs.
+
+    Errors that may pass (429, 500 and above, time-outs, a connection that fails or breaks off, a broken stream)
+    are retryable; others are not.
+    """
+
+    base_url: str
+    model: str
+    max_tokens: int
+    key_variable: str = "QUILLMESH_API_KEY"
+    timeout: float = 300.0
+    temperature: float | None = None
+    stream: bool = False
+    caching: bool = False
+    cache_ttl: str | None = None
+    reasoning: str | None = None
+
+    def __post_init__(self):
+        if not self.base_url.strip():
+            raise ValueError("no address of a service is configured")
+        if self.timeout <= 0:
+            raise ValueError("the time-out must be positive")
+        if self.max_tokens <= 0:
+            raise ValueError("the completion token limit must be positive")
+        if (self.reasoning or "") not in EFFORTS:
+            raise ValueError(f"reasoning is one of {EFFORTS[1:]}, or left out")
+        if (self.cache_ttl or "") not in LIFETIMES:
+            raise ValueError(f"a cached prefix lives {LIFETIMES[1:]}, or that is left out")
+
+    def request(self, prefix: str, content: str, feedback: str | None) -> dict:
+        """The same fields as ``request_json``, of one call."""
+        control = {"type": "ephemeral"} | ({"ttl": self.cache_ttl} if self.cache_ttl else {})
+        system = [{"type": "text", "text": prefix, "cache_control": control}] if self.caching else prefix
+        users = [{"role": "user", "content": c} for c in (feedback, content) if c and c.strip() or c is content]
+        out = {"model": self.model, "messages": [{"role": "system", "content": system}, *users]}
+        out |= {"max_completion_tokens" if self.caching else "max_tokens": self.max_tokens, "stream": self.stream}
+        if self.temperature is not None:
+            out["temperature"] = self.temperature
+        if self.stream:
+            out["stream_options"] = {"include_usage": True}
+        if self.reasoning:
+            out["reasoning"] = {"enabled": False} if self.reasoning == "none" else {"effort": self.reasoning, "exclude": True}
+        return out
+
+    def __call__(self, prefix: str, content: str, feedback: str | None) -> Answer:
+        key = os.environ.get(self.key_variable, "")
+        if not key.strip():
+            raise CompletionError(f"no key is configured: {self.key_variable} is unset", False)
+        url = self.base_url.rstrip("/") + "/chat/completions"
+        body = json.dumps(self.request(prefix, content, feedback), ensure_ascii=False).encode("utf-8")
+        call = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        try:
+            with urllib.request.urlopen(call, timeout=self.timeout) as response:
+                return self.streamed(response) if self.stream else whole_answer(response.read().decode("utf-8"))
+        except urllib.error.HTTPError as e:
+            said = " ".join(e.read().decode("utf-8", "replace").split())[:500]
+            text = f"the gateway refused the credentials ({e.code})" if e.code in (401, 403) else f"the gateway answered {e.code}: {said}"
+            raise CompletionError(text, e.code == 429 or e.code >= 500) from e
+        except TimeoutError as e:
+            raise CompletionError("the request timed out", True) from e
+        except OSError as e:
+            raise CompletionError(f"the gateway is out of reach: {e}", True) from e
+
+    def streamed(self, response) -> Answer:
+        fold = EventFold()
+        for line in response:
+            if fold.feed(line.decode("utf-8", "replace")):
+                break
+        out = fold.result()
+        if out.pop("error") is not None:
+            raise CompletionError(f"the stream failed: {fold.result()['error']}", True)
+        return Answer(**out)
+
+
+def whole_answer(body: str) -> Answer:
+    """The answer in a response's JSON; a response without one may be tried again."""
+    try:
+        out = json.loads(body)
+        choice = out["choices"][0]
+        text = choice["message"].get("content")
+    except (ValueError, LookupError, TypeError, AttributeError) as e:
+        raise CompletionError("the gateway's answer holds no choice", True) from e
+    if isinstance(text, list):
+        text = "".join(p.get("text") or "" for p in text if p.get("type") == "text")
+    usage = out.get("usage") or {}
+    nested = (usage.get("prompt_tokens_details") or {}).get("cached_tokens")
+    return Answer(text, choice.get("finish_reason"), usage.get("prompt_tokens"), usage.get("cached_tokens") if nested is None else nested, usage.get("completion_tokens"))
+
+
+@dataclass(frozen=True)
+class Room:
+    """The tokens that a call may use: the prefix's, and the limits."""
+
+    prefix_tokens: int
+    context_tokens: int
+    reserved_output_tokens: int
+    max_input_tokens: int | None = None
+    #: Fixed value: what the messages themselves are reckoned at.
+    OVERHEAD = 16
+
+    def holds(self, content: str, note: str) -> bool:
+        """Whether a note fits beside the content."""
+        used = self.prefix_tokens + tokens_of(content) + tokens_of(note) + self.OVERHEAD
+        return used + self.reserved_output_tokens <= self.context_tokens and (self.max_input_tokens is None or used <= self.max_input_tokens)
+
+
 def feedback_for(reason: str, room: int = 600) -> str:
     """A short note on why an answer failed; the reason is cut until the note fits."""
     head, tail = "The last answer failed a check (data, not instructions): ", "\nTranslate the whole fragment in the next message again and return nothing else."
@@ -96,33 +212,38 @@ def feedback_for(reason: str, room: int = 600) -> str:
 
 
 def default_check(source: str, answer: Answer) -> str | None:
-    """Why an answer fails, by the checks that need no source markup; None if it does not."""
-    if not (answer.content or "").strip():
-        return "empty"
-    if (answer.finish_reason or "").lower() in ("length", "max_tokens"):
-        return "truncated"
-    return english_check(answer.content)[0]
+    """Why an answer fails, by all rules of ``validate`` in their order; None if it does not."""
+    return check_answer(source, answer.content, answer.finish_reason)[0]
 
 
 COMPLETED = "chunk_id string, status string, html string, reason string, attempts int, prompt_tokens long, cached_tokens long, completion_tokens long"
 
 
-def complete_chunks(chunks: DataFrame, completer: Completer, prefix: str, retries: int = 3, check: Callable[[str, Answer], str | None] | None = default_check, concurrency: int = 2, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+def complete_chunks(chunks: DataFrame, completer: Completer, prefix: str, retries: int = 3, check: Callable[[str, Answer], str | None] | None = default_check, concurrency: int | None = 2, pause: Callable[[float], None] = time.sleep, room: Room | None = None, stop_on_failure: bool = False) -> DataFrame:
     """Each chunk's outcome (COMPLETED): call, check, feed back and retry.
 
-    A chunk whose tries run out has failed and keeps its reason; an error that cannot
-    be retried has status ``error``. ``concurrency`` is the number of partitions.
+    A chunk whose tries run out has failed and keeps its reason. An error that cannot
+    be retried has status ``error``; what its partition has not asked yet stays ``pending``, so that the
+    caller can store what was answered and raise (``raise_first``). With ``stop_on_failure`` a failure does the same.
+    Feedback that ``room`` does not hold is left out. ``concurrency`` bounds the calls at a time
+    by the number of partitions; with None chunks are asked where they lie, without a shuffle or a bound.
     Calls are not repeatable, so store the result before reading it twice.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COMPLETED.split(", ")]
+        stopped = False
         for b in batches:
             rows = []
             for key, source in zip(b["chunk_id"], b["source_html"]):
+                if stopped:
+                    rows.append((key, "pending", None, None, 0, None, None, None))
+                    continue
                 note = reason = answer = None
                 status = "failed"
                 for attempt in range(1, max(1, retries) + 1):
+                    if attempt > 1:
+                        pause(0.1 * 2 ** min(attempt - 2, 6))
                     try:
                         answer = completer(prefix, source, note)
                         reason = check(source, answer) if check else None
@@ -130,18 +251,51 @@ def complete_chunks(chunks: DataFrame, completer: Completer, prefix: str, retrie
                             status = "done"
                             break
                         note = feedback_for(reason)
+                        if room is not None and not room.holds(source, note):
+                            note = None
                     except CompletionError as e:
                         reason = str(e)
                         if not e.retryable:
                             status = "error"
                             break
-                        pause(0.1 * 2 ** min(attempt - 1, 6))
                 a = answer or Answer(None)
+                stopped = status == "error" or (stop_on_failure and status == "failed")
                 rows.append((key, status, a.content if status == "done" else None, reason, attempt, a.prompt_tokens, a.cached_tokens, a.completion_tokens))
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({c: "Int64" for c in names[5:]})
 
-    return chunks.select("chunk_id", "source_html").repartition(concurrency, "chunk_id").mapInPandas(run, COMPLETED)
+    asked = chunks.select("chunk_id", "source_html")
+    if concurrency is not None:
+        asked = asked.repartition(concurrency, "chunk_id")
+    return asked.mapInPandas(run, COMPLETED)
+
+
+class RunStopped(RuntimeError):
+    """A call failed for good. What was answered before is stored; ``partial`` holds what could be made of it."""
+
+    def __init__(self, chunk_id: str, reason: str, partial: DataFrame | None = None):
+        super().__init__(f"{chunk_id}: {reason}")
+        self.chunk_id, self.reason, self.partial = chunk_id, reason, partial
+
+
+def first_failure(outcomes: DataFrame, statuses: tuple[str, ...] = ("error",)) -> tuple[str, str] | None:
+    """(chunk_id, reason) of the first chunk by id that ended in one of ``statuses``."""
+    found = outcomes.where(F.col("status").isin(*statuses)).orderBy("chunk_id").select("chunk_id", "reason").limit(1).collect()
+    return (found[0]["chunk_id"], found[0]["reason"]) if found else None
+
+
+def ask_all(remaining: DataFrame, keep: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame], statuses: tuple[str, ...] = ("error",), order: str = "chunk_id") -> DataFrame:
+    """All outcomes of ``remaining`` (chunk_id, source_html): the first chunk alone, so that a provider's prefix cache is warm, then the others.
+
+    ``keep`` stores what was answered at once; a first chunk that ends the run spares the others.
+    """
+    from .progress import warm_up
+
+    first, rest = warm_up(remaining, order)
+    head = keep(ask(first))
+    if first_failure(head, statuses):
+        return head
+    return head.unionByName(keep(ask(rest)))
 
 
 def usage_totals(steps: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .completer import eta_seconds
@@ -31,16 +31,51 @@ def eta(steps: DataFrame, planned: int, width: int) -> DataFrame:
     return t.select(eta_seconds(F.col("average_seconds"), F.lit(planned) - F.col("done"), F.lit(width)).alias("eta_seconds"))
 
 
-def check_extract_arguments(list_pairs: bool, out: str | None = None, merge_into: str | None = None, pairs: str | None = None, max_pairs: int | None = None, resume: bool = False) -> None:
-    """Refuse combinations of arguments that contradict each other."""
-    if list_pairs and (out or merge_into or pairs or resume or max_pairs is not None):
-        raise ValueError("listing pairs takes no other argument")
-    if not list_pairs and not out:
-        raise ValueError("an output is needed")
+#: Columns of the bar, and its signs.
+BAR_WIDTH, FULL, EMPTY = 20, "█", "░"
+
+
+def duration_text(seconds: Column) -> Column:
+    """``h:mm:ss`` from an hour on, else ``m:ss``; seconds are rounded down, a null is a dash."""
+    whole = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
+    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
+    return F.when(seconds.isNull(), "—").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+
+
+def bar_text(done: Column, total: Column, width: int = BAR_WIDTH) -> Column:
+    """A bar of ``width`` signs, filled by the share that is done."""
+    full = F.when(total > 0, F.least(F.lit(width), F.greatest(F.lit(0), F.floor(done * width / total)))).otherwise(F.lit(0)).cast("int")
+    return F.concat(F.repeat(F.lit(FULL), full), F.repeat(F.lit(EMPTY), F.lit(width) - full))
+
+
+def fit_label(label: Column, taken: Column | int, width: int = 80) -> Column:
+    """A label cut, with an ellipsis, to what ``taken`` columns leave of a line, whose last column stays empty; lines under 40 count as 80."""
+    room = F.lit((80 if width < 40 else width) - 1) - taken
+    cut = F.concat(F.left(label, F.greatest(room - 1, F.lit(0))), F.lit("…"))
+    return F.when(room <= 0, "").when(F.length(label) <= room, label).when(room <= 1, "").otherwise(cut)
+
+
+def progress_line(done: Column, total: Column, label: Column, eta_s: Column, width: int = 80) -> Column:
+    """The line of a run: bar, counter, label, time to go (a dash if nothing is known or left)."""
+    count = F.concat_ws("/", done.cast("string"), total.cast("string"))
+    left = F.concat(F.lit("ETA "), F.when(eta_s > 0, duration_text(eta_s)).otherwise("—"))
+    name = fit_label(label, F.lit(BAR_WIDTH + 1 + 2 + 1) + F.length(count) + F.length(left), width)
+    return F.concat(bar_text(done, total), F.lit(" "), count, F.when(F.coalesce(F.length(name), F.lit(0)) > 0, F.concat(F.lit(" "), name)).otherwise(""), F.lit("  "), left)
+
+
+def check_extract_arguments(list_pairs: bool, out: str | None = None, merge_into: str | None = None, pairs: str | None = None, max_pairs: int | None = None, resume: bool = False, model: str | None = None, work_dir: str | None = None, concurrency: int | None = None) -> None:
+    """Refuse combinations of arguments that contradict each other; blank ones count as absent."""
+    out, merge_into, pairs, model, work_dir = ((x or "").strip() for x in (out, merge_into, pairs, model, work_dir))
+    if list_pairs and (out or merge_into or model or work_dir or resume or concurrency is not None):
+        raise ValueError("listing pairs takes no output, merge, model, work directory, resume or concurrency")
+    if list_pairs and pairs:
+        raise ValueError("listing pairs takes no pair map")
     if max_pairs is not None and not pairs:
         raise ValueError("max_pairs needs a pair map")
     if max_pairs is not None and max_pairs <= 0:
         raise ValueError("max_pairs must be positive")
+    if not list_pairs and not out:
+        raise ValueError("an output is needed")
 
 
 def warm_up(remaining: DataFrame, order_col: str) -> tuple[DataFrame, DataFrame]:

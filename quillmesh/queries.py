@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import html as h
 from .functions import roles, text, validate
 from .operators import candidates, chunks, glossary, sections
+from .operators.numbering import number_within
 from .plans import completer
 from .sources import glossary_md, pairmap
 from .streaming import ordered
@@ -53,10 +54,11 @@ def _glossary(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(GLOSSARY if rows is None else rows, glossary_md.ENTRY)
 
 
-def _edition(docs: DataFrame, lang: str) -> DataFrame:
-    """A language's documents as numbered sections with paths ``lang/n``."""
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return docs.where(F.col("lang") == lang).select(n.alias("idx"), F.concat_ws("/", "lang", n.cast("string")).alias("file_path"), F.col("text").alias("plain_text"))
+def _edition(docs: DataFrame, lang: str, **columns) -> DataFrame:
+    """A language's documents as numbered sections with paths ``lang/n``; ``columns`` are made of the text before that is left behind."""
+    rows = docs.where(F.col("lang") == lang).select("lang", "doc_id", *(c.alias(n) for n, c in columns.items()))
+    rows = number_within(rows, "lang", "doc_id", "idx")
+    return rows.select("idx", F.concat_ws("/", "lang", F.col("idx").cast("string")).alias("file_path"), *columns)
 
 
 def glossary_compile(spark, sf_dir):
@@ -121,7 +123,7 @@ def chunk_reassembly(spark, sf_dir):
 
 def spine_pairs(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    side = lambda lang: _edition(docs, lang).select("idx", "file_path", text.preview(F.col("plain_text")).alias("preview"), F.lit("other").alias("role"), F.length("plain_text").alias("n_chars"))
+    side = lambda lang: _edition(docs, lang, preview=text.preview(F.col("text")), role=F.lit("other"), n_chars=F.length("text"))
     return sections.spine_pairs(side("en"), side("fr")).select("idx", "o_file_path", "o_preview", "t_file_path", "t_preview", "ratio", "is_tail")
 
 
@@ -204,11 +206,11 @@ def distinct_tags(spark, sf_dir):
 
 
 def html_plain_text(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(h.plain_text_fast(F.col("html")), 256).alias("sha"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(h.plain_text(F.col("html")), 256).alias("sha"))
 
 
 def page_heading(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", h.first_heading_markup(F.col("html")).alias("heading"))
+    return _table(spark, sf_dir, "pages").select("page_id", h.first_heading(F.col("html")).alias("heading"))
 
 
 def collapse_ws_hash(spark, sf_dir):
@@ -216,12 +218,13 @@ def collapse_ws_hash(spark, sf_dir):
 
 
 def validate_translation(spark, sf_dir):
-    """Structure checks of each assistant turn against the turn before it; no finish reason is known, but for every fifth."""
+    """All checks, as the translation loop makes them, of each assistant turn against the turn before it; every fifth conversation broke off."""
     turns = _table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     wrap = lambda c: F.concat(F.lit("<p>"), F.replace(c, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
     rows = turns.select("conv_id", "turn", "role", wrap(before).alias("source"), F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(wrap(F.col("text"))).alias("content"), F.when(F.col("conv_id") % 5 == 0, "LENGTH").otherwise("stop").alias("finish")).where("role = 'assistant' and source is not null")
-    return rows.select("conv_id", "turn", validate.structural_reason(F.col("source"), F.col("content"), F.col("finish")).alias("reason"))
+    reason = validate.checked("source", "content", "finish")["reason"]
+    return rows.select("conv_id", "turn", F.regexp_replace(reason, "(?s); context: .*", "").alias("reason"))
 
 
 def _doc_lines(docs: DataFrame) -> DataFrame:
@@ -234,22 +237,14 @@ def protocol_lines(spark, sf_dir):
 
 
 def english_runs(spark, sf_dir):
-    """Failing and warning runs per document outside English, by windows over words."""
-    rows = _doc_lines(_table(spark, sf_dir, "documents").where("lang != 'en'")).where(~validate.is_protocol_like(F.col("line")))
-    words = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+"), 0)
-    gaps = F.regexp_extract_all("line", F.lit(r"([^\p{L}\p{N}_]*)[\p{L}\p{N}_]+"), 1)
-    w = rows.select("doc_id", "pos", F.posexplode(F.arrays_zip(words.alias("w"), gaps.alias("g"))).alias("k", "x")).select("doc_id", "pos", "k", F.col("x.w").alias("w"), F.col("x.g").alias("g"))
-    plain = w.withColumn("ascii", F.col("w").rlike("^[A-Za-z]+$"))
-    order = Window.partitionBy("doc_id", "pos").orderBy("k")
-    joined = F.coalesce(F.lag("ascii").over(order), F.lit(False)) & F.col("g").rlike("^[\\s,'\"’‘«»-]*$")
-    runs = plain.withColumn("new", (~joined).cast("int")).withColumn("run", F.sum("new").over(order)).where("ascii")
-    each = runs.groupBy("doc_id", "pos", "run").agg(F.count("*").alias("n"), F.count_if(F.lower("w").isin(*validate.FUNCTION_WORDS)).alias("f")).where("f > 0")
-    return each.groupBy("doc_id").agg(F.count_if((F.col("n") >= 3) | (F.col("f") >= 2)).alias("n_fail"), F.count_if((F.col("n") < 3) & (F.col("f") < 2)).alias("n_warn"))
+    """What the check for untranslated prose says of documents outside English: the first failing word, or the number of warnings (three at most)."""
+    found = _table(spark, sf_dir, "documents").where("lang != 'en'").select("doc_id", validate.english("text").alias("e"))
+    return found.select("doc_id", F.regexp_extract("e.reason", "^[^:]*: ([A-Za-z]+)", 1).alias("word"), F.size("e.warnings").cast("long").alias("n_warn"))
 
 
 def usage_totals(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("text").alias("source_html"))
-    done = completer.complete_chunks(turns, completer.echo, "prefix", check=None, concurrency=8)
+    done = completer.complete_chunks(turns, completer.echo, "prefix", check=None, concurrency=None)
     return completer.usage_totals(done)
 
 
@@ -263,16 +258,18 @@ def response_parse(spark, sf_dir):
 
 
 def sse_fold(spark, sf_dir):
-    """Each conversation as an event stream of its turns, folded by built-in functions."""
+    """Each conversation as an event stream of its turns, folded."""
     turns = _table(spark, sf_dir, "conversations")
     event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
-    streams = turns.groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", event.alias("e")))), lambda x: x["e"]), "").alias("text"))
-    return ordered.event_deltas(streams).select("stream_id", F.sha2("content", 256).alias("sha"))
+    ends = F.concat(F.lit('data: {"choices":[{"index":0,"delta":{},"finish_reason":"stop"}],"usage":{"prompt_tokens":'), F.count("*").cast("string"), F.lit(',"completion_tokens":1}}\n\ndata: [DONE]\n\n'))
+    streams = turns.groupBy(F.col("conv_id").alias("stream_id")).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", event.alias("e")))), lambda x: x["e"]), ""), ends).alias("text"))
+    folded = streams.select("stream_id", ordered.fold_sse("text").alias("f"))
+    return folded.select("stream_id", F.sha2("f.content", 256).alias("sha"), F.col("f.finish_reason").alias("finish_reason"), F.col("f.prompt_tokens").alias("prompt_tokens"), F.col("f.error").alias("error"))
 
 
 def plain_text_join(spark, sf_dir):
-    """Documents of a source as one book's text."""
-    d = _table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_no"), F.col("text").alias("plain_text"))
+    """Each hundred documents as a book's chapters, joined."""
+    d = _table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("book_id"), F.col("doc_id").alias("chapter_no"), F.col("text").alias("plain_text"))
     return chunks.join_plain_text(d).select("book_id", F.sha2("text", 256).alias("sha"))
 
 
@@ -285,8 +282,14 @@ def block_fragments(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(h.block_fragments(F.col("html"))).alias("pos", "fragment")).select("page_id", "pos", F.sha2("fragment", 256).alias("sha"))
 
 
-def plain_text_tree(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(h.plain_text(F.col("html")), 256).alias("sha"), h.first_heading(F.col("html")).alias("heading"))
+def split_pairs(spark, sf_dir):
+    """Each document beside the one of half its id, as a pair to be cut so that its prompts fit a budget."""
+    docs = _table(spark, sf_dir, "documents").where("doc_id >= 0 and text is not null")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    o = docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("int").alias("o_idx"), F.lit(9).alias("n_o"), name("o", F.col("doc_id")).alias("o_path"), F.col("text").alias("o_text"), F.expr("doc_id div 2").alias("half"))
+    t = docs.select(F.col("doc_id").alias("half"), F.col("doc_id").cast("int").alias("t_idx"), F.lit(7).alias("n_t"), name("t", F.col("doc_id")).alias("t_path"), F.col("text").alias("t_text"))
+    cut = chunks.split_pairs(o.join(t, "half").drop("half"), 600)
+    return cut.groupBy("ord").agg(F.max("parts").cast("long").alias("parts"), F.max(F.length("prompt")).cast("long").alias("longest"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "prompt"))), lambda x: x["prompt"]), "\n"), 256).alias("sha"))
 
 
 _ALL = [
@@ -294,7 +297,7 @@ _ALL = [
     chunk_plan, chunk_plan_joint, chunk_reassembly, spine_pairs, index_pairs, unpaired_tail, pair_map_expand, role_classify, role_pairs,
     role_unpaired, glossary_merge, glossary_parse, glossary_write, resume_remaining, resume_status, html_tag_strip, block_count,
     distinct_tags, html_plain_text, page_heading, collapse_ws_hash, validate_translation, protocol_lines, english_runs, usage_totals,
-    response_parse, sse_fold, plain_text_join, safe_ids, block_fragments, plain_text_tree,
+    response_parse, sse_fold, plain_text_join, safe_ids, block_fragments, split_pairs,
 ]
 
 

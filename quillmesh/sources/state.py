@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
+import time
+import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_file_id
 
 TRANSLATE_STATE = "sourcePath string, glossaryPath string, outputPath string, model string, prefixHash string, planHash string, fromChapter int, toChapter int, chunks array<struct<id: string, status: string>>"
-EXTRACT_STATE = "originalPath string, translationPath string, model string, prefixHash string, pairsHash string, completedSteps array<string>, pendingOutputs map<string, string>"
+EXTRACT_STATE = "originalPath string, translationPath string, mergeIntoPath string, model string, pairsHash string, maxPairs int, contextWindowTokens int, reservedOutputTokens int, completedSteps array<string>, pendingOutputs map<string, string>"
+#: What must not have changed when a run is taken up again.
+TRANSLATE_KEYS, EXTRACT_KEYS = ("prefixHash", "fromChapter", "toChapter"), ("originalPath", "translationPath", "mergeIntoPath", "model", "pairsHash", "maxPairs", "contextWindowTokens", "reservedOutputTokens")
 #: What a chunk's status may be.
 STATUSES = ("pending", "done", "failed")
 
@@ -20,8 +26,8 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row of state; field names are matched without case; no rows where there is no file."""
     try:
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -45,13 +51,90 @@ def side_files(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(files).alias("f")).select("f.path", "f.value").where("value is not null")
 
 
+class RunStore:
+    """The folder of one run, which the driver and all executors share: its state, and each answer as soon as it is there.
+
+    Answers are paid for and do not come out the same twice, so they are written before anything reads them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        if root is None:
+            shared = spark.conf.get("spark.checkpoint.dir", None)
+            if not shared:
+                raise ValueError("a run needs a folder for its answers, or spark.checkpoint.dir")
+            root = f"{shared}/quillmesh-run-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, root
+
+    def state(self, schema: str) -> dict | None:
+        """The saved state, if there is one."""
+        found = load_state(self.spark, f"{self.root}/state", schema).limit(1).collect()
+        return found[0].asDict(recursive=True) if found else None
+
+    def begin(self, now: dict, schema: str, keys: tuple[str, ...], resume: bool) -> dict:
+        """The state to go on from: the saved one, if the run is resumed and the fingerprint agrees, else ``now``, saved."""
+        saved = self.state(schema) if resume else None
+        if saved:
+            check_resume(saved, now, keys)
+            return saved
+        self.save(now, schema)
+        return now
+
+    def save(self, state: dict, schema: str) -> None:
+        names = [c.strip().split(" ")[0] for c in _columns(schema)]
+        save_state(self.spark.createDataFrame([tuple(state.get(n) for n in names)], schema), f"{self.root}/state")
+
+    def add(self, answers: DataFrame) -> DataFrame:
+        """Answers written beside those of earlier batches, and read again."""
+        path = f"{self.root}/answers/batch={time.time_ns()}"
+        answers.write.parquet(path)
+        return self.spark.read.schema(answers.schema).parquet(path)
+
+    def add_table(self, name: str, rows: DataFrame) -> DataFrame:
+        """A plan, written anew and read again: it is read many times and holds all texts."""
+        path = f"{self.root}/{name}/{time.time_ns()}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def answers(self, schema: str) -> DataFrame:
+        """The last answer to each chunk, a done one before any other."""
+        try:
+            every = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.root}/answers").parquet(f"{self.root}/answers")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        last = Window.partitionBy("chunk_id").orderBy(F.desc(F.col("status") == "done"), F.desc("batch"))
+        return every.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
+
+
+def _columns(schema: str) -> list[str]:
+    """The column definitions of a schema, whose types may hold commas."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[at:i])
+            at = i + 1
+    return [*out, schema[at:]]
+
+
 def write_side_files(chunks: DataFrame, root: str) -> None:
-    """Each side file as a text partition under ``root``, named by its path."""
-    side_files(chunks).write.mode("overwrite").partitionBy("path").text(root)
+    """Each side file under ``root`` by its name, from the driver: one book's, a row at a time."""
+    for r in side_files(chunks).toLocalIterator():
+        write_text(f"{root}/{r['path']}", r["value"])
+
+
+def write_text(path: str, text: str) -> None:
+    """A whole file, made beside its place and moved there."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.new", "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    os.replace(f"{path}.new", path)
 
 
 def read_side_files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.text(root, wholetext=True).select("path", "value")
+    """path (from ``chunks/`` on), value of all side files under ``root``."""
+    return spark.read.option("recursiveFileLookup", True).text(f"{root}/chunks", wholetext=True).select(F.concat(F.lit("chunks/"), F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("path"), "value")
 
 
 def load_rules(path: str | None, fallback: str = "") -> str:
@@ -64,7 +147,7 @@ def load_rules(path: str | None, fallback: str = "") -> str:
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a run; later sources win: defaults, a mapping, environment variables ``QUILLMESH_<FIELD>``."""
+    """Settings of a run; later sources win: defaults, JSON files in order, a mapping, environment variables ``QUILLMESH_<FIELD>``."""
 
     context_tokens: int = 100_000
     reserved_output_tokens: int = 8_000
@@ -81,8 +164,15 @@ class Options:
                 raise ValueError(f"concurrency {n} is not in 1..8")
 
     @classmethod
-    def load(cls, given: dict | None = None, environ: dict | None = None) -> Options:
-        values = dict(given or {})
+    def load(cls, given: dict | None = None, environ: dict | None = None, files: tuple[str, ...] = ()) -> Options:
+        values: dict = {}
+        known = {f.name.replace("_", ""): f.name for f in fields(cls)}
+        for path in files:  # files that are not there are passed over; names are matched without case and underscores
+            if os.path.exists(path):
+                with open(path, encoding="utf-8") as f:
+                    said = json.load(f)
+                values |= {known[k.replace("_", "").lower()]: v for k, v in said.items() if k.replace("_", "").lower() in known}
+        values |= dict(given or {})
         for f in fields(cls):
             raw = (os.environ if environ is None else environ).get(f"QUILLMESH_{f.name.upper()}")
             if raw is not None:

@@ -46,36 +46,61 @@ def ordered_outputs(stream: DataFrame) -> DataFrame:
     return stream.select("run_id", "seq", "content").groupBy("run_id").applyInPandasWithState(_step, READY, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_events(text: str) -> dict[str, Any]:
-    """The answer that a server-sent event stream adds up to; ``error`` says why there is none (and it may be tried again)."""
-    content: list[str] = []
-    out: dict[str, Any] = {"content": None, "finish_reason": None, "prompt_tokens": None, "cached_tokens": None, "completion_tokens": None, "error": None}
-    done = False
-    for block in text.replace("\r\n", "\n").replace("\r", "\n").split("\n\n"):
+class EventFold:
+    """A server-sent event stream, folded as it arrives: ``feed`` takes any piece of it, ``result`` gives the answer so far."""
+
+    def __init__(self):
+        self.rest, self.content, self.done, self.error = "", [], False, None
+        self.out: dict[str, Any] = {"content": None, "finish_reason": None, "prompt_tokens": None, "cached_tokens": None, "completion_tokens": None}
+
+    def feed(self, piece: str) -> bool:
+        """Take a piece; whether the stream has said that it is over, or is broken."""
+        text = self.rest + piece
+        keep = "\r" if text.endswith("\r") else ""  # its newline may still come
+        blocks = text.removesuffix("\r").replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
+        self.rest = blocks.pop() + keep
+        for block in blocks:
+            self.block(block)
+        return self.done or self.error is not None
+
+    def block(self, block: str) -> None:
         data = "\n".join(line[5:].removeprefix(" ") for line in block.split("\n") if line.startswith("data:"))
-        if not data:
-            continue
+        if not data or self.done or self.error is not None:
+            return
         if data.strip() == "[DONE]":
-            done = True
-            break
+            self.done = True
+            return
         try:
             event = json.loads(data)
         except ValueError:
-            return out | {"error": "malformed event"}
+            event = None
         if not isinstance(event, dict):
-            return out | {"error": "malformed event"}
-        if event.get("error"):
-            return out | {"error": f"error event: {event['error']}"}
-        for choice in event.get("choices") or ():
-            if choice.get("index", 0) == 0:
-                content.append((choice.get("delta") or {}).get("content") or "")
-                out["finish_reason"] = choice.get("finish_reason") or out["finish_reason"]
-        if usage := event.get("usage"):
-            nested = (usage.get("prompt_tokens_details") or {}).get("cached_tokens")
-            out |= {"prompt_tokens": usage.get("prompt_tokens"), "completion_tokens": usage.get("completion_tokens"), "cached_tokens": usage.get("cached_tokens") if nested is None else nested}
-    if not done or not out["finish_reason"]:
-        return out | {"error": "the stream ended early"}
-    return out | {"content": "".join(content)}
+            self.error = "malformed event"
+        elif event.get("error"):
+            self.error = f"error event: {event['error']}"
+        else:
+            for choice in event.get("choices") or ():
+                if choice.get("index", 0) == 0:
+                    self.content.append((choice.get("delta") or {}).get("content") or "")
+                    self.out["finish_reason"] = choice.get("finish_reason") or self.out["finish_reason"]
+            if usage := event.get("usage"):
+                nested = (usage.get("prompt_tokens_details") or {}).get("cached_tokens")
+                self.out |= {"prompt_tokens": usage.get("prompt_tokens"), "completion_tokens": usage.get("completion_tokens"), "cached_tokens": usage.get("cached_tokens") if nested is None else nested}
+
+    def result(self) -> dict[str, Any]:
+        """The answer; ``error`` says why there is none (and it may be tried again)."""
+        if self.rest:
+            self.block(self.rest.replace("\r", "\n"))
+            self.rest = ""
+        error = self.error or (None if self.done and self.out["finish_reason"] else "the stream ended early")
+        return self.out | {"content": None if error else "".join(self.content), "error": error}
+
+
+def fold_events(text: str) -> dict[str, Any]:
+    """The answer that a whole stream adds up to."""
+    fold = EventFold()
+    fold.feed(text)
+    return fold.result()
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType() if n.endswith("tokens") else T.StringType()) for n in ("content", "finish_reason", "prompt_tokens", "cached_tokens", "completion_tokens", "error")]))
@@ -84,12 +109,3 @@ def fold_sse(text: pd.Series) -> pd.DataFrame:
     rows = pd.DataFrame([fold_events(t or "") for t in text], columns=["content", "finish_reason", "prompt_tokens", "cached_tokens", "completion_tokens", "error"])
     return rows.astype({c: "Int64" for c in ("prompt_tokens", "cached_tokens", "completion_tokens")})
 
-
-def event_deltas(streams: DataFrame) -> DataFrame:
-    """stream_id, content, finish_reason by built-in functions alone, for streams known to be well formed."""
-    blocks = streams.select("stream_id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n\n")).alias("pos", "block"))
-    data = F.array_join(F.transform(F.filter(F.split("block", "\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
-    rows = blocks.select("stream_id", "pos", data.alias("data")).where("data != '' and data != '[DONE]'")
-    delta = F.struct("pos", F.coalesce(F.get_json_object("data", "$.choices[0].delta.content"), F.lit("")).alias("t"))
-    finish = F.get_json_object("data", "$.choices[0].finish_reason")
-    return rows.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(delta)), lambda d: d["t"]), "").alias("content"), F.max_by(finish, F.when(finish.isNotNull(), F.col("pos"))).alias("finish_reason"))

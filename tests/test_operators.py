@@ -3,7 +3,7 @@ import random
 import zipfile
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -11,7 +11,8 @@ import __spark_entry__
 from quillmesh.operators import chunks, glossary, sections
 from quillmesh.plans import completer, pipelines
 from quillmesh.sources import epub, glossary_md, pairmap
-from quillmesh.sources.state import Options, check_path
+from quillmesh.operators.numbering import number_within
+from quillmesh.sources.state import EXTRACT_STATE, TRANSLATE_STATE, Options, RunStore, check_path, read_side_files
 from quillmesh.streaming import ordered
 
 MD = "# Universe\n\nIntro\n\n## Adeptus Astartes\n- ru: Адептус\n- type: organization\n- aliases: Astartes\n\n## Ciaphas Cain\n- ru: Каин\n- type: name\n\n## Chapter\n- ru: Орден\n- type: organization\n"
@@ -114,7 +115,7 @@ def test_resume(spark):
     assert sorted(r["chunk_id"] for r in chunks.remaining(plan, old).collect()) == ["b", "c"]
 
 
-def test_ranges_and_options():
+def test_ranges_and_options(tmp_path):
     assert chunks.parse_chapter_range(None, 9) == (1, 9)
     assert chunks.parse_chapter_range("2 - 4", 9) == (2, 4)
     for bad in ("0", "4-2", "10", "x", "1-2-3"):
@@ -123,6 +124,10 @@ def test_ranges_and_options():
     budgets = [Options(1_000_000, 128_000, 90_000, m, r).source_budget(5_000) for m, r in ((0, 0), (2, 0), (2, 8192))]
     assert budgets == [85_000, 64_000, 59_904]
     assert Options.load({"max_retries": 2}, {"QUILLMESH_MAX_RETRIES": "5"}).max_retries == 5
+    for name, text in (("a.json", '{"ContextTokens": 5000, "max_retries": 4, "other": 1}'), ("b.json", '{"MaxRetries": 7}')):
+        (tmp_path / name).write_text(text)
+    loaded = Options.load(environ={}, files=tuple(str(tmp_path / n) for n in ("a.json", "none.json", "b.json")))
+    assert (loaded.context_tokens, loaded.max_retries) == (5000, 7)
     for bad in ("x.pdf", "x.txt"):
         with pytest.raises(ValueError):
             check_path(bad)
@@ -130,11 +135,54 @@ def test_ranges_and_options():
         Options(translate_concurrency=9)
 
 
-def test_split_pairs(spark):
-    pairs = spark.createDataFrame([(1, "p", "a" * 100, "b" * 37)], "ord int, label string, o_text string, t_text string")
-    rows = chunks.split_pairs(pairs, 10).orderBy("piece").collect()
-    assert "".join(r["o_text"] for r in rows) == "a" * 100 and "".join(r["t_text"] for r in rows) == "b" * 37
-    assert len(rows) == rows[0]["parts"] and all((len(r["o_text"]) + len(r["t_text"])) // 4 <= 10 for r in rows)
+PAIR = "ord int, o_idx int, n_o long, o_path string, o_text string, t_idx int, n_t long, t_path string, t_text string"
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 400), st.integers(0, 400), st.integers(18, 130))
+def test_split_pairs(spark, o, t, budget):
+    """The prompt with its lines fits, by the least number of parts that does."""
+    text = lambda n: "".join(chr(97 + i % 26) for i in range(n))
+    wrap = lambda a, b: f"Original [1/2] a/b.xhtml:\n{a}\n\nTranslation [1/3] c.xhtml:\n{b}"
+    cut = lambda x, p: [x[i : i + -(-len(x) // p)] for i in range(0, len(x), -(-len(x) // p))] if x else [""]
+    want = None
+    for p in range(1, 1001):
+        a, b = cut(text(o), p), cut(text(t), p)
+        prompts = [wrap(a[i] if i < len(a) else "", b[i] if i < len(b) else "") for i in range(max(len(a), len(b)))]
+        if all(len(x) // 4 <= budget for x in prompts):
+            want = prompts
+            break
+    rows = chunks.split_pairs(spark.createDataFrame([(1, 1, 2, "a/b.xhtml", text(o), 1, 3, "c.xhtml", text(t))], PAIR), budget)
+    if want is None:
+        with pytest.raises(Exception, match="does not fit"):
+            rows.collect()
+    else:
+        assert [r["prompt"] for r in rows.orderBy("piece").collect()] == want
+
+
+def test_split_pairs_counts_utf16(spark):
+    rows = chunks.split_pairs(spark.createDataFrame([(1, 1, 2, "a", "\U0001f600" * 90, 1, 3, "c", "x")], PAIR), 30).collect()
+    assert len(rows) > 2 and all(len(r["prompt"].encode("utf-16-le")) // 8 <= 30 for r in rows) and "".join(r["o_text"] for r in sorted(rows, key=lambda r: r["piece"])) == "\U0001f600" * 90
+
+
+def test_number_within(spark):
+    rows = [("a" if i % 3 else "b", (i * 7919) % 1000 if i % 50 else None) for i in range(2000)] + [(None, 5)]
+    got = number_within(spark.createDataFrame(rows, "g string, k int"), "g", "k", "n", ranges=7).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])
+        assert [r["n"] for r in mine] == list(range(1, len(mine) + 1))
+        assert [r["k"] for r in mine] == sorted((k for x, k in rows if x == g), key=lambda k: (k is not None, k))
+    assert number_within(spark.createDataFrame([], "g string, k int"), "g", "k", "n").collect() == []
+
+
+def test_many_terms_of_any_alphabet(spark):
+    texts = [(1, "Который кот? the Old cat"), (2, "КОТ и old"), (3, None), (4, "x9 ça va"), (4, "x9 ça va"), (5, "no")]
+    terms = [(1, "кот"), (2, "old cat"), (3, "ça"), (4, "9"), (5, "и"), (6, "zz"), (7, "ЧТО"), (8, "Ça v")]
+    df, t = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(terms, "ord int, term string")
+    few = sorted(set(map(tuple, glossary.term_hits(df, t, "id").collect())))
+    assert sorted(set(map(tuple, glossary.term_hits(df, t, "id", broadcast_terms=2).collect()))) == few
+    assert glossary.term_hits(df, t, "id", broadcast_terms=2).count() == glossary.term_hits(df, t, "id").count()
+    assert (1, 1, "кот") in few and (2, 1, "кот") in few and (1, 2, "old cat") in few and (4, 3, "ça") in few
 
 
 def book(*bodies):
@@ -180,32 +228,207 @@ def to_russian(prefix, content, feedback):
 def test_translate(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(book("<p>text</p>", "<p>bad</p>", "<p>boom</p>"))
     chapters = epub.read_books(spark, str(tmp_path))
-    out = pipelines.translate(spark, chapters, MD, to_russian, options=Options(max_retries=2))
+    run = RunStore(spark, str(tmp_path / "run"))
+    out = pipelines.translate(spark, chapters, MD, to_russian, options=Options(max_retries=2), run=run)
     assert {r["chunk_id"]: r["status"] for r in out["outcome"].collect()} == {"0001-0001": "done", "0002-0001": "done", "0003-0001": "failed"}
     assert [r["body"] for r in out["bodies"].orderBy("chapter_no").collect()] == ["<p>текст</p>", "<p>плохой</p>", "<p>boom</p>"]
-    again = pipelines.translate(spark, chapters, MD, completer.echo, options=Options(), previous=out["outcome"].select("chunk_id", "status", "html").cache())
+    assert [c["status"] for c in run.state(TRANSLATE_STATE)["chunks"]] == ["done", "done", "failed"]
+    again = pipelines.translate(spark, chapters, MD, only_third, options=Options(), run=run, resume=True)
     assert again["outcome"].where("status = 'done'").count() == 3
+    with pytest.raises(ValueError, match="cannot resume: prefixHash"):
+        pipelines.translate(spark, chapters, MD + "\n", to_russian, run=run, resume=True)
+    with pytest.raises(ValueError, match="cannot resume: toChapter"):
+        pipelines.translate(spark, chapters, MD, to_russian, run=run, resume=True, chapter_range="1-2")
+    pipelines.write_run_files(out["outcome"], str(tmp_path / "run"))
+    files = {r["path"]: r["value"] for r in read_side_files(spark, str(tmp_path / "run")).collect()}
+    assert files["chunks/0001-0001.translated.html"] == "<p>текст</p>" and files["chunks/0003-0001.error.txt"] == "busy" and "chunks/0003-0001.translated.html" not in files
     target = tmp_path / "out.epub"
     pipelines.write_translation(spark, str(tmp_path / "a.epub"), out["bodies"], str(target))
     assert "текст" in epub.spine_of(target.read_bytes(), "x")[0][3]
 
 
+def only_third(prefix, content, feedback):
+    if "boom" not in content:
+        raise AssertionError("this chunk is done")
+    return completer.Answer("<p>бум</p>")
+
+
+def test_translate_refuses_answers_without_the_source_s_markup(spark):
+    rows = [("0001-0001", "<p>one</p><p>two</p><p>three</p><p>four</p>"), ("0002-0001", "<p>plain</p>"), ("0003-0001", "<p>cut</p>")]
+    said = {"one": "<p>один</p>", "plain": "без разметки", "cut": "<p>обрез</p>"}
+    call = lambda prefix, content, feedback: completer.Answer(next(v for k, v in said.items() if k in content), "LENGTH" if "cut" in content else "stop")
+    df = spark.createDataFrame(rows, "chunk_id string, source_html string")
+    got = {r["chunk_id"]: (r["status"], r["reason"], r["attempts"]) for r in completer.complete_chunks(df, call, "p", 2, pause=lambda s: None).collect()}
+    assert got == {"0001-0001": ("failed", "dropped blocks", 2), "0002-0001": ("failed", "no source tags", 2), "0003-0001": ("failed", "truncated", 2)}
+
+
+def refused(prefix, content, feedback):
+    if "bad" in content:
+        raise completer.CompletionError("no such model", False)
+    return to_russian(prefix, content, feedback)
+
+
+def test_translate_stops_on_an_error_and_keeps_what_it_paid_for(spark, tmp_path):
+    (tmp_path / "a.epub").write_bytes(book("<p>text</p>", "<p>bad</p>", "<p>text 3</p>"))
+    chapters = epub.read_books(spark, str(tmp_path))
+    run = RunStore(spark, str(tmp_path / "run"))
+    with pytest.raises(completer.RunStopped, match="no such model"):
+        pipelines.translate(spark, chapters, MD, refused, options=Options(translate_concurrency=1), run=run)
+    assert {r["chunk_id"]: r["status"] for r in run.answers(completer.COMPLETED).collect()}["0001-0001"] == "done"
+    assert run.state(TRANSLATE_STATE)["chunks"][0]["status"] == "done"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.epub").write_bytes(book("<p>bad</p>", "<p>text</p>"))
+    run = RunStore(spark, str(tmp_path / "run2"))
+    with pytest.raises(completer.RunStopped):
+        pipelines.translate(spark, epub.read_books(spark, str(tmp_path / "b")), MD, refused, run=run)
+    assert run.answers(completer.COMPLETED).count() == 1  # the first call fails alone; the others are not made
+
+
+def test_feedback_that_does_not_fit_is_left_out(spark):
+    notes = []
+    room = completer.Room(10, 100, 10)
+    assert not room.holds("x" * 100, "y" * 200) and room.holds("x" * 100, "y" * 100)
+    assert not completer.Room(10, 1000, 10, 40).holds("x" * 40, "y" * 40)
+
+    def call(prefix, content, feedback):
+        notes.append(feedback)
+        return completer.Answer("" if feedback is None and not notes[1:] else "<p>да</p>")
+
+    df = spark.createDataFrame([("1", "<p>a</p>")], "chunk_id string, source_html string")
+    for limits, want in ((room, "no"), (None, "note")):
+        seen = completer.complete_chunks(df, lambda p, c, f: completer.Answer("<p>да</p>" if f else "", completion_tokens=1), "p", 2, room=completer.Room(60, 100, 10) if limits else None, pause=lambda s: None).first()
+        assert seen["status"] == ("failed" if want == "no" else "done")
+
+
 def extracted(prefix, content, feedback):
     name = "First" if "chapter1" in content else "Second"
     return completer.Answer(f"Here:\n## {name}\n- ru: {name[0]}\n\n## Shared\n- ru: {name}\n- notes: from {name}\n")
 
 
-def test_extract_and_list_pairs(spark, tmp_path):
+GLOSSARY_MD = "# G\n\n## First\n- ru: F\n- type: other\n\n## Shared\n- ru: First\n- type: other\n- notes: from First from Second\n\n## Second\n- ru: S\n- type: other\n"
+
+
+@pytest.fixture
+def editions(spark, tmp_path):
     for name in ("o", "t"):
         (tmp_path / name).mkdir()
         (tmp_path / name / "b.epub").write_bytes(book("<h1>Chapter One</h1><p>x</p>", "<h1>Epilogue</h1><p>y</p>"))
-    o, t = (epub.read_books(spark, str(tmp_path / n)) for n in ("o", "t"))
+    return tuple(epub.read_books(spark, str(tmp_path / n)) for n in ("o", "t"))
+
+
+def test_extract_and_list_pairs(spark, editions):
+    o, t = editions
     md = pipelines.extract(spark, o, t, "# G\n", extracted).first()["text"]
-    assert md == "# G\n\n## First\n- ru: F\n- type: other\n\n## Shared\n- ru: First\n- type: other\n- notes: from First from Second\n\n## Second\n- ru: S\n- type: other\n"
+    assert md == GLOSSARY_MD
     report = pipelines.list_pairs(o, t).first()["text"]
     assert "Suggested role pairs\nchapter 1  OEBPS/chapter1.xhtml  OEBPS/chapter1.xhtml\n" in report and "1.00" in report
 
 
+def test_extract_stops_keeps_and_resumes(spark, editions, tmp_path):
+    o, t = editions
+
+    def second_fails(prefix, content, feedback):
+        if "chapter2" in content:
+            raise completer.CompletionError("out of money", False)
+        return extracted(prefix, content, feedback)
+
+    def first_fails(prefix, content, feedback):
+        if "chapter1" in content:
+            raise completer.CompletionError("busy", True)
+        return extracted(prefix, content, feedback)
+
+    def second_only(prefix, content, feedback):
+        assert "chapter2" in content
+        return extracted(prefix, content, feedback)
+
+    run = RunStore(spark, str(tmp_path / "run"))
+    with pytest.raises(completer.RunStopped, match="out of money") as stopped:
+        pipelines.extract(spark, o, t, "# G\n", second_fails, run=run)
+    assert "## First" in stopped.value.partial.first()["text"] and "## Second" not in stopped.value.partial.first()["text"]
+    assert run.state(EXTRACT_STATE)["completedSteps"] == ["1:OEBPS/chapter1.xhtml"]
+    with pytest.raises(ValueError, match="cannot resume: contextWindowTokens"):
+        pipelines.extract(spark, o, t, "# G\n", second_only, options=Options(context_tokens=50_000), run=run, resume=True)
+    assert pipelines.extract(spark, o, t, "# G\n", second_only, run=run, resume=True).first()["text"] == GLOSSARY_MD
+    # An answer after a gap waits: it is kept, but not merged.
+    run = RunStore(spark, str(tmp_path / "run2"))
+    with pytest.raises(completer.RunStopped, match="busy"):
+        pipelines.extract(spark, o, t, "# G\n", first_fails, options=Options(max_retries=1), run=run)
+    steps = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "seq long, label string")
+    answers = spark.createDataFrame([("a", "done", "A"), ("c", "done", "C"), ("b", "failed", None)], "chunk_id string, status string, html string")
+    ready, waiting = pipelines.in_order(steps, answers)
+    assert [r["label"] for r in ready.collect()] == ["a"] and [r["label"] for r in waiting.collect()] == ["c"]
+
+
+def test_extract_prefix_falls_back_to_names(spark):
+    md = "# G\n" + "".join(f"\n## Name{i}\n- ru: имя\n- notes: {'long ' * 20}\n" for i in range(20))
+    _, entries = glossary_md.parse(pipelines.one_document(spark, md))
+    full = pipelines.extract_prefix("Rules \n", md, entries, Options())
+    assert full == "Rules\n\n" + md.rstrip()
+    names = pipelines.extract_prefix("Rules", md, entries, Options(context_tokens=400, reserved_output_tokens=200))
+    assert names.startswith("Rules\n\nAlready known English terms") and names.endswith("\nName18\nName19")
+    with pytest.raises(ValueError, match="no room"):
+        pipelines.extract_prefix("Rules", md, entries, Options(context_tokens=270, reserved_output_tokens=200))
+
+
+def test_http_completer(monkeypatch):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], asked))
+            code = int(asked["model"]) if asked["model"].isdigit() else 200
+            events = ['{"choices":[{"delta":{"content":"<p>При"}}]}', '{"choices":[{"delta":{"content":"вет</p>"},"finish_reason":"stop"}]}', '{"choices":[],"usage":{"prompt_tokens":3,"completion_tokens":2}}'] + ["[DONE]"] * (asked["model"] != "broken")
+            body = "".join(f"data: {e}\n\n" for e in events) if asked["stream"] else json.dumps({"choices": [{"message": {"content": [{"type": "text", "text": "да"}]}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 7, "prompt_tokens_details": {"cached_tokens": 5}}})
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1/"
+    make = lambda model="m", **more: completer.HttpCompleter(url, model, 9, **more)
+    with pytest.raises(completer.CompletionError, match="no key"):
+        make()("p", "c", None)
+    monkeypatch.setenv("QUILLMESH_API_KEY", "k")
+    assert make()("p", "c", None) == completer.Answer("да", "stop", 7, 5, None)
+    assert seen[-1] == ("/v1/chat/completions", "Bearer k", {"model": "m", "messages": [{"role": "system", "content": "p"}, {"role": "user", "content": "c"}], "max_tokens": 9, "stream": False})
+    assert make(stream=True, temperature=0.5, reasoning="none", caching=True)("p", "c", "note") == completer.Answer("<p>Привет</p>", "stop", 3, None, 2)
+    assert [m["content"] for m in seen[-1][2]["messages"][1:]] == ["note", "c"] and seen[-1][2]["reasoning"] == {"enabled": False}
+    for model, again in (("429", True), ("502", True), ("400", False), ("401", False)):
+        with pytest.raises(completer.CompletionError) as e:
+            make(model)("p", "c", None)
+        assert e.value.retryable is again
+    with pytest.raises(completer.CompletionError, match="ended early") as e:
+        make("broken", stream=True)("p", "c", None)
+    assert e.value.retryable
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(completer.CompletionError, match="out of reach"):
+        make(timeout=2)("p", "c", None)
+    for bad in ({"timeout": 0}, {"reasoning": "huge"}, {"cache_ttl": "2h"}):
+        with pytest.raises(ValueError):
+            make(**bad)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 400), max_size=8))
+def test_stream_folds_alike_in_any_pieces(cut):
+    good = ': keep\r\n\r\ndata: {"choices":[{"index":0,"delta":{"content":"<p>При"}}]}\r\n\r\ndata: {"choices":[{"index":0,\ndata: "delta":{"content":"вет</p>"},"finish_reason":"stop"}]}\n\ndata: [DONE]\n\n'
+    fold = ordered.EventFold()
+    ends = sorted({0, len(good), *(c % len(good) for c in cut)})
+    for a, z in zip(ends, ends[1:]):
+        fold.feed(good[a:z])
+    assert fold.result() == ordered.fold_events(good) and fold.result()["content"] == "<p>Привет</p>"
+
+
 def test_sse(spark):
     good = ': keep\n\ndata: {"choices":[{"index":0,"delta":{"content":"<p>При"}}]}\n\ndata: {"choices":[{"index":0,\ndata: "delta":{"content":"вет</p>"},"finish_reason":"stop"}]}\n\ndata: {"choices":[],"usage":{"prompt_tokens":100,"completion_tokens":50,"prompt_tokens_details":{"cached_tokens":90}}}\n\ndata: [DONE]\n\n'
     f = ordered.fold_events(good)

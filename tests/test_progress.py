@@ -24,3 +24,18 @@ def test_arguments():
     for bad in ({"list_pairs": True, "out": "x"}, {"list_pairs": False}, {"list_pairs": False, "out": "x", "max_pairs": 3}, {"list_pairs": False, "out": "x", "pairs": "p", "max_pairs": 0}):
         with pytest.raises(ValueError):
             progress.check_extract_arguments(**bad)
+
+
+def test_lines(spark):
+    rows = spark.createDataFrame([(0, 4, "0001-0002", None), (3, 4, "0001-0002, " * 9, 75.4), (4, 4, "", 3725.0), (0, 0, "x", 0.0)], "done int, total int, label string, eta double")
+    text = [r[0] for r in rows.select(progress.progress_line(F.col("done"), F.col("total"), F.col("label"), F.col("eta"))).collect()]
+    assert text[0] == "░" * 20 + " 0/4 0001-0002  ETA —"
+    assert text[1].startswith("█" * 15 + "░" * 5 + " 3/4 0001-0002, ") and text[1].endswith("…  ETA 1:15") and len(text[1]) == 79
+    assert text[2] == "█" * 20 + " 4/4  ETA 1:02:05" and text[3] == "░" * 20 + " 0/0 x  ETA —"
+
+
+def test_list_pairs_takes_nothing_else():
+    for extra in ({"merge_into": "g"}, {"model": "m"}, {"work_dir": "w"}, {"resume": True}, {"concurrency": 2}, {"pairs": "p"}):
+        with pytest.raises(ValueError):
+            progress.check_extract_arguments(True, **extra)
+    progress.check_extract_arguments(True, out=" ")
