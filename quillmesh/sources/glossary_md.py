@@ -47,7 +47,7 @@ def parse_lines(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     before = marked.where("ord = 0")
     titled = before.withColumn("titles", F.sum(is_title(F.col("line")).cast("int")).over(order))
     docs = titled.groupBy("doc_id").agg(
-        F.min_by(F.when(is_title(F.col("line")), trim_space(F.substring("line", 2, 1 << 20))), F.when(is_title(F.col("line")), F.col("pos"))).alias("title"),
+        F.min_by(F.when(is_title(F.col("line")), trim_space(F.expr("substring(line, 2)"))), F.when(is_title(F.col("line")), F.col("pos"))).alias("title"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("titles") > 0) & ~is_title(F.col("line")), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("preamble"),
     )
     docs = lines.select("doc_id").distinct().join(docs, "doc_id", "left").select("doc_id", "title", trim_preamble(F.coalesce("preamble", F.lit(""))).alias("preamble"))
@@ -59,7 +59,7 @@ def parse_lines(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     field = marked.where("ord > 0").withColumn("t", trimmed).withColumn("key", F.when(trimmed.startswith("- ") & (colon > 3), F.lower(trim_space(F.expr("substring(t, 3, instr(t, ':') - 3)")))))
     field = field.withColumn("value", F.expr("substring(t, instr(t, ':') + 1)"))
     last = lambda key: F.max_by(F.when(F.col("key") == key, trim_space(F.col("value"))), F.when(F.col("key") == key, F.col("pos")))
-    heads = F.max(F.when(is_entry(F.col("line")), trim_space(F.substring("line", 3, 1 << 20))))
+    heads = F.max(F.when(is_entry(F.col("line")), trim_space(F.expr("substring(line, 3)"))))
     entries = field.groupBy("doc_id", F.col("ord").cast("int").alias("ord")).agg(heads.alias("english"), *(last(k).alias(k) for k in FIELDS))
     ru = blank_to_null(F.col("ru"))
     if strict:
@@ -115,6 +115,6 @@ def candidates_markdown(terms: DataFrame) -> DataFrame:
 
 def read_candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ord, term: ``- term`` lines; of spellings that differ in case the first."""
-    rows = lines_of(docs).where(F.col("line").startswith("- ")).select("doc_id", F.col("pos").alias("ord"), trim_space(F.substring("line", 3, 1 << 20)).alias("term")).where("term != ''")
+    rows = lines_of(docs).where(F.col("line").startswith("- ")).select("doc_id", F.col("pos").alias("ord"), trim_space(F.expr("substring(line, 3)")).alias("term")).where("term != ''")
     first = F.row_number().over(Window.partitionBy("doc_id", F.lower("term")).orderBy("ord"))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")

@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from quillmesh import oracles, queries
+from quillmesh import more_queries, oracles, queries
+
+SQL, QUERIES = oracles.oracle_sql() | more_queries.oracle_sql(), queries.queries() | more_queries.queries()
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,11 +20,11 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
-    got = queries.queries()[name](spark, DATA)
+    got = QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
-    found = db.execute(oracles.oracle_sql()[name])
+    found = db.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
