@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, offsets, text_slices
+from .common import column, lean, mix64, offsets, text_slices
 
 #: Pre-tokens remembered by a Python worker; beyond that it forgets them all.
 REMEMBERED = 500_000
@@ -175,6 +175,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     like any other, so memory is a small multiple of its own size. Only the two
     columns named are read, so other columns' names cannot clash.
     """
+    lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(encoder(vocabulary, pattern))
     schema = "doc_id long, ids binary" + ", decoded binary" * decode
 

@@ -18,6 +18,8 @@ try:
 except (AttributeError, OSError):
     _TRIM = None
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 #: Text handled at once inside a Python worker, in characters.
 SLICE_CHARS = 400_000
 
@@ -53,6 +55,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> None:
+    """Let Arrow batches of this session hold BATCH_ROWS rows at most: one with texts exists several times, in Spark and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+
 def column(df: DataFrame, name: str):
     """The column called ``name``, dots and backquotes in it taken literally."""
     return df["`" + name.replace("`", "``") + "`"]
@@ -68,6 +77,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterat
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    tidy()
 
 
 def tidy() -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow_schema
 
-from .common import distinct, mix64, offsets, ranges, text_slices, tidy
+from .common import distinct, lean, mix64, offsets, ranges, text_slices, tidy
 
 #: Bytes of text that share a home, on average.
 HOME_BYTES = 16 << 20
@@ -573,6 +573,7 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
     none does. Rows with a null id or text are never hit. ``find`` sorts windows; see
     ``least_documents``.
     """
+    lean(docs)
     spark = docs.sparkSession
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // HOME_BYTES))
