@@ -15,16 +15,17 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, text_slices
+from .common import column, lean, text_slices, tidy
 
 #: Documents from which the models are trained, and seeded random strings beside them.
 TRAIN_DOCS, TRAIN_RANDOM = 2_000, 4_000
 #: Characters that a run needs, and the log-likelihood ratio that it must exceed.
-MIN_RUN, MIN_RATIO = 20, 20.0
+MIN_RUN, MIN_RATIO = 12, 20.0
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -79,6 +80,7 @@ def ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> np.ndarray:
     """The ratio table, from about ``train_docs`` documents drawn by a hash of their id (all, if fewer)."""
+    lean(docs)
     rows = docs.select(column(docs, id_col).cast("string").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).where("text is not null")
     n = rows.count()
     share = min(1.0, train_docs / max(n, 1))
@@ -111,16 +113,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
 
 def spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind as listed: the base ones, and runs by the models that touch none of them."""
-    base = base_spans(text)
-    out = list(base)
-    for m in _RUN.finditer(text):
-        code = _CODE[np.frombuffer(m[0].encode("ascii"), dtype=np.uint8)]
-        if table[code[:-1], code[1:]].sum() > MIN_RATIO and not any(s < m.end() and m.start() < e for s, e, _ in base):
-            out.append((m.start(), m.end(), "random"))
+    """All spans by start, then kind as listed: the base ones, and by the models runs, or the parts of runs outside base spans."""
+    out = base_spans(text)
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    if out and runs:
+        runs = [part for run in runs for part in outside(run, out) if part[1] - part[0] >= MIN_RUN]
+    if runs:
+        code = _CODE[np.frombuffer("\n".join(text[a:z] for a, z in runs).encode("ascii"), dtype=np.uint8)]
+        step = table[code[:-1], code[1:]]
+        first = np.cumsum([0, *(z - a + 1 for a, z in runs[:-1])])
+        ends = np.cumsum([z - a + 1 for a, z in runs]) - 2  # the step from a run's last character to the break, and that from the break
+        ends = ends[:-1]
+        step[ends] = step[ends + 1] = 0
+        out += [(a, z, "random") for (a, z), ratio in zip(runs, np.add.reduceat(step, first).tolist()) if ratio > MIN_RATIO]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def outside(run: tuple[int, int], taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a range that no span touches."""
+    at, parts = run[0], []
+    for start, end, _ in sorted(taken):
+        if end > at and start < run[1]:
+            parts.append((at, start))
+            at = max(at, end)
+    return [(a, z) for a, z in [*parts, (at, run[1])] if a < z]
+
+
 def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: an array of (kind, start, end) in code points, end exclusive, of every whole text.
 
@@ -128,6 +146,7 @@ def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: s
     counts as empty: no spans. One row per input row, repeated rows and null ids
     included; other columns are left out, so their names cannot clash.
     """
+    lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)  # N x N numbers
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -142,6 +161,7 @@ def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: s
 
 def redact(docs: DataFrame, table: np.ndarray, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span in ``text_col`` replaced by ``mask`` (overlapping spans by one); nulls stay null, all rows and columns stay."""
+    lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def one(text: str | None) -> str | None:
@@ -155,7 +175,9 @@ def redact(docs: DataFrame, table: np.ndarray, text_col: str = "text", mask: str
         return "".join([*out, text[at:]])
 
     @F.pandas_udf("string")
-    def hide(text):
-        return text.map(one, na_action="ignore")
+    def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield text.map(one, na_action="ignore")
+        tidy()
 
     return docs.withColumn(text_col, hide(column(docs, text_col).cast("string")))
