@@ -5,7 +5,8 @@ three bits differ in at most three bytes, so they share five of them or more. An
 five of eight positions hold three of the first four or three of the last four:
 posting lists are kept for those eight triples of positions, which finds every
 such pair and keeps lists short. In a list, pairs are tallied for shared positional
-bytes, those with five or more are kept and verified by counting bits.
+bytes (by comparing their eight bytes at once, not list by list, which would count
+each pair of copies up to eight times), those with the guaranteed five or more are kept and verified by counting bits.
 
 A list longer than ``LIST`` is replaced by finer ones, one for each five positions
 above its triple; a pair in it shares one of these. Equal fingerprints are one
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, text_slices
+from .common import checkpointed, column, lean, text_slices
 from .components import components
 
 #: Entries up to which a posting list is handled as one row.
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint((t or "").encode("utf-8"), shingle, seed) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
+    lean(docs)
     return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -165,6 +167,10 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     return short(first).unionByName(short(second)).unionByName(long)
 
 
+#: Share of all rows from which a fingerprint is hot; there are fewer hot ones than one over it.
+HOT_SHARE = 0.001
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable by links of at most ``bits`` differing bits.
 
@@ -175,20 +181,28 @@ def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text
     names cannot clash; an empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    least = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(least.select("fp"), bits))
     tree = least.join(roots, least["fp"] == roots["node"]).select("fp", "root", "low")
-    named = tree.groupBy("root").agg(F.min("low").alias("component"))
-    joined = tree.join(named, "root").select("fp", "component")
-    return prints.join(least, "fp").join(joined, "fp", "left").select("doc_id", "fp", F.coalesce("component", "low").alias("component_id"))
+    named = tree.join(tree.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
+    answers = checkpointed(least.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "low").alias("component_id")))
+    # Fingerprints of over HOT_SHARE of all rows, fewer than one over it, are looked up where the rows lie; no task gets all their rows.
+    floor = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * HOT_SHARE
+    hot = answers.where(F.col("n") > floor).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))
+    rows = prints.join(F.broadcast(hot), "fp", "left")
+    cold = rows.where("_is_hot is null").select("doc_id", "fp").join(answers.where(F.col("n") <= floor).select("fp", "component_id"), "fp")
+    return cold.select("doc_id", "fp", "component_id").unionByName(rows.where("_is_hot").select("doc_id", "fp", F.col("_hot").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the one with the least id, with all its columns.
 
-    Rows with a null id cannot be named by a component, so they all stay. Repeated
-    rows of one id and text stay once.
+    Rows with a null id cannot be named by a component, so they all stay. Of repeated
+    rows of one id and text the least by its other columns' JSON stays; rows of one id whose
+    texts differ stay each. An empty table stays empty; columns may have any name.
     """
     found = near_duplicates(docs, bits, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, column(docs, id_col).cast("long") == found["_kept"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(column(docs, id_col).isNull()))
+    number, text = column(docs, id_col).cast("long"), column(docs, text_col).cast("string")
+    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("_row"), number.alias("_id"), F.xxhash64(text, F.length(text)).alias("_key"))
+    first = rows.join(found, rows["_id"] == found["_kept"], "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    return first.unionByName(docs.where(number.isNull()))
