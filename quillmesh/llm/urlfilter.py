@@ -77,5 +77,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     hits = site.join(F.broadcast(digest) if depths["n"] <= broadcast_rules else digest, "prefix").where(F.col("seen") == F.col("digest"))
     order = F.struct(-F.length("rule"), -F.col("host_len"), "action", "rule")
     best = hits.groupBy("host", "path").agg(F.min(order).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
-    out = judged.join(best, ["host", "path"], "left")
+    # A page without a host fits nothing; there may be any number, and they would share one key.
+    out = judged.where("host != ''").join(best, ["host", "path"], "left").unionByName(judged.where("host = ''"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
