@@ -33,13 +33,18 @@ MIN_VOTES, MAX_ERROR = 4, 0.25
 
 
 def decode_wav(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples in -1..1, channels averaged, and their rate; none for what is not 8-, 16- or 32-bit PCM."""
+    """Samples in -1..1, channels averaged, and their rate; none for what is not 8-, 16-, 24- or 32-bit PCM."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
             rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
             raw = w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return np.zeros(0), 0
+    if width == 3:  # to 32 bits, with an empty lowest byte
+        raw = raw[: len(raw) // (3 * channels) * 3 * channels]
+        wide = np.zeros((len(raw) // 3, 4), dtype=np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
     kinds = {1: ("u1", 128.0, 128.0), 2: ("<i2", 0.0, 32768.0), 4: ("<i4", 0.0, 2147483648.0)}
     if width not in kinds:
         return np.zeros(0), 0
@@ -199,7 +204,9 @@ def align(prints: DataFrame, every: int = 100, best_only: bool = False) -> DataF
 def render(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", rate: int = 4000, note: float = 0.09) -> DataFrame:
     """vec_id, audio: a WAV recording of each vector, one note per component, its pitch rising with the value (semitones from A3).
 
-    A null vector has null audio; null or non-finite components are rests.
+    A null vector has null audio, an empty one a rest; null or non-finite components are rests.
+    One row per input row, repeated rows and null ids included; other columns are left out, so
+    their names cannot clash; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
