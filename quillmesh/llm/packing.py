@@ -18,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, offsets, text_slices
+from .common import checkpointed, column, lean, text_slices, tidy
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", narrowed: bool = False) -> DataFrame:
-    """Tokenise whole texts and cut them: doc_id, start, length, ids (binary, little-endian u32), doc_tokens.
+    """Tokenise whole texts and cut them: doc_id, start, length, ids (binary, little-endian u32), doc_tokens, part, nth.
+
+    ``nth`` counts the pieces of one length in ``part``, the task that made them: store the
+    table before it is read twice, so that both come from one run of each task.
 
     ``tokenizer`` is a tokenizer file, ``vocabulary`` the rank file of the same
     vocabulary, which a faster library reads. Where a text holds one of the
@@ -39,6 +43,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
 
     from .bpe import read_ranks
 
+    lean(docs)
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         full = f.read()
@@ -48,10 +53,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of, tokens, pat = shared.value
+        part_id, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
         fast = tiktoken.Encoding("pack", pat_str=pat, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
         end = np.array([end_id], dtype="<u4").tobytes()
         for part in text_slices(batches):
-            doc, start, length, ids, total = [], [], [], [], []
+            doc, start, length, ids, total, nth = [], [], [], [], [], []
             for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 text = text or ""
                 if any(a in text for a in added):
@@ -69,11 +75,17 @@ def cut_documents(docs: DataFrame, tokenizer: str, vocabulary: str, pattern: str
                     piece = packed[4 * a : 4 * (a + size)]
                     ids.append(narrow(piece, size) if narrowed else piece)
                     total.append(n)
+                    nth.append(seen[size])
+                    seen[size] += 1
                     a += size
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
+            kinds = (("doc_id", doc, pa.int64()), ("start", start, pa.int64()), ("length", length, pa.int64()), ("ids", ids, pa.binary()), ("doc_tokens", total, pa.int64()), ("part", [part_id] * len(doc), pa.int32()), ("nth", nth, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for _, x, kind in kinds], [n for n, _, _ in kinds])
+        del fast
+        made.clear()
+        tidy()
 
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return docs.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, part int, nth long")
 
 
 def priced(values: np.ndarray, sizes: np.ndarray, room: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
@@ -264,32 +276,29 @@ def plan(histogram: dict[int, int], room: int) -> dict[str, np.ndarray]:
     return {n: v[order] for n, v in table.items()}
 
 
-#: Pieces of one length and bucket, on average, at most: they are ranked together.
-RANKED = 100_000
+#: Rows (length, part) up to which the numbers at which parts begin are broadcast (40 bytes each); more are joined by a shuffle.
+BROADCAST_STARTS = 500_000
 
 
 def assign(pieces: DataFrame, max_tokens: int = 1024, narrowed: bool = False) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, start, length, ...), which are read more than once: pass a stored table.
+    """Add sequence_id and offset to pieces (length, part, nth, ...), which are read more than once: pass a stored table.
 
-    Ranks within a length are dealt without one task seeing a whole length: pieces
-    fall into buckets by a hash of their place, (length, bucket) counts are summed,
-    and a piece's rank is its bucket's start plus its row number there. A null id
-    is hashed like any value. No pieces: no rows. ``narrowed``: ids were stored by
-    ``narrow`` and come back whole.
+    The rank of a piece among those of its length is its number in its part after all
+    pieces of the parts before, which counts by (length, part) give: no piece moves for it.
+    No pieces: no rows. ``narrowed``: ids were stored by ``narrow`` and come back whole.
     """
     spark = pieces.sparkSession
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(histogram.values(), default=0) // RANKED))
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    counts = salted.groupBy("length", "_bucket").count()
+    counts = checkpointed(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
     shared = spark.sparkContext.broadcast(plan(histogram, max_tokens))
-    starts = counts.withColumn("_from", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
-    ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")))
-    ranked = ranked.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_from") + F.col("_row") - 1).drop("_bucket", "_from", "_row")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
+    few = counts.count() <= BROADCAST_STARTS
+    ranked = pieces.join(F.broadcast(starts) if few else starts, ["length", "part"]).withColumn("_rank", F.col("_from") + F.col("nth"))
+    ranked = ranked.select(*(c for c in pieces.columns if c not in ("part", "nth")), "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        stride = int(p["first"].max(initial=0)) + 1
         for b in batches:
             length, rank = np.asarray(b.column("length")), np.asarray(b.column("_rank"))
             i = np.zeros(0, dtype=np.int64)
