@@ -9,8 +9,10 @@ language, labels its spans; the language of most letters is the text's.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, mix64, offsets, text_slices, tidy
+from .common import column, lean, mix64, offsets, text_slices, tidy
 
 #: Labelled documents of each language from whose whole texts a model is fitted.
 TRAIN_DOCS = 1_500
@@ -112,6 +114,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language, which is the model itself. Rows with a null text or label teach nothing; repeated
     rows count each time; null ids are drawn like any other. No labelled row: a model without languages.
     """
+    lean(docs)
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"), column(docs, lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     # Ids alone are ranked; a hash bound keeps about twice the sample of each language before that.
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
@@ -129,9 +132,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 by.setdefault(lang, []).extend(m[0] for m in words_of(text))
             for lang, words in by.items():
-                bucket, _, script = grams(words)
-                seen[lang] = seen.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
-                script_of[lang] = script_of.get(lang, 0) + np.bincount(script, minlength=OTHER + 1)
+                for a in range(0, len(words), WORDS_READ):
+                    bucket, _, script = grams(words[a : a + WORDS_READ])
+                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
+                    script_of[lang] = script_of.get(lang, 0) + np.bincount(script, minlength=OTHER + 1)
         for lang, n in seen.items():
             every = np.concatenate([n, script_of[lang]])
             at = np.flatnonzero(every)
@@ -176,20 +180,28 @@ def label(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         np.cumsum(others - scores[:, best : best + 1], axis=0, out=sums[1:])
         if k == 1 or (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch:
             return np.full(n, best)
-    rows = scores.tolist()
-    now, before, floors = rows[0], [], []
-    for row in rows[1:]:
+    blocks = (scores[a : a + WORDS_READ].tolist() for a in range(0, n, WORDS_READ))
+    rows = chain.from_iterable(blocks)
+    now, before, floors = next(rows), array("d"), array("d")
+    for row in rows:
         floor = max(now) - switch
-        before.append(now)
+        before.extend(now)
         floors.append(floor)
         now = [(v if v >= floor else floor) + s for v, s in zip(now, row)]
     at = now.index(max(now))
-    out = [at]
-    for held, floor in zip(reversed(before), reversed(floors)):
-        if held[at] < floor:
-            at = held.index(floor + switch) if floor + switch in held else held.index(max(held))
-        out.append(at)
-    return np.array(out[::-1])
+    out = np.empty(n, dtype=np.int64)
+    out[n - 1] = at
+    for t in range(n - 2, -1, -1):
+        floor = floors[t]
+        if before[t * k + at] < floor:
+            held = before[t * k : (t + 1) * k]
+            at = held.index(max(held))
+        out[t] = at
+    return out
+
+
+#: Characters labelled together, words read and scored together: what bounds a worker's memory, however long texts are.
+TOGETHER, WORDS_READ, WORDS_SCORED = 200_000, 50_000, 10_000
 
 
 class Labeller:
@@ -200,29 +212,65 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, max(1, len(model.languages))), dtype=np.float32)
 
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.table = {}, self.table[:0]
+        fresh = list(words.difference(self.known))
+        for a in range(0, len(fresh), WORDS_SCORED):
+            some = fresh[a : a + WORDS_SCORED]
+            self.known.update(zip(some, range(len(self.table), len(self.table) + len(some))))
+            self.table = np.concatenate([self.table, self.model.score(some)])
+
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""
-        names = self.model.languages
+        out, held, size = [], [], 0
+        for text in texts:
+            if text is not None and len(text) > TOGETHER:
+                out += self.some(held)
+                out.append(self.long(text))
+                held, size = [], 0
+                continue
+            if size + len(text or "") > TOGETHER:
+                out += self.some(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text or "")
+        return out + self.some(held)
+
+    def some(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         found = [list(_WORD.finditer(t)) if t and t.isascii() else words_of(t or "") for t in texts]
         words = [[m[0] for m in f] for f in found]
-        if len(self.known) > REMEMBERED:
-            self.known, self.table = {}, self.table[:0]
-        fresh = list(set().union(*words).difference(self.known)) if words else []
-        if fresh and names:
-            self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
-            self.table = np.concatenate([self.table, self.model.score(fresh)])
-        out = []
-        for matches, w in zip(found, words):
-            if not w or not names:
-                out.append((UNKNOWN, 0.0, []))
-                continue
-            path = label(self.table[list(map(self.known.__getitem__, w))], self.switch)
-            letters = np.bincount(path, weights=list(map(len, w)), minlength=len(names))
-            top = int(np.argmax(letters))
-            cut = (np.flatnonzero(np.diff(path)) + 1).tolist()
-            spans = [{"start": matches[a].start(), "end": matches[z - 1].end(), "lang": names[path[a]]} for a, z in zip([0, *cut], [*cut, len(w)])]
-            out.append((names[top], float(letters[top] / letters.sum()), spans))
-        return out
+        if not self.model.languages or not any(words):
+            return [(UNKNOWN, 0.0, [])] * len(texts)
+        self.learn(set().union(*words))
+        return [self.answer(self.table[list(map(self.known.__getitem__, w))], list(map(len, w)), lambda k: matches[k].start(), lambda k: matches[k].end()) for matches, w in zip(found, words)]
+
+    def long(self, text: str) -> tuple[str, float, list[dict]]:
+        """One text by itself, its words read in pieces."""
+        words, scores, starts, ends = iter(_WORD.finditer(text)), [], [], []
+        while piece := list(islice(words, WORDS_READ)):
+            piece = [m for m in piece if any(map(str.isalpha, m[0]))]
+            if self.model.languages and piece:
+                self.learn({m[0] for m in piece})
+                scores.append(self.table[[self.known[m[0]] for m in piece]])
+                starts.append(np.array([m.start() for m in piece]))
+                ends.append(np.array([m.end() for m in piece]))
+        if not scores:
+            return UNKNOWN, 0.0, []
+        first, last = np.concatenate(starts), np.concatenate(ends)
+        return self.answer(np.concatenate(scores), last - first, lambda k: int(first[k]), lambda k: int(last[k]))
+
+    def answer(self, scores: np.ndarray, lengths, start, end) -> tuple[str, float, list[dict]]:
+        """The answer for words of these scores and lengths; ``start`` and ``end`` give the place of the k-th."""
+        names = self.model.languages
+        if not len(scores):
+            return UNKNOWN, 0.0, []
+        path = label(scores, self.switch)
+        letters = np.bincount(path, weights=lengths, minlength=len(names))
+        top = int(np.argmax(letters))
+        cut = (np.flatnonzero(np.diff(path)) + 1).tolist()
+        spans = [{"start": start(a), "end": end(z - 1), "lang": names[path[a]]} for a, z in zip([0, *cut], [*cut, len(path)])]
+        return names[top], float(letters[top] / letters.sum()), spans
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -236,6 +284,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     repeated rows and null ids included; other columns are left out, so their
     names cannot clash.
     """
+    lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -258,16 +307,14 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     """
     if not model.languages:
         return docs
+    lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         labeller = Labeller(shared.value, SWITCH)
         for text in batches:
-            out = []
-            for a in range(0, len(text), 64):
-                out += [-1.0 if lang == UNKNOWN else score for lang, score, _ in labeller(text.iloc[a : a + 64].tolist())]
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([-1.0 if lang == UNKNOWN else score for lang, score, _ in labeller(text.tolist())], dtype="float64")
         del labeller
         tidy()
 
