@@ -43,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut.
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder, with its lineage cut, and where it is.
 
     The files are an ordinary Parquet table, so a lost executor costs no more
     than the tasks that it was running.
@@ -52,7 +52,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; it stays there, as results may be read at any time."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lean(df: DataFrame) -> None:
