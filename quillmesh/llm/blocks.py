@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 def search_blocks(index: DataFrame, queries: DataFrame, key: str, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, index_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """``fn(index block, query block)`` for every pair of blocks; rows are dealt to blocks by a hash of ``key``.
 
-    Both tables are read twice: pass stored ones. No task holds more than about
+    A stated set of queries against all rows: the index is sent once for each query block, so work and
+    shuffle grow with rows times queries. Equal rows and null keys are rows like any other; without
+    queries, or without rows, there is no pair and no result. Both tables are read twice: pass stored ones. No task holds more than about
     ``index_rows`` + ``query_rows`` rows, whatever the number of equal vectors.
     """
     blocks = max(1, math.ceil(index.count() / index_rows))

@@ -121,5 +121,24 @@ WITH d AS (
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+        "op8_suffixdedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents
+), win AS (
+  SELECT doc_id, unnest(list_transform(range(length(h) // 2 - 49), lambda k: substr(h, 2 * k + 1, 100))) AS t, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100
+), low AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS m FROM win
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM low WHERE m < doc_id
+), runs AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (fresh) AS spans FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS fresh FROM hit) GROUP BY doc_id
+), bytes AS (
+  SELECT doc_id, unnest(list_transform(range(length(h) // 2), lambda k: substr(h, 2 * k + 1, 2))) AS b, unnest(range(length(h) // 2)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(b, '' ORDER BY i) AS h FROM bytes ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     }

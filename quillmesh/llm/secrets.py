@@ -79,7 +79,11 @@ def ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """The ratio table, from about ``train_docs`` documents drawn by a hash of their id (all, if fewer)."""
+    """The ratio table, from about ``train_docs`` documents drawn by a hash of their id (all, if fewer).
+
+    Null texts teach nothing; rows with a null id are drawn together or not at all, as rows of one id are. From an
+    empty table the models know the seeded random strings alone. Other columns are not read.
+    """
     lean(docs)
     rows = docs.select(column(docs, id_col).cast("string").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).where("text is not null")
     n = rows.count()
@@ -160,7 +164,11 @@ def scan(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: s
 
 
 def redact(docs: DataFrame, table: np.ndarray, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span in ``text_col`` replaced by ``mask`` (overlapping spans by one); nulls stay null, all rows and columns stay."""
+    """``docs`` with each span in ``text_col`` replaced by ``mask`` (overlapping spans by one).
+
+    All rows and columns stay, of whatever names; a null text stays null, an empty one empty; repeated rows
+    are masked alike; an empty table stays empty.
+    """
     lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 

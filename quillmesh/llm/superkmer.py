@@ -39,8 +39,9 @@ from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow_schema
 
 from .common import distinct, lean, mix64, offsets, ranges, text_slices, tidy
 
-#: Bytes of text that share a home, on average.
-HOME_BYTES = 16 << 20
+#: Bytes of text that share a home, on average, up to so many homes. Every home may write to every bucket, so beyond
+#: that homes and their number grow alike, with the square root of the input: 100 TB are 160,000 homes of 650 MB.
+HOME_BYTES, HOMES = 16 << 20, 4_096
 #: Documents looked at for frequent grams, at least; documents there that make one frequent; bits of the table of frequent grams, and most of these.
 HOT_SAMPLE, HOT_DOCS, HOT_BITS, HOT_MOST = 4_000, 5, 22, 400_000
 #: Windows of a bucket sorted at once; more are taken in turns by their minimisers.
@@ -576,7 +577,8 @@ def without_repeats(docs: DataFrame, kind: str, window: int, gram: int, cut: Cal
     lean(docs)
     spark = docs.sparkSession
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // HOME_BYTES))
+    wanted = -(-size["bytes"] // HOME_BYTES)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), wanted if wanted <= HOMES else int((wanted * HOMES) ** 0.5))
     usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # At most HOT_MOST numbers.
     shared = spark.sparkContext.broadcast(Splitter(kind, window, gram, parts, frequent_grams(usable, size["n"], kind, gram, parts)))
