@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .completer import eta_seconds
 
+TOKENS = ("prompt_tokens", "cached_tokens", "completion_tokens")
+
 
 def totals(steps: DataFrame) -> DataFrame:
     """One row from steps (label, ord, started, ended, failed, tokens): wall and average seconds, counts, usage."""
-    tokens = [F.sum(c).cast("long").alias(c) for c in ("prompt_tokens", "cached_tokens", "completion_tokens")]
+    tokens = [F.sum(c).cast("long").alias(c) for c in TOKENS]
     seconds = F.col("ended").cast("double") - F.col("started").cast("double")
     last = F.max_by(seconds, F.col("ended"))
     return steps.agg(
@@ -31,6 +35,26 @@ def eta(steps: DataFrame, planned: int, width: int) -> DataFrame:
     return t.select(eta_seconds(F.col("average_seconds"), F.lit(planned) - F.col("done"), F.lit(width)).alias("eta_seconds"))
 
 
+def usage_lines(steps: DataFrame) -> DataFrame:
+    """label, elapsed, prompt_tokens, cached_tokens, completion_tokens, steps, failures as texts: the last step that ended, and all (by the clock, not summed)."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—")).alias(c)
+    seconds = F.col("ended").cast("double") - F.col("started").cast("double")
+    fields = F.struct("label", seconds.alias("s"), "prompt_tokens", "cached_tokens", "completion_tokens", F.coalesce("failed", F.lit(False)).cast("int").alias("f"))
+    last = steps.agg(F.max_by(fields, F.struct("ended", "ord")).alias("x")).select("x.*").where("s is not null")
+    last = last.select(F.concat(F.lit("last "), F.col("label")).alias("label"), duration_text(F.col("s")).alias("elapsed"), *(shown(c) for c in TOKENS), F.lit("1").alias("steps"), F.col("f").cast("string").alias("failures"))
+    every = totals(steps).select(F.lit("total").alias("label"), duration_text(F.col("wall_seconds")).alias("elapsed"), *(shown(c) for c in TOKENS), F.col("done").cast("string").alias("steps"), F.col("failures").cast("string").alias("failures"))
+    return last.unionByName(every)
+
+
+def report(steps: DataFrame, planned: int, concurrency: int, out: TextIO, width: int = 80) -> None:
+    """Write a run's progress to ``out``: the line of the bar, then a line for the last step and one for all."""
+    state = totals(steps).crossJoin(eta(steps, planned, concurrency)).crossJoin(in_flight(steps))  # one row each
+    line = state.select(progress_line(F.col("done"), F.lit(planned), F.col("labels"), F.col("eta_seconds"), width)).first()[0]
+    table = ["  ".join(r) for r in usage_lines(steps).collect()]
+    out.write("\n".join([line, *table]) + "\n")
+    out.flush()
+
+
 #: Columns of the bar, and its signs.
 BAR_WIDTH, FULL, EMPTY = 20, "█", "░"
 

@@ -1,3 +1,5 @@
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ def test_progress(spark):
     assert (t["done"], t["failures"], t["wall_seconds"], t["average_seconds"], t["last_is_slower"]) == (2, 1, 5.0, 3.5, True)
     assert (t["prompt_tokens"], t["cached_tokens"], t["completion_tokens"]) == (10, None, 3)
     assert progress.in_flight(steps).first()["labels"] == "c, d"
+    out = io.StringIO()
+    progress.report(steps, 4, 2, out)
+    assert out.getvalue().splitlines() == ["█" * 10 + "░" * 10 + " 2/4 c, d  ETA 0:03", "last b  0:04  10  —  1  1  0", "total  0:05  10  —  3  2  1"]
     one = steps.where("label = 'b'").withColumn("started", F.lit(3.0))
     assert progress.eta(one, 3, 2).first()["eta_seconds"] == 2.0
     first, rest = progress.warm_up(steps, "ord")
