@@ -60,6 +60,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
+def in_few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more partitions than ``each`` rows fill: a small table should not be hundreds of files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables that nothing reads any more."""
     for path in paths:

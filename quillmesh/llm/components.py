@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, in_few, stored
 
 
 def _stars(edges: DataFrame, keep) -> DataFrame:
@@ -23,17 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now, at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct())
-    state = None
+    state, rows = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, between = stored(_stars(both, F.col("v") > F.col("u")).distinct())
+        large, between = stored(in_few(_stars(both, F.col("v") > F.col("u")).distinct(), rows))
         # Downward neighbours and the node itself go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now, last = stored(small.where("u != v").distinct())
+        now, last = stored(in_few(small.where("u != v").distinct(), rows))
         discard(spark, at, between)
         at = last
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == tuple(seen):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = tuple(seen)
+        state, rows = tuple(seen), seen[0]

@@ -185,8 +185,9 @@ def test_near_copies_of_the_pipeline(spark, empty, monkeypatch):
                 group = [new if g == old else g for g in group]
     want = [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in set(group)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, home string").repartition(3)
-    for common in (3, 10**9):
+    for common, block in ((3, 10**6), (10**9, 300)):
         monkeypatch.setattr(nearcopies, "COMMON", common)
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
         kept = corpus_pipeline.near_copies(spark, docs, SF)
         assert kept.columns == docs.columns
         same(((i is None, i or 0) for i in (r["doc_id"] for r in kept.collect())), want)
