@@ -84,13 +84,13 @@ def column(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about SLICE_CHARS bytes of text (one row at least)."""
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``chars`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
-        part = (np.cumsum(sizes) - sizes) // SLICE_CHARS
+        part = (np.cumsum(sizes) - sizes) // chars
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

@@ -5,6 +5,7 @@ Each takes its rows from its operator and derives the digests that are compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 from . import langid, media, secrets
 from .ann import nearest
 from .bpe import encode_documents
-from .common import table
+from .collocations import collocations
+from .common import shared_dir, table
+from .kmeans import cluster
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substringdedup import remove_repeated_words
 from .suffixdedup import remove_repeated_bytes
 from .urlfilter import filter_urls
+from .warc import read_warc, write_warc
 
 #: The rules of op1: action, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -81,8 +85,44 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.align(media.fingerprint(media.render(table(spark, sf_dir, "embeddings"))))
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives in the shared folder, and read back from them."""
+    root = f"{shared_dir(spark)}/quillmesh/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), root)
+    return read_warc(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Plain rounds, one after the other: every vector against every centroid."""
+    square = "list_sum(list_transform(range(1, 65), lambda j: (x.v[j] - c.v[j]) * (x.v[j] - c.v[j])))::BIGINT".replace("65", str(dim + 1))
+    parts = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM k ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT row, first(cluster ORDER BY d, cluster) AS cluster, min(d) AS d FROM (SELECT x.row, c.cluster, {square} AS d FROM k x, c{i} c) GROUP BY row)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT cluster, list(m ORDER BY j) AS v FROM (
+ SELECT cluster, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT a.cluster, unnest(k.v)::HUGEINT AS x, unnest(range({dim})) AS j FROM k JOIN a{i} a USING (row)) GROUP BY cluster, j) GROUP BY cluster) n USING (cluster))""")
+    end = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT k.vec_id, {end}.cluster::INTEGER AS cluster, {end}.d AS distance, (sum({end}.d) OVER (PARTITION BY {end}.cluster))::BIGINT AS cluster_inertia, (sum({end}.d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM k JOIN {end} USING (row) JOIN c{rounds} c ON c.cluster = {end}.cluster"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_urlfilter, op2_packing, op3_substringdedup, op4_langid, op5_simhash, op6_bpe, op7_ann, op8_suffixdedup, op9_secrets, op10_media]
+    named = [op1_urlfilter, op2_packing, op3_substringdedup, op4_langid, op5_simhash, op6_bpe, op7_ann, op8_suffixdedup, op9_secrets, op10_media, op11_kmeans, op12_warc, op13_collocations]
     return {f.__name__: f for f in named}
 
 
@@ -140,5 +180,41 @@ WITH d AS (
 )
 SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+        "op11_kmeans": _kmeans_sql(),
+        "op12_warc": """
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS LAST) AS k, first(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS LAST) AS first_id FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN first_id END AS refers_to FROM o
+""",
+        "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 4) t(m) WHERE len(w) >= m
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), best AS (
+  SELECT DISTINCT ON (lang, phrase) * FROM scored ORDER BY lang, phrase, score, k
+), kept AS (
+  SELECT * FROM best b WHERE m = 3 OR NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS inner FROM f WHERE m = 3) t
+    WHERE t.lang = b.lang AND t.inner = b.phrase AND 100 * t.f >= 50 * b.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
     }

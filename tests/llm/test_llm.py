@@ -715,7 +715,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = db.execute(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]
