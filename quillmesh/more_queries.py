@@ -11,7 +11,7 @@ from .functions import html as h
 from .functions import text
 from .operators import chunks, glossary, sections
 from .oracles import _ENGLISH, _PROTOCOL, SPACE, _units, _wrap
-from .plans import completer, pipelines, progress
+from .plans import answers, completer, pipelines, progress
 from .queries import LINE_BREAK, _table
 from .sources import glossary_md, state
 
@@ -193,6 +193,23 @@ def complete_checked(spark, sf_dir):
     return asked.select("chunk_id", "status", F.sha2("html", 256).alias("sha"), F.regexp_extract("reason", "^[^:]*: ([A-Za-z]+)", 1).alias("word"), "attempts")
 
 
+@_registered(f"""WITH x AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS k, conv_id, turn, role, text, {_wrap('text')} AS html FROM conversations),
+l AS (SELECT k, unnest(y) AS line, unnest(range(len(y))) AS pos FROM (SELECT k, string_split(text, chr(10)) AS y FROM x)), {_PROTOCOL}, {_ENGLISH}
+SELECT conv_id || '-' || turn || '-' || role AS chunk_id, conv_id * 1000 + turn AS seq, CASE WHEN word IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN word IS NULL THEN sha256(html) END AS sha, CASE WHEN word IS NULL THEN 1 ELSE 2 END::INTEGER AS attempts FROM x LEFT JOIN en USING (k)""")
+def logged_answers(spark, sf_dir):
+    """Each turn asked by the pool of a run, its outcome logged by the task as soon as it is there; the log, packed and read."""
+    t = _table(spark, sf_dir, "conversations")
+    html = F.concat(F.lit("<p>"), F.replace("text", F.lit(LINE_BREAK), F.lit("</p><p>")), F.lit("</p>"))
+    rows = t.select(F.concat_ws("-", "conv_id", "turn", "role").alias("chunk_id"), html.alias("source_html"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    run = state.RunStore(spark)
+    log = answers.AnswerLog(run.root, "query")
+    log.folder.make("answers")
+    ask = lambda some: completer.complete_chunks(some, completer.echo, "prefix", retries=2, concurrency=8, pause=_no_pause, log=log, order="seq")
+    completer.ask_all(rows, ask, log, "seq")
+    answers.pack(spark, run.root)
+    return answers.last_of_each(answers.logged(spark, run.root)).select("chunk_id", "seq", "status", F.sha2("html", 256).alias("sha"), "attempts")
+
+
 def _no_pause(seconds: float) -> None:
     """The offline completer is never busy."""
 
@@ -244,7 +261,7 @@ def in_flight(spark, sf_dir):
 @_registered(f"WITH {_STEPS} SELECT label, ord = (SELECT min(ord) FROM s) AS first FROM s")
 def warm_up(spark, sf_dir):
     """The step that is run alone, and the others."""
-    first, rest = progress.warm_up(_steps(spark, sf_dir), "ord")
+    first, rest = progress.warm_up(_steps(spark, sf_dir), "ord", "label")
     return first.select("label", F.lit(True).alias("first")).unionByName(rest.select("label", F.lit(False).alias("first")))
 
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_error, session_id, tokens_of
 from ..functions.validate import check_answer
 from ..streaming.ordered import EventFold
+from .answers import AnswerLog
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ class CompletionError(Exception):
 
 
 class Completer(Protocol):
-    """A pure function of its request, or a client of a service. It must pickle."""
+    """A pure function of its request, or a client of a service. It must pickle, and bear calls from several threads."""
 
     def __call__(self, prefix: str, content: str, feedback: str | None) -> Answer: ...
 
@@ -138,6 +142,8 @@ class HttpCompleter:
             out["stream_options"] = {"include_usage": True}
         if self.reasoning:
             out["reasoning"] = {"enabled": False} if self.reasoning == "none" else {"effort": self.reasoning, "exclude": True}
+        if self.caching:
+            out["session_id"] = hashlib.sha256(prefix.encode("utf-8")).hexdigest().upper()  # pins a provider's prefix cache
         return out
 
     def __call__(self, prefix: str, content: str, feedback: str | None) -> Answer:
@@ -217,57 +223,113 @@ def default_check(source: str, answer: Answer) -> str | None:
 
 
 COMPLETED = "chunk_id string, status string, html string, reason string, attempts int, prompt_tokens long, cached_tokens long, completion_tokens long"
+_FIELDS = [c.split()[0] for c in COMPLETED.split(", ")]
 
+#: Calls that one task has in flight at most; more are dealt to more tasks.
+POOL = 4
 
-def complete_chunks(chunks: DataFrame, completer: Completer, prefix: str, retries: int = 3, check: Callable[[str, Answer], str | None] | None = default_check, concurrency: int | None = 2, pause: Callable[[float], None] = time.sleep, room: Room | None = None, stop_on_failure: bool = False) -> DataFrame:
+
+@dataclass(frozen=True)
+class Asking:
+    """One chunk's calls: ask, check, feed back and try again."""
+
+    completer: Completer
+    prefix: str
+    retries: int
+    check: Callable[[str, Answer], str | None] | None
+    pause: Callable[[float], None]
+    room: Room | None
+
+    def __call__(self, key: str, source: str) -> tuple:
+        """The outcome, as COMPLETED has it. Whatever is raised is an outcome too: ``error``, unless it may be tried again."""
+        note = reason = answer = None
+        status, attempt = "failed", 0
+        try:
+            for attempt in range(1, max(1, self.retries) + 1):
+                if attempt > 1:
+                    self.pause(0.1 * 2 ** min(attempt - 2, 6))
+                try:
+                    answer = self.completer(self.prefix, source, note)
+                    reason = self.check(source, answer) if self.check else None
+                    if reason is None:
+                        status = "done"
+                        break
+                    note = feedback_for(reason)
+                    if self.room is not None and not self.room.holds(source, note):
+                        note = None
+                except CompletionError as e:
+                    reason = str(e)
+                    if not e.retryable:
+                        status = "error"
+                        break
+        except Exception as e:  # noqa: BLE001  a task that fails would be run again, and pay again
+            status, reason = "error", f"{type(e).__name__}: {e}"
+        a = answer or Answer(None)
+        return (key, status, a.content if status == "done" else None, reason, attempt, a.prompt_tokens, a.cached_tokens, a.completion_tokens)
+
+
+def complete_chunks(chunks: DataFrame, completer: Completer, prefix: str, retries: int = 3, check: Callable[[str, Answer], str | None] | None = default_check, concurrency: int | None = 2, pause: Callable[[float], None] = time.sleep, room: Room | None = None, stop_on_failure: bool = False, log: AnswerLog | None = None, order: str | None = None) -> DataFrame:
     """Each chunk's outcome (COMPLETED): call, check, feed back and retry.
 
     A chunk whose tries run out has failed and keeps its reason. An error that cannot
-    be retried has status ``error``; what its partition has not asked yet stays ``pending``, so that the
-    caller can store what was answered and raise (``raise_first``). With ``stop_on_failure`` a failure does the same.
-    Feedback that ``room`` does not hold is left out. ``concurrency`` bounds the calls at a time
-    by the number of partitions; with None chunks are asked where they lie, without a shuffle or a bound.
-    Calls are not repeatable, so store the result before reading it twice.
+    be retried, or any other exception, has status ``error``; what is not asked by then stays ``pending``, so that the
+    caller can raise (``first_failure``). With ``stop_on_failure`` a failure does the same.
+    Feedback that ``room`` does not hold is left out.
+
+    With ``log`` every outcome is on disk before the next call of its thread, and a chunk that the log
+    has is not asked: tasks may fail and be run again. ``concurrency`` bounds the calls in flight: chunks are dealt, in
+    turn by ``order`` (a number; else by chunk_id), to tasks of up to POOL threads, so that all go on in plan order. After
+    one ending failure no task begins another call; calls in flight end and are kept. The completer must bear threads.
+
+    Without ``log`` chunks are asked one after the other in ``concurrency`` partitions, or with None where they lie, without a
+    shuffle or a bound, and a failure ends its partition alone. Such calls are not repeatable, so store the result before reading it twice.
     """
+    asking, ends = Asking(completer, prefix, retries, check, pause, room), ("error", "failed") if stop_on_failure else ("error",)
+    pending = lambda key: (key, "pending", None, None, 0, None, None, None)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_FIELDS).astype({c: "Int64" for c in _FIELDS[5:]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in COMPLETED.split(", ")]
         stopped = False
         for b in batches:
             rows = []
             for key, source in zip(b["chunk_id"], b["source_html"]):
-                if stopped:
-                    rows.append((key, "pending", None, None, 0, None, None, None))
-                    continue
-                note = reason = answer = None
-                status = "failed"
-                for attempt in range(1, max(1, retries) + 1):
-                    if attempt > 1:
-                        pause(0.1 * 2 ** min(attempt - 2, 6))
-                    try:
-                        answer = completer(prefix, source, note)
-                        reason = check(source, answer) if check else None
-                        if reason is None:
-                            status = "done"
-                            break
-                        note = feedback_for(reason)
-                        if room is not None and not room.holds(source, note):
-                            note = None
-                    except CompletionError as e:
-                        reason = str(e)
-                        if not e.retryable:
-                            status = "error"
-                            break
-                a = answer or Answer(None)
-                stopped = status == "error" or (stop_on_failure and status == "failed")
-                rows.append((key, status, a.content if status == "done" else None, reason, attempt, a.prompt_tokens, a.cached_tokens, a.completion_tokens))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in names[5:]})
-
-    asked = chunks.select("chunk_id", "source_html")
-    if concurrency is not None:
-        asked = asked.repartition(concurrency, "chunk_id")
-    return asked.mapInPandas(run, COMPLETED)
+                rows.append(pending(key) if stopped else asking(key, source))
+                stopped = stopped or rows[-1][1] in ends
+            yield frame(rows)
+
+    if log is None:
+        asked = chunks.select("chunk_id", "source_html")
+        if concurrency is not None:
+            asked = asked.repartition(concurrency, "chunk_id")
+        return asked.mapInPandas(run, COMPLETED)
+
+    def one(key: str, source: str, seq: int | None) -> tuple:
+        if (known := log.known(key)) is not None:
+            return tuple(known.get(c) for c in _FIELDS)
+        if log.stopped():
+            return pending(key)
+        began = time.time()
+        out = asking(key, source)
+        if out[1] in ends:
+            log.stop(key)  # first, so that nobody begins another call meanwhile
+        log.put(dict(zip(_FIELDS, out)) | {"seq": seq, "started": began, "ended": time.time()})
+        return out
+
+    tasks = -(-(concurrency or 1) // POOL)
+
+    def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = TaskContext.get().partitionId()
+        with ThreadPoolExecutor((concurrency or 1) // tasks + (mine < (concurrency or 1) % tasks)) as pool:
+            for b in batches:
+                seqs = (None if pd.isna(s) else int(s) for s in b["seq"])
+                yield frame(list(pool.map(one, b["chunk_id"], b["source_html"], seqs)))
+
+    seq = F.lit(None).cast("long") if order is None else F.col(order).cast("long")
+    asked = chunks.select("chunk_id", "source_html", seq.alias("seq"))
+    turn = F.pmod(F.coalesce("seq", F.xxhash64("chunk_id")), F.lit(tasks)).cast("int")
+    return asked.repartitionById(tasks, turn).sortWithinPartitions("seq", "chunk_id").mapInPandas(pooled, COMPLETED)
 
 
 class RunStopped(RuntimeError):
@@ -284,18 +346,17 @@ def first_failure(outcomes: DataFrame, statuses: tuple[str, ...] = ("error",)) -
     return (found[0]["chunk_id"], found[0]["reason"]) if found else None
 
 
-def ask_all(remaining: DataFrame, keep: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame], statuses: tuple[str, ...] = ("error",), order: str = "chunk_id") -> DataFrame:
-    """All outcomes of ``remaining`` (chunk_id, source_html): the first chunk alone, so that a provider's prefix cache is warm, then the others.
+def ask_all(remaining: DataFrame, ask: Callable[[DataFrame], DataFrame], log: AnswerLog, order: str = "chunk_id") -> None:
+    """Ask all of ``remaining`` (chunk_id, source_html), into ``log``: the first chunk alone, so that a provider's prefix cache is warm, then the others.
 
-    ``keep`` stores what was answered at once; a first chunk that ends the run spares the others.
+    A first chunk that ends the run spares the others.
     """
     from .progress import warm_up
 
-    first, rest = warm_up(remaining, order)
-    head = keep(ask(first))
-    if first_failure(head, statuses):
-        return head
-    return head.unionByName(keep(ask(rest)))
+    log.open()
+    for some in warm_up(remaining, order, "chunk_id"):
+        if not log.stopped():
+            ask(some).write.format("noop").mode("overwrite").save()
 
 
 def usage_totals(steps: DataFrame) -> DataFrame:

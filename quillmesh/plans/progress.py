@@ -102,7 +102,11 @@ def check_extract_arguments(list_pairs: bool, out: str | None = None, merge_into
         raise ValueError("an output is needed")
 
 
-def warm_up(remaining: DataFrame, order_col: str) -> tuple[DataFrame, DataFrame]:
-    """The first remaining step, to be run alone so that a provider's prefix cache is warm, and the others."""
-    first = remaining.orderBy(order_col).limit(1)
-    return first, remaining.join(first.select(order_col), order_col, "left_anti")
+def warm_up(remaining: DataFrame, order_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The first remaining step (by order, then id; a step without an order comes last), to be run alone so that a provider's prefix cache is warm, and the others.
+
+    Steps are told apart by ``id_col``, which must be unique; any number may have one order.
+    """
+    first = remaining.orderBy(F.asc_nulls_last(order_col), id_col).limit(1)
+    one = first.select(F.col(id_col).alias("_first"))
+    return first, remaining.join(F.broadcast(one), remaining[id_col].eqNullSafe(one["_first"]), "left_anti")  # one row

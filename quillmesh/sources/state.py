@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_file_id
+from .folder import Folder
 
 TRANSLATE_STATE = "sourcePath string, glossaryPath string, outputPath string, model string, prefixHash string, planHash string, fromChapter int, toChapter int, chunks array<struct<id: string, status: string>>"
 EXTRACT_STATE = "originalPath string, translationPath string, mergeIntoPath string, model string, pairsHash string, maxPairs int, contextWindowTokens int, reservedOutputTokens int, completedSteps array<string>, pendingOutputs map<string, string>"
@@ -52,18 +54,17 @@ def side_files(chunks: DataFrame) -> DataFrame:
 
 
 class RunStore:
-    """The folder of one run, which the driver and all executors share: its state, and each answer as soon as it is there.
-
-    Answers are paid for and do not come out the same twice, so they are written before anything reads them.
-    """
+    """The folder of one run, which the driver and all executors share: its state and plan; the log of its answers lies there too."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         if root is None:
             shared = spark.conf.get("spark.checkpoint.dir", None)
             if not shared:
-                raise ValueError("a run needs a folder for its answers, or spark.checkpoint.dir")
+                if not spark.sparkContext.master.startswith("local["):
+                    raise ValueError("a run needs a folder for its answers, or spark.checkpoint.dir")
+                shared = tempfile.mkdtemp(prefix="quillmesh-runs-")  # one process: any folder is shared
             root = f"{shared}/quillmesh-run-{uuid.uuid4().hex}"
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.folder = spark, root, Folder(root)
 
     def state(self, schema: str) -> dict | None:
         """The saved state, if there is one."""
@@ -76,18 +77,21 @@ class RunStore:
         if saved:
             check_resume(saved, now, keys)
             return saved
+        for name in ("answers", "packed", "flush"):  # of an earlier run in this folder: paid for, so kept, but not read
+            if self.folder.exists(name):
+                self.folder.move(name, f"before-{time.time_ns()}/{name}")
+        self.folder.make("answers")
         self.save(now, schema)
         return now
 
     def save(self, state: dict, schema: str) -> None:
-        names = [c.strip().split(" ")[0] for c in _columns(schema)]
-        save_state(self.spark.createDataFrame([tuple(state.get(n) for n in names)], schema), f"{self.root}/state")
+        self.folder.write(*self.saved(state, schema))
 
-    def add(self, answers: DataFrame) -> DataFrame:
-        """Answers written beside those of earlier batches, and read again."""
-        path = f"{self.root}/answers/batch={time.time_ns()}"
-        answers.write.parquet(path)
-        return self.spark.read.schema(answers.schema).parquet(path)
+    @staticmethod
+    def saved(state: dict, schema: str) -> tuple[str, bytes]:
+        """The state's file, by name and bytes."""
+        names = [c.strip().split(" ")[0] for c in _columns(schema)]
+        return "state/state.json", json.dumps({n: state.get(n) for n in names}, ensure_ascii=False, indent=2).encode("utf-8")
 
     def add_table(self, name: str, rows: DataFrame) -> DataFrame:
         """A plan, written anew and read again: it is read many times and holds all texts."""
@@ -95,17 +99,6 @@ class RunStore:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def answers(self, schema: str) -> DataFrame:
-        """The last answer to each chunk, a done one before any other."""
-        try:
-            every = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.root}/answers").parquet(f"{self.root}/answers")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-        last = Window.partitionBy("chunk_id").orderBy(F.desc(F.col("status") == "done"), F.desc("batch"))
-        return every.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
-
 
 def _columns(schema: str) -> list[str]:
     """The column definitions of a schema, whose types may hold commas."""

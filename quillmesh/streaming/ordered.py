@@ -8,20 +8,19 @@ on, the others wait in the operator's state.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, MutableMapping
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 READY = "run_id string, seq long, content string"
-STATE = "next long, waiting map<long, string>"
 
 
-def release(next_seq: int, waiting: dict[int, str], arrived: Iterator[tuple[int, str]]) -> tuple[int, dict[int, str], list[tuple[int, str]]]:
+def release(next_seq: int, waiting: MutableMapping[int, str], arrived: Iterable[tuple[int, str]]) -> tuple[int, MutableMapping[int, str], list[tuple[int, str]]]:
     """The state after ``arrived`` outputs, and what is ready. An output that was given on already, or waits already, is ignored."""
     for seq, content in arrived:
         if seq >= next_seq:
@@ -33,17 +32,62 @@ def release(next_seq: int, waiting: dict[int, str], arrived: Iterator[tuple[int,
     return next_seq, waiting, ready
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    next_seq, waiting = state.get if state.exists else (1, {})
-    arrived = ((int(s), c) for b in batches for s, c in zip(b["seq"], b["content"]))
-    next_seq, waiting, ready = release(next_seq, dict(waiting or {}), arrived)
-    state.update((next_seq, waiting))
-    yield pd.DataFrame({"run_id": [key[0]] * len(ready), "seq": [r[0] for r in ready], "content": [r[1] for r in ready]})
+class _Waiting(MutableMapping):
+    """A map state as a mapping: an output is read or written by itself, so the state may be larger than memory."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __contains__(self, seq) -> bool:
+        return self.state.containsKey((seq,))
+
+    def __getitem__(self, seq: int) -> str:
+        if seq not in self:
+            raise KeyError(seq)
+        return self.state.getValue((seq,))[0]
+
+    def __setitem__(self, seq: int, content: str) -> None:
+        self.state.updateValue((seq,), (content,))
+
+    def __delitem__(self, seq: int) -> None:
+        self.state.removeKey((seq,))
+
+    def __iter__(self):
+        return (k[0] for k in self.state.keys())
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
+class InOrder(StatefulProcessor):
+    """One run's reorder buffer: the number that comes next, and the outputs that came before their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next, self.waiting = handle.getValueState("next", "seq long"), _Waiting(handle.getMapState("waiting", "seq long", "content string"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        next_seq = self.next.get()[0] if self.next.exists() else 1
+        arrived = ((int(s), c) for b in rows for s, c in zip(b["seq"], b["content"]))
+        next_seq, _, ready = release(next_seq, self.waiting, arrived)
+        self.next.update((next_seq,))
+        if ready:
+            yield pd.DataFrame({"run_id": pd.Series([key[0]] * len(ready), dtype=object), "seq": [r[0] for r in ready], "content": pd.Series([r[1] for r in ready], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_session(spark: SparkSession, partitions: int = 2) -> SparkSession:
+    """A session for streams with such state beside ``spark``, whose own settings stay as they are."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return session
 
 
 def ordered_outputs(stream: DataFrame) -> DataFrame:
-    """run_id, seq, content of a stream, each run's outputs in order 1, 2, ... without gaps."""
-    return stream.select("run_id", "seq", "content").groupBy("run_id").applyInPandasWithState(_step, READY, STATE, "append", GroupStateTimeout.NoTimeout)
+    """run_id, seq, content of a stream (of ``stream_session``), each run's outputs in order 1, 2, ... without gaps."""
+    return stream.select("run_id", "seq", "content").groupBy("run_id").transformWithStateInPandas(InOrder(), READY, "Append", "None")
 
 
 class EventFold:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillmesh.operators import chunks, glossary, sections
-from quillmesh.plans import completer, pipelines
+from quillmesh.plans import answers, completer, pipelines
 from quillmesh.sources import epub, glossary_md, pairmap
 from quillmesh.operators.numbering import number_within
 from quillmesh.sources.state import EXTRACT_STATE, TRANSLATE_STATE, Options, RunStore, check_path, read_side_files
@@ -274,14 +274,14 @@ def test_translate_stops_on_an_error_and_keeps_what_it_paid_for(spark, tmp_path)
     run = RunStore(spark, str(tmp_path / "run"))
     with pytest.raises(completer.RunStopped, match="no such model"):
         pipelines.translate(spark, chapters, MD, refused, options=Options(translate_concurrency=1), run=run)
-    assert {r["chunk_id"]: r["status"] for r in run.answers(completer.COMPLETED).collect()}["0001-0001"] == "done"
+    assert {r["chunk_id"]: r["status"] for r in answers.last_of_each(answers.logged(spark, run.root)).collect()}["0001-0001"] == "done"
     assert run.state(TRANSLATE_STATE)["chunks"][0]["status"] == "done"
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "a.epub").write_bytes(book("<p>bad</p>", "<p>text</p>"))
     run = RunStore(spark, str(tmp_path / "run2"))
     with pytest.raises(completer.RunStopped):
         pipelines.translate(spark, epub.read_books(spark, str(tmp_path / "b")), MD, refused, run=run)
-    assert run.answers(completer.COMPLETED).count() == 1  # the first call fails alone; the others are not made
+    assert answers.last_of_each(answers.logged(spark, run.root)).count() == 1  # the first call fails alone; the others are not made
 
 
 def test_feedback_that_does_not_fit_is_left_out(spark):
@@ -365,7 +365,7 @@ def test_extract_prefix_falls_back_to_names(spark):
     full = pipelines.extract_prefix("Rules \n", md, entries, Options())
     assert full == "Rules\n\n" + md.rstrip()
     names = pipelines.extract_prefix("Rules", md, entries, Options(context_tokens=400, reserved_output_tokens=200))
-    assert names.startswith("Rules\n\nAlready known English terms") and names.endswith("\nName18\nName19")
+    assert names.startswith("Rules\n\nThese English names have entries") and names.endswith("\nName18\nName19")
     with pytest.raises(ValueError, match="no room"):
         pipelines.extract_prefix("Rules", md, entries, Options(context_tokens=270, reserved_output_tokens=200))
 
@@ -462,11 +462,11 @@ def test_ordered_stream(spark, tmp_path):
     schema = "run_id string, seq long, content string"
     for n, rows in enumerate(([("r", 3, "c"), ("q", 1, "z")], [("r", 1, "a")], [("r", 2, "b")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = ordered.stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = ordered.ordered_outputs(stream).writeStream.format("memory").queryName("ordered_test").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    rows = spark.sql("select run_id, seq, content from ordered_test").collect()
+    rows = stream.sparkSession.sql("select run_id, seq, content from ordered_test").collect()
     assert [r["content"] for r in rows if r["run_id"] == "r"] == ["a", "b", "c"]
 
 

@@ -19,10 +19,20 @@ def test_progress(spark):
     assert out.getvalue().splitlines() == ["█" * 10 + "░" * 10 + " 2/4 c, d  ETA 0:03", "last b  0:04  10  —  1  1  0", "total  0:05  10  —  3  2  1"]
     one = steps.where("label = 'b'").withColumn("started", F.lit(3.0))
     assert progress.eta(one, 3, 2).first()["eta_seconds"] == 2.0
-    first, rest = progress.warm_up(steps, "ord")
+    first, rest = progress.warm_up(steps, "ord", "label")
     assert [r["label"] for r in first.collect()] == ["a"] and rest.count() == 3
 
 
+def test_warm_up_by_id(spark):
+    """Steps of equal order, and steps without one, are each run once."""
+    steps = spark.createDataFrame([("b", 1), ("a", 1), ("c", None), ("d", None)], "label string, ord int")
+    first, rest = progress.warm_up(steps, "ord", "label")
+    assert [r["label"] for r in first.collect()] == ["a"] and sorted(r["label"] for r in rest.collect()) == ["b", "c", "d"]
+    first, rest = progress.warm_up(steps.where("ord is null"), "ord", "label")
+    assert [r["label"] for r in first.collect()] == ["c"] and [r["label"] for r in rest.collect()] == ["d"]
+    assert [x.count() for x in progress.warm_up(steps.limit(0), "ord", "label")] == [0, 0]
+
+
 def test_arguments():
     progress.check_extract_arguments(True)
     progress.check_extract_arguments(False, out="x", pairs="p", max_pairs=3)
