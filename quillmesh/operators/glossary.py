@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import appears_in, blank_to_null, is_blank, trim_space
 
-#: Terms up to this number are broadcast to a nested loop; more go through an equi-join.
-BROADCAST_TERMS = 2_000
-#: Characters of the key of a term that does not begin with an ASCII letter.
-GRAM = 3
+#: Keys of terms up to this number are looked up where a text lies; more are joined by a shuffle.
+BROADCAST_TERMS = 5_000
+#: Runs of letters in a key at most; characters in the key of a term without an ASCII letter at most.
+RUNS, GRAM = 3, 3
 
 
 def terms_of(entries: DataFrame) -> DataFrame:
@@ -18,28 +18,83 @@ def terms_of(entries: DataFrame) -> DataFrame:
     return entries.select("ord", F.explode(F.array_prepend(F.coalesce("aliases", F.array().cast("array<string>")), F.col("english"))).alias("term")).where(~is_blank(F.col("term")))
 
 
+def _windows(items: Column, n: int, join: str) -> Column:
+    """Each n consecutive items as one text; none if there are fewer. ``items`` should be a column: it is read n times."""
+    out = items
+    for k in range(1, n):  # beyond the end there is null, which makes the whole null
+        out = F.filter(F.zip_with(out, F.slice(items, F.lit(k + 1), F.lit(1 << 30)), lambda x, y: F.concat(x, F.lit(join), y)), lambda w: w.isNotNull())
+    return out
+
+
+def _runs(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit("([a-z]+)"), 1)
+
+
+def _characters(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit("(?s)(.)"), 1)
+
+
+def _named(kind: str, windows: Column) -> Column:
+    """Keys that say of themselves how many runs (w) or characters (c) they have."""
+    return F.transform(windows, lambda w: F.concat(F.lit(f"{kind} "), w))
+
+
+def term_keys(terms: DataFrame) -> DataFrame:
+    """ord, term, _key: one key for each term, which every text that the term appears in has too.
+
+    No ASCII letter may stand beside a term, so its runs of ASCII letters are whole runs of such a text, and follow each other
+    there: up to RUNS consecutive ones make a key. A term without an ASCII letter has up to GRAM consecutive characters instead. Of a
+    term's possible keys that is taken which the fewest terms could have, so that a word that half of them begin with keys none of them.
+    """
+    rows = terms.where("term != ''").select("ord", "term", _runs(F.lower("term")).alias("_runs"), _characters(F.lower("term")).alias("_chars"))
+    many = lambda c, n, most: (F.size(c) == n) if n < most else (F.size(c) >= n)
+    kinds = [F.when(many("_runs", n, RUNS), _named(f"w{n}", _windows(F.col("_runs"), n, " "))) for n in range(1, RUNS + 1)]
+    kinds += [F.when(many("_chars", n, GRAM), _named(f"c{n}", _windows(F.col("_chars"), n, ""))) for n in range(1, GRAM + 1)]
+    possible = rows.select("ord", "term", F.explode(F.array_distinct(F.coalesce(*kinds))).alias("_key"))
+    counts = possible.groupBy("_key").agg(F.count("*").alias("_n"))
+    best = F.min(F.struct("_n", (-F.length("_key")).alias("_l"), "_key"))
+    return possible.join(counts, "_key").groupBy("ord", "term").agg(best.alias("_b")).select("ord", "term", F.col("_b._key").alias("_key"))
+
+
+def with_keys(texts: DataFrame, text_col: str, kinds: list[str]) -> DataFrame:
+    """``texts`` with ``_keys``: each text's distinct keys of the given kinds (``w1`` .. or ``c1`` ..)."""
+    text = F.col(text_col)
+    low = F.lower(text)
+    # The Kelvin sign is no ASCII letter, but its lower case is one: it may end a run, or be of it.
+    other = F.when(F.contains(text, F.lit("\u212a")), _runs(F.lower(F.replace(text, F.lit("\u212a"), F.lit(" "))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    words, chars = any(k[0] == "w" for k in kinds), any(k[0] == "c" for k in kinds)
+    rows = texts.withColumns({"_runs": _runs(low) if words else none, "_other": other if words else none, "_chars": _characters(low) if chars else none})
+    made = []
+    for kind in kinds:
+        n = int(kind[1:])
+        made += [_named(kind, _windows(F.col(c), n, join)) for c, join in ((("_runs", " "), ("_other", " ")) if kind[0] == "w" else (("_chars", ""),))]
+    return rows.withColumn("_keys", F.array_distinct(F.flatten(F.array(*made)))).drop("_runs", "_other", "_chars")
+
+
 def term_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """id_col, ord, term: which terms (ord, term) appear in which texts.
+    """id_col, ord, term: which terms (ord, term) appear in which texts, each term once for a row of ``texts``.
 
-    Few terms, by count, are broadcast and tested against every text where it lies.
-    Many are first matched by a key of (id, key) rows without texts: no ASCII letter may stand
-    beside a term, so one that begins with an ASCII letter occurs only where its first run of letters is a
-    whole run of the text; any other occurs only where its first GRAM characters do. Candidates
-    are then tested beside their text. Rows of one id are one text's worth of candidates.
+    Terms are found by a key (``term_keys``) that a text must have, then tested in the text: work grows with the texts and
+    with what is found, not with texts times terms. Up to ``broadcast_terms`` keys, by count, are looked up where the text lies, and
+    nothing is shuffled. More are joined with (id, key) rows without texts; what that finds is tested beside its text, and
+    rows of one id are one text's worth of candidates.
     """
-    few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    if few:
-        texts = texts.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
-        return texts.join(F.broadcast(terms.select("ord", "term")), appears_in(F.col("_text"), F.col("term"), F.col("_low"))).select(id_col, "ord", "term")
-    run = F.lower(F.regexp_extract("term", "^[A-Za-z]+", 0))
-    keyed = terms.where("term != ''").select("ord", "term", F.when(run != "", run).otherwise(F.concat(F.lit(" "), F.left(F.lower("term"), F.lit(GRAM)))).alias("_key"))
-    low = F.lower(text_col)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.substring(low, i, F.lit(n))))
-    keys = F.array_union(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), F.flatten(F.array(*(grams(n) for n in range(1, GRAM + 1)))))
-    odd = keyed.where("_key like ' %'").limit(1).count()
-    seen = texts.select(id_col, F.explode(keys if odd else F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1))).alias("_key"))
-    candidates = seen.join(keyed, "_key").select(F.col(id_col).alias("_id"), "ord", "term").distinct()
-    both = texts.select(id_col, F.col(text_col).alias("_text")).join(candidates, F.col(id_col) == F.col("_id"))
+    keyed = term_keys(terms.select("ord", "term"))
+    some = keyed.select("_key").distinct().limit(broadcast_terms + 1).collect()
+    if not some:
+        return texts.select(id_col).crossJoin(terms.select("ord", "term").limit(0))
+    text = F.col(text_col)
+    if len(some) <= broadcast_terms:
+        keys = [r["_key"] for r in some]
+        kinds = sorted({k.split(" ", 1)[0] for k in keys})
+        rows = with_keys(texts.select(id_col, text.alias("_text")), "_text", kinds)
+        rows = rows.select(id_col, "_text", F.explode(F.filter("_keys", lambda k: k.isin(*keys))).alias("_key"))
+        return rows.join(F.broadcast(keyed), "_key").where(appears_in(F.col("_text"), F.col("term"))).select(id_col, "ord", "term")  # the keys counted above
+    kinds = sorted(r["k"] for r in keyed.select(F.substring_index("_key", " ", 1).alias("k")).distinct().collect())  # six at most
+    seen = with_keys(texts.select(F.col(id_col).alias("_id"), text.alias("_text")), "_text", kinds).select("_id", F.explode("_keys").alias("_key"))
+    candidates = seen.join(keyed, "_key").select("_id", "ord", "term").distinct()
+    both = texts.select(id_col, text.alias("_text")).join(candidates, F.col(id_col) == F.col("_id"))
     return both.where(appears_in(F.col("_text"), F.col("term"))).select(id_col, "ord", "term")
 
 

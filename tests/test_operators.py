@@ -185,6 +185,39 @@ def test_many_terms_of_any_alphabet(spark):
     assert (1, 1, "кот") in few and (2, 1, "кот") in few and (1, 2, "old cat") in few and (4, 3, "ça") in few
 
 
+def test_matcher_equals_a_plain_search(spark):
+    """Both ways of the matcher against a search of every term in every text, over letters of several alphabets, signs and odd cases."""
+    import re
+
+    draw = random.Random(6)
+    letters = ["a", "b", "A", "é", "К", "к", "ß", "😀", "\u212a", "İ", "ſ", " ", "-", "'", "9", "+", ".", "\n"]
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    terms = sorted({word(draw.randint(1, 5)) for _ in range(150)} | {"a b a b a", "b a b a", "k", "K9", "a", "+", " ", "ab", "\\E", "a.b", "кк"})
+    texts = [word(draw.randint(0, 60)) for _ in range(60)] + [None, "", "a b a b a", "ab\u212ab a", "\\Q\\E"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    t = spark.createDataFrame([*enumerate(terms), (999, ""), (998, None)], "ord int, term string")
+    plain = df.crossJoin(t).where(glossary.appears_in(F.col("text"), F.col("term"))).select("id", "ord", "term")
+    want = sorted(map(tuple, plain.collect()))
+    assert len(want) > 300
+    assert sorted(map(tuple, glossary.term_hits(df, t, "id").collect())) == want
+    assert sorted(map(tuple, glossary.term_hits(df, t, "id", broadcast_terms=3).collect())) == want
+    assert glossary.term_hits(df, t.limit(0), "id").count() == 0 and re
+
+
+def test_terms_that_begin_alike(spark):
+    """Half of 50,000 terms begin with one word that every text has: no key is shared by many terms, and nothing is tested against all."""
+    terms = spark.range(50_000).selectExpr("cast(id AS int) AS ord", "CASE WHEN id % 2 = 0 THEN concat('The Order of ', translate(cast(id AS string), '0123456789', 'abcdefghij')) ELSE concat(translate(cast(id AS string), '0123456789', 'klmnopqrst'), ' of the House') END AS term")
+    keys = glossary.term_keys(terms)
+    assert keys.count() == 50_000 and keys.groupBy("_key").count().agg(F.max("count")).first()[0] == 1
+    texts = spark.range(2_000).selectExpr("id", "concat('the order of the house, THE ORDER OF ', translate(cast(id * 2 AS string), '0123456789', 'abcdefghij'), '; of the house ', 'order of ', translate(cast(id AS string), '0123456789', 'klmnopqrst'), ' of the house. ') AS text")
+    hits = glossary.term_hits(texts, terms, "id")
+    got = hits.collect()
+    assert sorted((r["id"], r["ord"]) for r in got) == sorted([(i, 2 * i) for i in range(2_000)] + [(i, i) for i in range(1, 2_000, 2)])
+    for n in (2_000, 100_000):
+        plan = glossary.term_hits(texts, terms.limit(1_000), "id", broadcast_terms=n)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def book(*bodies):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
