@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html as h
 from .functions import text
-from .operators import chunks, glossary, sections
+from .operators import chunks, glossary, packing, sections
 from .oracles import _ENGLISH, _PROTOCOL, SPACE, _units, _wrap
 from .plans import answers, completer, pipelines, progress
-from .queries import LINE_BREAK, _table
+from .queries import BUDGET, LINE_BREAK, _table
 from .sources import glossary_md, state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,24 @@ def section_numbers(spark, sf_dir):
     return sections.number_sections(d, "lang", "doc_id").select("lang", "doc_id", "idx")
 
 
+@_registered("""WITH RECURSIVE x AS (
+  SELECT doc_id, unnest(y) AS line, unnest(range(len(y))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM documents)
+), l AS (
+  SELECT doc_id // 50 AS book, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, i) - 1 AS pos, length(line) // 4 AS cost FROM x
+), r AS (
+  SELECT book, pos, cost AS used, 1 AS piece FROM l WHERE pos = 0
+  UNION ALL
+  SELECT l.book, l.pos, CASE WHEN r.used + l.cost > 200 THEN l.cost ELSE r.used + l.cost END, CASE WHEN r.used + l.cost > 200 THEN r.piece + 1 ELSE r.piece END FROM r JOIN l ON l.book = r.book AND l.pos = r.pos + 1
+)
+SELECT book AS chapter_no, piece::INTEGER AS piece_no, min(pos) AS first, count(*) AS n_blocks FROM r GROUP BY ALL""")
+def long_chapters(spark, sf_dir):
+    """Fifty documents' lines as one chapter, packed across rows: where each piece begins, and its blocks."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", LINE_BREAK)).alias("i", "line"))
+    place = F.row_number().over(Window.partitionBy(F.expr("doc_id div 50")).orderBy("doc_id", "i")) - 1
+    blocks = d.select(F.expr("doc_id div 50").alias("chapter_no"), place.cast("long").alias("pos"), text.utf16_length(F.col("line")).alias("n"))
+    return packing.pack_rows(blocks, BUDGET, span=64).groupBy("chapter_no", "piece_no").agg(F.min("pos").alias("first"), F.count("*").alias("n_blocks"))
+
+
 @_registered("SELECT doc_id FROM documents WHERE doc_id BETWEEN 20 AND 150")
 def chapter_slice(spark, sf_dir):
     """The documents that a range of chapters names."""

@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packing import groups_from, next_starts
 from ..functions.text import chunk_id, pair_prompt, split_equally, token_estimate, utf16_length
 
 
-def pack_blocks(lengths: Column, budget: Column | int, joint: bool = False) -> Column:
-    """The group of each block, 0, 1, ...: a block that would exceed the budget starts the next group.
+#: Blocks up to which a chapter is packed by a fold, which copies what it has at every block; longer ones by their sums.
+SHORT = 2_000
+
+
+def pack_starts(lengths: Column, budget: int, joint: bool = False) -> Column:
+    """Where groups begin (0 first): a block that would exceed the budget starts the next group. None for no block.
 
     ``lengths`` is an array of block lengths in reading order. A group costs the sum
-    of its blocks' lengths over four, each rounded down; with ``joint`` the quarter of their sum.
+    of its blocks' lengths over four, each rounded down; with ``joint`` the quarter of their sum. Time is linear in the blocks: a
+    short chapter is folded where it lies, of a long one the lengths go through Arrow.
     """
-    budget = F.lit(budget) if isinstance(budget, int) else budget
     cost = (lambda n: n) if joint else (lambda n: F.floor(n / 4))
-    limit = budget.cast("long") * 4 + 3 if joint else budget.cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("groups"))
+    limit = budget * 4 + 3 if joint else budget
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, n: Column) -> Column:
         size = cost(n).cast("long")
-        full = (acc["used"] + size > limit) & (F.size(acc["groups"]) > 0)
-        group = F.when(full, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.when(full, size).otherwise(acc["used"] + size).alias("used"), group.alias("group"), F.concat(acc["groups"], F.array(group)).alias("groups"))
+        first = (acc["used"] + size > limit) | (acc["at"] == 0)
+        return F.struct(F.when(first, size).otherwise(acc["used"] + size).alias("used"), (acc["at"] + 1).alias("at"), F.when(first, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
+
+    @F.pandas_udf("array<int>")
+    def by_sums(costs: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else groups_from(0, next_starts(np.asarray(c, dtype=np.int64), limit)[0]) for c in costs], dtype=object)
+
+    long = F.when(F.size(lengths) > SHORT, F.transform(lengths, lambda n: cost(n).cast("long")))
+    return F.when(F.size(lengths) > SHORT, by_sums(long)).otherwise(F.aggregate(lengths, start, step)["starts"])
+
 
-    return F.aggregate(lengths, start, step)["groups"]
+def pack_blocks(lengths: Column, budget: int, joint: bool = False) -> Column:
+    """The group of each block, 0, 1, ..., as ``pack_starts`` has them."""
+    starts = pack_starts(lengths, budget, joint)
+    sizes = F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.lit(1 << 30)), F.array(F.size(lengths))), lambda a, b: b - a)
+    return F.flatten(F.transform(sizes, lambda n, k: F.array_repeat(k, n)))
 
 
 def plan_chunks(chapters: DataFrame, budget: int, joint: bool = False, strict: bool = True, separator: str = "", fits_whole: bool = True) -> DataFrame:
@@ -39,12 +57,12 @@ def plan_chunks(chapters: DataFrame, budget: int, joint: bool = False, strict: b
     whole = (F.size(blocks) == 0) | ((token_estimate(F.coalesce("body_inner_html", F.lit(""))) <= budget) & F.lit(fits_whole))
     parts = F.when(whole, F.array(F.coalesce("body_inner_html", F.lit("")))).otherwise(blocks)
     rows = chapters.select("chapter_no", "file_path", parts.alias("parts"))
-    groups = pack_blocks(F.transform("parts", utf16_length), budget, joint)
+    starts = pack_starts(F.transform("parts", utf16_length), budget, joint)
     if strict:
         over = F.exists("parts", lambda p: token_estimate(p) > budget)
-        groups = F.when(over, F.raise_error(F.concat(F.lit("a block exceeds the token budget: "), "file_path")).cast("array<int>")).otherwise(groups)
-    rows = rows.select("*", groups.alias("groups"))
-    pieces = F.transform(F.sequence(F.lit(0), F.array_max("groups")), lambda g: F.array_join(F.filter("parts", lambda p, i: F.element_at("groups", i + 1) == g), separator))
+        starts = F.when(over, F.raise_error(F.concat(F.lit("a block exceeds the token budget: "), "file_path")).cast("array<int>")).otherwise(starts)
+    rows = rows.select("*", starts.alias("starts")).withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.lit(1 << 30)), F.array(F.size("parts"))))
+    pieces = F.transform(F.arrays_zip("starts", "ends"), lambda g: F.array_join(F.slice("parts", g["starts"] + 1, g["ends"] - g["starts"]), separator))
     out = rows.select("chapter_no", "file_path", F.posexplode(pieces).alias("_p", "source_html"))
     return out.select(chunk_id(F.col("chapter_no"), F.col("_p") + 1).alias("chunk_id"), "chapter_no", (F.col("_p") + 1).alias("piece_no"), "file_path", "source_html")
 

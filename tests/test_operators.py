@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quillmesh.operators import chunks, glossary, sections
+from quillmesh.operators import chunks, glossary, packing, sections
 from quillmesh.plans import answers, completer, pipelines
 from quillmesh.sources import epub, glossary_md, pairmap
 from quillmesh.operators.numbering import number_within
@@ -98,6 +98,58 @@ def test_packing_keeps_everything(spark, lengths, joint):
         assert all(len(r["source_html"]) // 4 <= 22 for r in rows)
 
 
+def greedy(lengths, budget, joint):
+    """Groups, from 1, block by block."""
+    limit, used, group, out = budget * 4 + 3 if joint else budget, 0, 0, []
+    for n in lengths:
+        size = n if joint else n // 4
+        if not out or used + size > limit:
+            used, group = 0, group + 1
+        used += size
+        out.append(group)
+    return out
+
+
+@pytest.mark.parametrize("joint", [False, True])
+def test_packing_across_rows(spark, joint, monkeypatch):
+    """Ranges of a chapter are packed as one row is, whatever lies at their ends: blocks of no cost, blocks beyond the budget, groups longer than a range."""
+    draw = random.Random(8)
+    chapters = {c: [draw.choice([0, 0, 1, 3, 4, 9, 17, 40, 90, 200][: draw.randint(1, 10)]) for _ in range(draw.randint(1, 90))] for c in range(120)}
+    chapters |= {200: [0] * 50, 201: [500] * 30, 202: [4] * 100, 203: [1]}
+    want = sorted((c, i, g) for c, ns in chapters.items() for i, g in enumerate(greedy(ns, 12, joint)))
+    rows = spark.createDataFrame([(c, i, n) for c, ns in chapters.items() for i, n in enumerate(ns)], "chapter_no int, pos int, n int").repartition(5)
+    for span in (1, 4, 7, 1000):
+        assert sorted(map(tuple, packing.pack_rows(rows, 12, joint, span).collect())) == want
+    whole = spark.createDataFrame([(c, ns) for c, ns in chapters.items()], "c int, ns array<int>")
+    for short in (chunks.SHORT, 20):  # folded, and by sums
+        monkeypatch.setattr(chunks, "SHORT", short)
+        got = whole.select("c", F.posexplode(chunks.pack_blocks(F.col("ns"), 12, joint)).alias("pos", "g")).collect()
+        assert sorted((r["c"], r["pos"], r["g"] + 1) for r in got) == want
+    assert packing.pack_rows(rows.limit(0), 12).count() == 0
+
+
+def test_a_chapter_of_a_million_blocks(spark):
+    """In one row, and in rows: linear in the number of blocks."""
+    import time
+
+    n = 1_000_000
+    blocks = spark.range(n).selectExpr("1 AS chapter_no", "id AS pos", "cast(20 + id % 37 AS int) AS n")
+    began = time.time()
+    got = packing.pack_rows(blocks, 500).agg(F.max("piece_no"), F.count("*"), F.sum("piece_no")).first()
+    want = greedy([20 + i % 37 for i in range(n)], 500, False)
+    assert tuple(got) == (want[-1], n, sum(want))
+    row = spark.range(1).selectExpr("transform(sequence(0, 999999), i -> 20 + i % 37) AS ns")
+    assert row.select(F.size(chunks.pack_starts(F.col("ns"), 500))).first()[0] == want[-1]
+    assert time.time() - began < 60
+
+
+def test_long_chapters_keep_their_text(spark):
+    parts = [f"<p>{'x' * (i % 50)}</p>" for i in range(300)]
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(parts)], "chapter_no int, pos int, html string")
+    rows = packing.plan_long_chunks(blocks, 40).orderBy("piece_no").collect()
+    assert "".join(r["source_html"] for r in rows) == "".join(parts) and [r["piece_no"] for r in rows] == list(range(1, greedy([len(t) for t in parts], 40, False)[-1] + 1))
+
+
 def test_plan_errors_and_assembly(spark):
     chapters = spark.createDataFrame([(1, "c", "x" * 99, ["x" * 99])], "chapter_no int, file_path string, body_inner_html string, block_fragments array<string>")
     with pytest.raises(Exception, match="exceeds"):
