@@ -13,7 +13,7 @@ from .operators import chunks, glossary, packing, sections
 from .oracles import _ENGLISH, _PROTOCOL, SPACE, _units, _wrap
 from .plans import answers, completer, pipelines, progress
 from .queries import BUDGET, LINE_BREAK, _table
-from .sources import glossary_md, state
+from .sources import glossary_md, ordered_text, state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -101,6 +101,14 @@ def candidate_list(spark, sf_dir):
     return glossary_md.read_candidates(listed.select(F.lit("d").alias("doc_id"), "text")).select("term")
 
 
+@_registered("SELECT 'parts.md' AS name, sha256('# Term candidates' || chr(10) || chr(10) || string_agg('- ' || p_name || chr(10), '' ORDER BY p_partkey)) AS sha, (20 - 1 + sum(strlen(p_name) + 3))::BIGINT AS size FROM part")
+def candidate_file(spark, sf_dir):
+    """Names of parts as one file of candidates, written by many tasks and stitched: its digest."""
+    path = f"{state.RunStore(spark).root}/parts.md"
+    glossary_md.write_candidates(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("term")), path)
+    return ordered_text.read_digest(spark, path)
+
+
 # -- sections and chunks ------------------------------------------------------------
 
 @_registered(f"SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INTEGER AS idx FROM documents WHERE regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g') <> ''")

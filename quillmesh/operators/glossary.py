@@ -104,13 +104,6 @@ def compile_glossary(entries: DataFrame, texts: DataFrame, id_col: str, text_col
     return entries.join(found, "ord", "left_semi")
 
 
-def union_keep_first(lists: Column) -> Column:
-    """An array of arrays as one: trimmed, blanks dropped, of spellings that differ in case the first."""
-    flat = F.filter(F.transform(F.flatten(lists), trim_space), lambda x: x != "")
-    low = F.transform(flat, F.lower)
-    return F.filter(F.transform(flat, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-
-
 def merge_notes(left: Column, right: Column) -> Column:
     """Notes joined by a blank unless the left ones contain the right ones, ignoring case."""
     l, r = blank_to_null(left), blank_to_null(right)
@@ -122,7 +115,8 @@ def merge_glossaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     The first entry of a name gives ru and kind; later ones add notes and list
     items, in order. Entries that nothing is merged into stay as they are. Existing
-    entries of one name all stay, and the last of them takes what comes in.
+    entries of one name all stay, and the last of them takes what comes in. A name may have
+    any number of entries: what differs among them is all that comes together.
     """
     fields = ("english", "ru", "kind", "notes", "do_not_use", "aliases")
     old, new = (rows.select(F.lit(src).alias("_src"), F.lower("english").alias("_key"), "ord", *fields) for src, rows in enumerate((existing, incoming)))
@@ -130,12 +124,23 @@ def merge_glossaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     target = old.join(last, "_key")
     alone = target.where("ord != _last").drop("_last")
     both = target.where("ord = _last").drop("_last").unionByName(new)
-    groups = both.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_src", "ord", *fields))).alias("_all"))
-    head = F.col("_all")[0]
-    notes = F.aggregate(F.slice("_all", 2, F.size("_all")), blank_to_null(head["notes"]), lambda acc, e: merge_notes(acc, e["notes"]))
-    many = F.size("_all") > 1
-    lists = lambda f: F.when(many, union_keep_first(F.transform("_all", lambda e: F.coalesce(e[f], F.array().cast("array<string>"))))).otherwise(head[f])
-    merged = groups.select(head["_src"].alias("_src"), head["ord"].alias("ord"), head["english"].alias("english"), head["ru"].alias("ru"), head["kind"].alias("kind"), F.when(many, notes).otherwise(head["notes"]).alias("notes"), lists("do_not_use").alias("do_not_use"), lists("aliases").alias("aliases"))
+    heads = both.groupBy("_key").agg(F.min(F.struct("_src", "ord", *fields)).alias("_head"), F.count("*").alias("_rows"))
+
+    # What a name's entries add up to is a set of first occurrences: notes and list items, each once, at its least place. They are
+    # found by aggregates that combine before the shuffle, so no row holds all entries of a name; only what is left of them is listed.
+    note = F.when(~is_blank(F.col("notes")), F.array(F.struct(F.lit("notes").alias("tag"), F.lit(0).alias("pos"), trim_space(F.col("notes")).alias("item"))))
+    parts = [F.coalesce(note, F.array().cast("array<struct<tag: string, pos: int, item: string>>"))]
+    for f in ("do_not_use", "aliases"):
+        parts.append(F.transform(F.coalesce(f, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(f).alias("tag"), i.alias("pos"), trim_space(x).alias("item"))))  # noqa: B023  called at once
+    items = both.select("_key", "_src", "ord", F.explode(F.concat(*parts)).alias("x")).where("x.item != ''")
+    firsts = items.groupBy("_key", "x.tag", F.lower("x.item").alias("_low")).agg(F.min(F.struct("_src", "ord", "x.pos", "x.item")).alias("_first"))
+    listed = firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("tag", "_first"))).alias("_items"))
+    of = lambda tag: F.transform(F.filter(F.coalesce("_items", F.array().cast(listed.schema["_items"].dataType)), lambda x: x["tag"] == tag), lambda x: x["_first"]["item"])
+    # A note that an earlier one equals is inside what was gathered; one that is inside several together is found by the fold.
+    notes = F.aggregate(of("notes"), F.lit(None).cast("string"), lambda acc, e: merge_notes(acc, e))
+    many = F.col("_rows") > 1
+    merged = heads.join(listed, "_key", "left").select("_head.*", many.alias("_many"), notes.alias("_notes"), of("do_not_use").alias("_do_not_use"), of("aliases").alias("_aliases"))
+    merged = merged.select("_src", "ord", "english", "ru", "kind", *(F.when(F.col("_many"), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in ("notes", "do_not_use", "aliases")))
     rows = merged.unionByName(alone.select("_src", "ord", *fields))
     shift = existing.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_n"))
     # New entries keep their own order after all existing ones.

@@ -43,13 +43,14 @@ class Folder:
         return where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound
 
     def delete(self, name: str) -> None:
-        """Delete a file or folder, if it is there."""
+        """Delete a file or folder, if it is there; the whole folder, if no name is given."""
         where, base = self._at()
-        kind = where.get_file_info(f"{base}/{name}").type
+        at = f"{base}/{name}" if name else base
+        kind = where.get_file_info(at).type
         if kind == fs.FileType.Directory:
-            where.delete_dir(f"{base}/{name}")
+            where.delete_dir(at)
         elif kind != fs.FileType.NotFound:
-            where.delete_file(f"{base}/{name}")
+            where.delete_file(at)
 
     def make(self, name: str) -> None:
         """A folder inside, if it is not there."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered_text import write_ordered
 from ..functions.text import KINDS, blank_to_null, parse_kind, split_list, trim_preamble, trim_space
 
 #: The fields of an entry.
@@ -113,6 +114,17 @@ def candidates_markdown(terms: DataFrame) -> DataFrame:
     return terms.agg(F.concat(F.lit("# Term candidates\n\n"), listed).alias("text"))
 
 
+def write_candidates(terms: DataFrame, path: str) -> int:
+    """The same list (term, ord) as one file at ``path``, of any length, written by many tasks; its size in bytes."""
+    return write_ordered(terms, ["ord"], F.concat(F.lit("- "), "term", F.lit("\n")), path, "# Term candidates\n\n")
+
+
+def write_entries(title: str, preamble: str, entries: DataFrame, path: str) -> int:
+    """A glossary (ENTRY) as one Markdown file at ``path``, as ``write`` has it, of any length, written by many tasks; its size in bytes."""
+    head = f"# {title}\n" + (f"\n{preamble}" + ("" if preamble.endswith("\n") else "\n") if preamble else "")
+    return write_ordered(entries, ["ord"], format_entry(*(F.col(c) for c in ("english", "ru", "kind", "notes", "do_not_use", "aliases"))), path, head)
+
+
 def read_candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ord, term: ``- term`` lines; of spellings that differ in case the first."""
     rows = lines_of(docs).where(F.col("line").startswith("- ")).select("doc_id", F.col("pos").alias("ord"), trim_space(F.expr("substring(line, 3)")).alias("term")).where("term != ''")

@@ -131,6 +131,17 @@ class EventFold:
                 nested = (usage.get("prompt_tokens_details") or {}).get("cached_tokens")
                 self.out |= {"prompt_tokens": usage.get("prompt_tokens"), "completion_tokens": usage.get("completion_tokens"), "cached_tokens": usage.get("cached_tokens") if nested is None else nested}
 
+    def saved(self) -> str:
+        """What is known besides the content, as JSON: the half-received event, the rest of the answer, and whether it is over."""
+        return json.dumps([self.rest, self.done, self.error, self.out])
+
+    @classmethod
+    def restored(cls, saved: str) -> EventFold:
+        """A fold that goes on from ``saved``; its content begins anew."""
+        fold = cls()
+        fold.rest, fold.done, fold.error, fold.out = json.loads(saved)
+        return fold
+
     def result(self) -> dict[str, Any]:
         """The answer; ``error`` says why there is none (and it may be tried again)."""
         if self.rest:
@@ -147,6 +158,61 @@ def fold_events(text: str) -> dict[str, Any]:
     return fold.result()
 
 
+ANSWER = "stream_id string, content string, finish_reason string, prompt_tokens long, cached_tokens long, completion_tokens long, error string"
+
+
+class FoldPieces(StatefulProcessor):
+    """One event stream: pieces fold as they come in order, wherever they are cut; the answer is given when the stream is over.
+
+    State holds the half-received event and the pieces that came before their turn; content lies in a map, so it is written once, not at every piece.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next, self.known = handle.getValueState("next", "seq long"), handle.getValueState("known", "known string")
+        self.waiting, self.content = _Waiting(handle.getMapState("waiting", "seq long", "content string")), _Waiting(handle.getMapState("content", "seq long", "content string"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        next_seq = self.next.get()[0] if self.next.exists() else 1
+        if next_seq < 0:  # the answer has been given
+            return
+        fold = EventFold.restored(self.known.get()[0]) if self.known.exists() else EventFold()
+        # A missing piece is the end of the connection; states hold no nulls.
+        arrived = ((int(s), END if c is None or c != c else c) for b in rows for s, c in zip(b["seq"], b["piece"]))
+        first, over = next_seq, False
+        next_seq, _, ready = release(next_seq, self.waiting, arrived)
+        for _, piece in ready:
+            over = over or piece == END or fold.feed(piece)
+        if fold.content:
+            self.content[first] = "".join(fold.content)
+        if over:
+            fold.content = [self.content[k] for k in sorted(self.content)]
+            out = fold.result()
+            yield pd.DataFrame([(key[0], *(out[f.split()[0]] for f in ANSWER.split(", ")[1:]))], columns=[f.split()[0] for f in ANSWER.split(", ")]).astype({c: "Int64" for c in ("prompt_tokens", "cached_tokens", "completion_tokens")} | {c: object for c in ("stream_id", "content", "finish_reason", "error")})
+            for k in [*self.content]:
+                del self.content[k]
+            self.known.clear()
+            next_seq = -1
+        else:
+            self.known.update((fold.saved(),))
+        self.next.update((next_seq,))
+
+    def close(self) -> None:
+        pass
+
+
+#: What stands for the end of a connection in a state: no piece can be this.
+END = "\0end"
+
+
+def folded_streams(pieces: DataFrame) -> DataFrame:
+    """ANSWER of each event stream of ``pieces`` (stream_id, seq 1, 2, ..., piece; null: the connection ended), a stream of ``stream_session``.
+
+    Pieces may come in any order, more than once, and in any micro-batch, and may be cut anywhere, within an event too. One answer comes out for each stream, when it says
+    that it is over, breaks, or its connection ends; it is that of ``fold_events`` of the whole. After a restart it goes on in the middle of an event.
+    """
+    return pieces.select("stream_id", "seq", "piece").groupBy("stream_id").transformWithStateInPandas(FoldPieces(), ANSWER, "Append", "None")
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType() if n.endswith("tokens") else T.StringType()) for n in ("content", "finish_reason", "prompt_tokens", "cached_tokens", "completion_tokens", "error")]))
 def fold_sse(text: pd.Series) -> pd.DataFrame:
     """``fold_events`` of each stream."""

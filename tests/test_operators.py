@@ -65,6 +65,46 @@ def test_merge(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, glossary.merge_glossaries(old, new).collect()))
 
 
+def test_merge_equals_a_plain_fold(spark):
+    """Random entries, with repeated names, spellings, blanks, nulls and notes inside notes, against a fold entry by entry."""
+    draw = random.Random(12)
+    some = lambda: draw.choice([None, [], ["a", " A ", "b"], ["B", "", " "], ["ç", "Ç", "d"], ["x y", "b"]])
+    notes = [None, "", "  ", "One.", "one.", "Two", " One. Two ", "e. T", "three three"]
+    row = lambda i: (i, draw.choice(["Abc", "abc", "ABC", "Def", "ghi", f"n{i}"]), f"r{i}", "name", draw.choice(notes), some(), some())
+    old, new = [row(i) for i in range(1, 25)], [row(i) for i in range(1, 120)]
+
+    def merged():
+        out = [list(r[1:]) for r in old]
+        at = {r[0].lower(): i for i, r in enumerate(out)}
+        for r in new:
+            i = at.get(r[1].lower())
+            if i is None:
+                at[r[1].lower()] = len(out)
+                out.append(list(r[1:]))
+                continue
+            e = out[i]
+            left, right = (e[3] or "").strip() or None, (r[4] or "").strip() or None
+            e[3] = right if left is None else left if right is None or right.lower() in left.lower() else f"{left} {right}"
+            for k, more in ((4, r[5]), (5, r[6])):
+                seen: dict = {}
+                for x in [*(e[k] or []), *(more or [])]:
+                    if x.strip():
+                        seen.setdefault(x.strip().lower(), x.strip())
+                e[k] = list(seen.values())
+        return out
+
+    got = glossary.merge_glossaries(entries(spark, *old).repartition(3), entries(spark, *new).repartition(3)).orderBy("ord").collect()
+    assert [list(r)[1:] for r in got] == merged()
+
+
+def test_a_name_with_very_many_entries(spark):
+    """No task lists a name's entries: what is gathered is what differs."""
+    old = entries(spark, (1, "Hot", "r", "name", "first", [], ["a0"]))
+    new = spark.range(1, 300_001).selectExpr("cast(id AS int) AS ord", "'hot' AS english", "'x' AS ru", "'name' AS kind", "concat('note ', id % 3) AS notes", "array(concat('A', id % 5)) AS do_not_use", "array(concat('a', id % 7), 'A0') AS aliases")
+    made = glossary.merge_glossaries(old, new)
+    assert [tuple(r) for r in made.collect()] == [(1, "Hot", "r", "name", "first note 1 note 2 note 0", ["A1", "A2", "A3", "A4", "A0"], ["a0", "a1", "a2", "a3", "a4", "a5", "a6"])]
+
+
 def test_pair_map(spark):
     rows = pairmap.parse(docs(spark, "a = b # c\n\nx .. y = z .. w\n")).orderBy("line_no").collect()
     assert [(r["original_from"], r["original_to"], r["translation_to"]) for r in rows] == [("a", "a", "b"), ("x", "y", "w")]

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.plans import answers, completer, pipelines
-from quillmesh.sources import glossary_md
+from quillmesh.sources import glossary_md, ordered_text
 from quillmesh.sources.folder import Folder, replace_all
 from quillmesh.sources.state import EXTRACT_STATE, Options, RunStore
-from quillmesh.streaming import follow
+from quillmesh.streaming import follow, ordered
 
 ENTRY = [f.split()[0] for f in glossary_md.ENTRY.split(", ")]
 
@@ -269,3 +269,58 @@ def test_request_builders_agree(spark):
             made = row.select(completer.request_json(F.col("m"), F.col("p"), F.col("c"), F.lit(9), None if note is None else F.lit(note), **column)).first()[0]
             assert json.loads(made) == client.request("pre", "body", note), (given, note)
     assert completer.HttpCompleter("http://x", "m", 9, caching=True).request("pre", "b", None)["session_id"] == row.select(completer.session_id(F.col("p"))).first()[0]
+
+
+# -- one file from many tasks, and event streams ----------------------------------------
+
+
+@pytest.mark.parametrize("middle", [True, False])
+def test_ordered_text(spark, tmp_path, monkeypatch, middle):
+    """A file is the same however many tasks write it, and whether parts can be put in its middle or not."""
+    rows = [(draw % 97, None if draw % 50 == 3 else f"{draw}é😀\n") for draw in range(2_000)]
+    df = spark.createDataFrame(rows, "a int, t string").repartition(7)
+    want = "head\n" + "".join(t for _, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode())) if t)
+    if not middle:
+        monkeypatch.setattr(ordered_text.fs, "LocalFileSystem", type("None", (), {}))
+    for parts in (1, 5):
+        path = tmp_path / "out" / f"f{parts}.txt"
+        assert ordered_text.write_ordered(df, ["a"], F.col("t"), f"file://{path}", "head\n", parts) == len(want.encode())
+        assert path.read_text() == want
+    ordered_text.write_ordered(df, ["a"], F.col("t"), str(path), "")  # replaces
+    assert path.read_text() == want[5:]
+    ordered_text.write_ordered(df.limit(0), ["a"], F.col("t"), str(path), "only")
+    assert path.read_text() == "only" and sorted(os.listdir(tmp_path / "out")) == ["f1.txt", "f5.txt"]
+
+
+def test_entries_file_is_what_write_gives(spark, tmp_path):
+    md = "# G\n\nAbout\n\n## B\n- ru: б\n- type: name\n- notes: n\n\n## A\n- ru: а\n- type: other\n- aliases: x, y\n"
+    docs, found_entries = glossary_md.parse(pipelines.one_document(spark, md))
+    glossary_md.write_entries("G", "About", found_entries, str(tmp_path / "g.md"))
+    assert (tmp_path / "g.md").read_text() == md == glossary_md.write(docs, found_entries).first()["text"]
+
+
+def test_event_streams_over_batches_and_a_restart(spark, tmp_path):
+    """Pieces cut anywhere, out of order, repeated, over micro-batches; the query is stopped in the middle of an event."""
+    event = lambda c, end="": 'data: {"choices":[{"index":0,"delta":{"content":' + json.dumps(c) + "}" + end + "}]}\n\n"
+    good = event("<p>При") + event("вет</p>", ',"finish_reason":"stop"') + 'data: {"usage":{"prompt_tokens":7,"completion_tokens":2}}\n\n' + "data: [DONE]\n\n"
+    whole = {"a": good, "b": good.replace("вет", "\r\nдва"), "c": event("x") + "data: {oops\n\n", "d": event("cut off")}
+    cut = {k: [v[i : i + 37] for i in range(0, len(v), 37)] for k, v in whole.items()}
+    rows = [(k, i + 1, p) for k, ps in cut.items() for i, p in enumerate(ps)] + [("d", len(cut["d"]) + 1, None)]
+    rows = rows[::2][::-1] + rows[1::2] + rows[:3]
+    schema = "stream_id string, seq long, piece string"
+    os.makedirs(tmp_path / "in")
+    for n in range(4):
+        spark.createDataFrame(rows[n::4], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"), ignoreNullFields=False)
+    for _ in range(2):  # two batches, then a new query from the checkpoint
+        pieces = ordered.stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        query = ordered.folded_streams(pieces).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        wait = time.time() + 60
+        while _ == 0 and time.time() < wait and (query.lastProgress is None or query.lastProgress["batchId"] < 1):
+            time.sleep(0.05)
+        if _ == 1:
+            query.processAllAvailable()
+        query.stop()
+    got = {r["stream_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"] and spark.read.parquet(str(tmp_path / "out")).count() == 4
+    for k, v in whole.items():
+        assert {c: x for c, x in got[k].items() if c != "stream_id"} == ordered.fold_events(v), k
