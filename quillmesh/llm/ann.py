@@ -166,7 +166,8 @@ def _of_length(rows: DataFrame, every: int, k: int, bits: int) -> DataFrame:
             qs = matrix(queries)
             for qid, q, code in zip(queries.column("id").to_pylist(), qs, codes.encode(qs)):
                 at = tables.near(code, ids != qid, k, codes.margin)
-                score = (x[at] @ q) / (norm[at] * np.linalg.norm(q))
+                # Summed in one order for every row, so equal vectors have equal scores wherever they lie; a matrix product does not promise that.
+                score = np.einsum("ij,j->i", x[at], q) / (norm[at] * np.linalg.norm(q))
                 for i in np.lexsort((ids[at], -score))[:k].tolist():
                     out.append((qid, int(ids[at[i]]), float(score[i])))
             tidy()
