@@ -2,9 +2,10 @@
 
 Two first-order character models, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: strings which the patterns report
-in a bounded sample of documents, with seeded random strings beside them, and the
-runs of the same alphabet there that no pattern touches. A run is reported when
-the log-likelihood ratio of the two models exceeds a threshold.
+in a bounded sample of documents, with seeded random strings beside them; and the
+runs of the same alphabet there that no pattern touches, with seeded identifiers, paths, dates and
+numbers beside them, in equal parts. A run is reported when
+the log-likelihood ratio of the two models exceeds a threshold, unless it is a UUID.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import column, lean, text_slices, tidy
 
-#: Documents from which the models are trained, and seeded random strings beside them.
-TRAIN_DOCS, TRAIN_RANDOM = 2_000, 4_000
+#: Documents from which the models are trained, and seeded random strings and ordinary ones beside them.
+TRAIN_DOCS, TRAIN_RANDOM, TRAIN_ORDINARY = 2_000, 4_000, 20_000
 #: Characters that a run needs, and the log-likelihood ratio that it must exceed.
-MIN_RUN, MIN_RATIO = 12, 20.0
+MIN_RUN, MIN_RATIO = 12, 15.0
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -36,6 +37,18 @@ _ANY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{2,}")
 
 #: Alphabets of common secrets.
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+#: Words that identifiers, file names and paths are made of.
+WORDS = """get set is has add remove update create delete find load save read write open close start stop run init parse format print list
+map filter sort count index key value name type size length width height color text string number int float bool date time day year user
+admin account login session client server request response header body path file folder dir src lib bin test data base table row column
+query join model view controller service manager handler factory builder provider context config option param error exception warning
+message event listener callback thread process task queue stack heap node tree graph edge link url http api json xml html css java script
+python component element button input form page menu bar panel window image media audio video upload download encode decode hash token
+check valid max min total average first last next previous current default max buffer cache memory disk network socket port host local""".split()
+#: Runs that come from keyboards and alphabets.
+ROWS = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "qwertyuiop", "asdfghjkl", "zxcvbnm", string.ascii_lowercase + string.digits)
+_UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+
 _SYMBOLS = string.ascii_letters + string.digits + "+/_=-"
 N = len(_SYMBOLS)
 _CODE = np.full(256, 0, dtype=np.int64)
@@ -66,9 +79,33 @@ def random_strings(n: int, seed: int = 1) -> list[str]:
     return ["".join(draw.choices(ALPHABETS[i % len(ALPHABETS)], k=draw.randint(20, 48))) for i in range(n)]
 
 
+def identifiers(n: int, seed: int = 2) -> list[str]:
+    """Seeded identifiers of many styles, paths, dates, numbers and keyboard rows."""
+    draw, out = random.Random(seed), []
+    number = lambda: str(draw.randint(0, 10 ** draw.randint(1, 12)))
+    two = lambda most: f"{draw.randint(0, most):02d}"
+    short = lambda x: x[0] + re.sub("[aeiou]", "", x[1:])  # noqa: E731  as in abbreviations
+    styles = (
+        lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w), lambda w: "_".join(w).upper(), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "".join(w),
+        lambda w: w[0].upper() + "".join(x.capitalize() for x in w[1:]), lambda w: "/".join(["", *w[:-1], w[-1].capitalize() + w[0].capitalize()]), lambda w: "_" * draw.randint(1, 2) + "_".join(w) + "_" * draw.randint(0, 2),
+        lambda w: "_".join(w) + draw.choice(("", "_", "-")) + number(), lambda w: w[0] + number() + "".join(x.capitalize() for x in w[1:]), lambda w: "-".join([w[0], number(), *w[1:]]), lambda w: "/".join([w[0], number(), w[-1], number()]),
+        lambda w: f"{draw.randint(1900, 2100)}-{two(12)}-{two(31)}" + draw.choice(("", f"T{two(23)}-{two(59)}-{two(59)}", "-" + w[0])), lambda w: f"{draw.randint(1900, 2100)}{two(12)}{two(31)}{draw.choice(('', '_', '-', 'T'))}{two(23)}{two(59)}{two(59)}",
+        lambda w: "_".join(map(short, w)).upper(), lambda w: "_".join([short(w[0]), short(w[1]) + draw.choice("0123468"), *w[2:]]).upper(), lambda w: "_".join([w[0], short(w[1]) + short(w[-1])]).upper(), lambda w: "".join(map(short, w)),
+        lambda w: "_".join([short(w[0]), w[1], str(2 ** draw.randint(0, 12)) + draw.choice(("", "B", "KB", "MB", "GB", "MS", "PX", "BIT"))]).upper(), lambda w: "_".join([*map(short, w[:2]), w[-1]]).upper(),
+        lambda w: w[0] + "".join(short(x).upper() if k % 2 else x.capitalize() for k, x in enumerate(w[1:])), lambda w: number() + number(), lambda w: "=".join(w[:2]), lambda w: draw.choice(ROWS), lambda w: draw.choice("=-_+/xX") * draw.randint(8, 60),
+    )
+    return [styles[i % len(styles)](draw.choices(WORDS, k=draw.randint(2, 5))) for i in range(n)]
+
+
+def balanced(corpus: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Counts of two kinds in equal parts, about as many as there are samples; the one that is there, if the other is empty."""
+    size = samples.sum()
+    return samples + (corpus * (size / corpus.sum()) if corpus.sum() else 0)
+
+
 def likelihood(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
     """Log-likelihood of each transition; where few were counted, that of the second character by itself."""
-    n = counts.reshape(N, N).astype(float)
+    n = np.asarray(counts, dtype=float).reshape(N, N)
     alone = n.sum(axis=0) + 0.5
     return np.log((n + weight * alone / alone.sum()) / (n.sum(axis=1, keepdims=True) + weight))
 
@@ -113,7 +150,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     sums = np.zeros((2, N * N), dtype=np.int64)
     for r in found:
         sums[r["k"], r["at"]] = r["n"]
-    return ratios(sums[0] + transitions(random_strings(TRAIN_RANDOM)), sums[1])
+    return ratios(sums[0] + transitions(random_strings(TRAIN_RANDOM)), balanced(sums[1], transitions(identifiers(TRAIN_ORDINARY))))
 
 
 def spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
@@ -129,7 +166,7 @@ def spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
         ends = np.cumsum([z - a + 1 for a, z in runs]) - 2  # the step from a run's last character to the break, and that from the break
         ends = ends[:-1]
         step[ends] = step[ends + 1] = 0
-        out += [(a, z, "random") for (a, z), ratio in zip(runs, np.add.reduceat(step, first).tolist()) if ratio > MIN_RATIO]
+        out += [(a, z, "random") for (a, z), ratio in zip(runs, np.add.reduceat(step, first).tolist()) if ratio > MIN_RATIO and not _UUID.fullmatch(text, a, z)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
