@@ -95,16 +95,21 @@ class Model:
     weight: np.ndarray  # log-likelihood of each bucket by language, float32
     allowed: np.ndarray  # which languages are seen in a script
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """A row per word: each language's log-likelihood less the best one's; languages that are not written in the word's script get -EXCLUDED."""
+    def rows(self, words: list[str]) -> np.ndarray:
+        """A row per word: each language's log-likelihood less the best one's (-EXCLUDED for languages that are not written in the word's script), and last, how much likelier the best one makes the word's n-grams than no language does, to which all n-grams are alike."""
         if not words:
-            return np.zeros((0, len(self.languages)), dtype=np.float32)
+            return np.zeros((0, len(self.languages) + 1), dtype=np.float32)
         bucket, of, script = grams(words)
         total = np.stack([np.bincount(of, weights=self.weight[bucket, k], minlength=len(words)) for k in range(len(self.languages))], axis=1)
         can = self.allowed[script]
         can = can | ~can.any(axis=1)[:, None]
         best = np.where(can, total, -np.inf).max(axis=1, keepdims=True)
-        return np.where(can, np.maximum(total - best, -WORD_LIMIT), -EXCLUDED).astype(np.float32)
+        fit = best + np.bincount(of, minlength=len(words))[:, None] * np.log(BUCKETS)
+        return np.concatenate([np.where(can, np.maximum(total - best, -WORD_LIMIT), -EXCLUDED), fit], axis=1).astype(np.float32)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """The languages' columns of ``rows``."""
+        return self.rows(words)[:, :-1]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
@@ -210,7 +215,7 @@ class Labeller:
     def __init__(self, model: Model, switch: float):
         self.model, self.switch = model, switch
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, max(1, len(model.languages))), dtype=np.float32)
+        self.table = np.zeros((0, len(model.languages) + 1), dtype=np.float32)
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -219,10 +224,14 @@ class Labeller:
         for a in range(0, len(fresh), WORDS_SCORED):
             some = fresh[a : a + WORDS_SCORED]
             self.known.update(zip(some, range(len(self.table), len(self.table) + len(some))))
-            self.table = np.concatenate([self.table, self.model.score(some)])
+            self.table = np.concatenate([self.table, self.model.rows(some)])
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""
+        return [found[:3] for found in self.judged(texts)]
+
+    def judged(self, texts: list[str | None]) -> list[tuple[str, float, list[dict], float]]:
+        """(language, score, spans, fit) of each text; ``fit`` says how much likelier its spans' languages make it than no language does."""
         out, held, size = [], [], 0
         for text in texts:
             if text is not None and len(text) > TOGETHER:
@@ -237,15 +246,15 @@ class Labeller:
             size += len(text or "")
         return out + self.some(held)
 
-    def some(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
+    def some(self, texts: list[str | None]) -> list[tuple[str, float, list[dict], float]]:
         found = [list(_WORD.finditer(t)) if t and t.isascii() else words_of(t or "") for t in texts]
         words = [[m[0] for m in f] for f in found]
         if not self.model.languages or not any(words):
-            return [(UNKNOWN, 0.0, [])] * len(texts)
+            return [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         self.learn(set().union(*words))
         return [self.answer(self.table[list(map(self.known.__getitem__, w))], list(map(len, w)), lambda k: matches[k].start(), lambda k: matches[k].end()) for matches, w in zip(found, words)]
 
-    def long(self, text: str) -> tuple[str, float, list[dict]]:
+    def long(self, text: str) -> tuple[str, float, list[dict], float]:
         """One text by itself, its words read in pieces."""
         words, scores, starts, ends = iter(_WORD.finditer(text)), [], [], []
         while piece := list(islice(words, WORDS_READ)):
@@ -256,21 +265,23 @@ class Labeller:
                 starts.append(np.array([m.start() for m in piece]))
                 ends.append(np.array([m.end() for m in piece]))
         if not scores:
-            return UNKNOWN, 0.0, []
+            return UNKNOWN, 0.0, [], 0.0
         first, last = np.concatenate(starts), np.concatenate(ends)
         return self.answer(np.concatenate(scores), last - first, lambda k: int(first[k]), lambda k: int(last[k]))
 
-    def answer(self, scores: np.ndarray, lengths, start, end) -> tuple[str, float, list[dict]]:
-        """The answer for words of these scores and lengths; ``start`` and ``end`` give the place of the k-th."""
+    def answer(self, rows: np.ndarray, lengths, start, end) -> tuple[str, float, list[dict], float]:
+        """The answer for words of these rows and lengths; ``start`` and ``end`` give the place of the k-th."""
         names = self.model.languages
-        if not len(scores):
-            return UNKNOWN, 0.0, []
+        if not len(rows):
+            return UNKNOWN, 0.0, [], 0.0
+        scores = rows[:, :-1]
         path = label(scores, self.switch)
+        fit = rows[:, -1].sum(dtype=np.float64) + scores[np.arange(len(path)), path].sum(dtype=np.float64)
         letters = np.bincount(path, weights=lengths, minlength=len(names))
         top = int(np.argmax(letters))
         cut = (np.flatnonzero(np.diff(path)) + 1).tolist()
         spans = [{"start": start(a), "end": end(z - 1), "lang": names[path[a]]} for a, z in zip([0, *cut], [*cut, len(path)])]
-        return names[top], float(letters[top] / letters.sum()), spans
+        return names[top], float(letters[top] / letters.sum()), spans, float(fit)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -298,24 +309,36 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows in which no language was found, or the commonest holds under ``least`` of the letters; all columns stay.
+#: How much likelier no language must make a text than the languages of its spans, as a logarithm, before it is rejected.
+NO_LANGUAGE = 20.0
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", against: float = NO_LANGUAGE) -> DataFrame:
+    """``docs`` without the rows whose text is in no language of the model; all columns stay, and a null ``lang_col`` gets the language found.
 
-    A null text, or one without a letter, goes; a text of several languages stays. Repeated
-    rows, null ids and columns of any name are no matter; an empty table stays empty. If the
-    model has no language, nothing can be judged and every row stays.
+    The words' labels (Viterbi over their scores) say which language each span is in. Where even so the text is less likely, by ``against``
+    at least, than if all n-grams were alike, no language fits, and the row goes; so does a null text, or one without a letter. A text of several
+    languages stays, span by span; so does one of a few unknown words, which say little. Repeated rows, null ids and
+    columns of any name are no matter; an empty table stays empty. If the model has no language, nothing can be judged and every row stays.
     """
     if not model.languages:
         return docs
     lean(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         labeller = Labeller(shared.value, SWITCH)
         for text in batches:
-            yield pd.Series([-1.0 if lang == UNKNOWN else score for lang, score, _ in labeller(text.tolist())], dtype="float64")
+            yield pd.Series([None if lang == UNKNOWN or fit < -against else lang for lang, _, _, fit in labeller.judged(text.tolist())], dtype=object)
         del labeller
         tidy()
 
-    return docs.where(sure(column(docs, text_col).cast("string")) >= least)
+    found = "_lang_found"
+    while found in docs.columns:
+        found += "_"
+    # Not to be asked twice, by the filter and by the column.
+    language = F.pandas_udf(judged, "string").asNondeterministic()
+    out = docs.withColumn(found, language(column(docs, text_col).cast("string"))).where(F.col(found).isNotNull())
+    if lang_col is not None and lang_col in docs.columns:
+        out = out.withColumn(lang_col, F.coalesce(column(docs, lang_col).cast("string"), F.col(found)))
+    return out.drop(found)
