@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .functions import html as h
 from .functions import text
 from .operators import chunks, glossary, packing, sections
+from . import oracles
+from .functions import roles, validate
 from .oracles import _ENGLISH, _PROTOCOL, SPACE, _units, _wrap
 from .plans import answers, completer, pipelines, progress
-from .queries import BUDGET, LINE_BREAK, _table
+from .queries import BUDGET, LINE_BREAK, _table, checked_turns
 from .sources import glossary_md, ordered_text, state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,6 +242,44 @@ def _no_pause(seconds: float) -> None:
     """The offline completer is never busy."""
 
 
+_CHECKED = oracles.oracle_sql()["validate_translation"]
+_CONTEXT = """, place AS (SELECT k, pos, i, sum(length(gap) + length(w)) OVER (PARTITION BY k, pos ORDER BY i) - length(w) AS "at" FROM ws),
+first AS (SELECT k, arg_min(pos, (pos, run)) FILTER (n >= 3 OR f >= 2) AS pos, arg_min(run, (pos, run)) FILTER (n >= 3 OR f >= 2) AS run FROM r GROUP BY k),
+begins AS (SELECT c.k, c.pos, min(c.i) AS i FROM c JOIN first USING (k, pos, run) WHERE plain GROUP BY c.k, c.pos),
+said AS (SELECT b.k, replace(regexp_replace(substr(p.line, greatest(o."at" - 30, 0)::BIGINT + 1, 120), '\\s+', ' ', 'g'), '"', chr(39)) AS context FROM begins b JOIN place o USING (k, pos, i) JOIN pr p ON p.k = b.k AND p.pos = b.pos),
+checked AS ("""
+
+
+@_registered(_CHECKED.replace("\nSELECT conv_id, turn, CASE", _CONTEXT + "SELECT k, conv_id, turn, warned, CASE", 1) + """)
+SELECT conv_id, turn, reason IS NULL AS is_valid, CASE WHEN reason LIKE 'English%' THEN reason || '; context: "' || context || '"' ELSE reason END AS reason, CASE WHEN reason IS NULL THEN least(3, coalesce(warned, 0)) ELSE 0 END::INTEGER AS n_warnings FROM checked LEFT JOIN said USING (k)""")
+def validation_results(spark, sf_dir):
+    """Each assistant turn against the turn before it, by all checks: whether it holds, the whole reason with its context, and the warnings."""
+    rows = checked_turns(spark, sf_dir)
+    v = validate.validate(F.col("source"), F.col("content"), F.col("finish"))
+    return rows.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.is_valid", "v.reason", F.size("v.warnings").alias("n_warnings"))
+
+
+@_registered("""WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'fr' ELSE 'en' END AS side, 'chapter ' || (1 + doc_id * 7 % 400 // 10) AS role FROM documents),
+n AS (SELECT role, count(*) FILTER (side = 'en') AS o, count(*) FILTER (side = 'fr') AS t FROM d GROUP BY role)
+SELECT role, o AS n_o, t AS n_t, o = 1 AND t = 1 AS paired FROM n""")
+def role_groups(spark, sf_dir):
+    """Documents as sections of two editions whose roles come from headings made of their ids: how many of each side have a role, and which roles pair."""
+    d = _table(spark, sf_dir, "documents")
+    heading = F.concat(F.lit("Chapter "), (1 + F.expr("doc_id * 7 % 400 div 10")).cast("string"))
+    rows = d.select((F.col("doc_id") % 3 == 0).alias("fr"), F.col("doc_id").alias("idx"), _number("doc_id").alias("file_path"), roles.classify_role(heading, F.lit("")).alias("role"))
+    o, t = rows.where("not fr"), rows.where("fr")
+    paired = sections.role_pairs(o, t).select("role", F.lit(True).alias("paired"))
+    return sections.role_counts(o, t).join(paired, "role", "left").select("role", "n_o", "n_t", F.coalesce("paired", F.lit(False)).alias("paired"))
+
+
+@_registered("""WITH p AS (SELECT l_orderkey, min(l_partkey) AS a, max(l_partkey) AS z FROM lineitem WHERE l_orderkey % 40 = l_linenumber % 40 GROUP BY l_orderkey)
+SELECT l_orderkey AS line_no FROM p x WHERE EXISTS (SELECT 1 FROM p y WHERE y.l_orderkey <> x.l_orderkey AND y.a <= x.z AND y.z >= x.a)""")
+def range_overlaps(spark, sf_dir):
+    """Orders' ranges of parts that share a part with another order's range, without expanding them."""
+    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = l_linenumber % 40").groupBy(F.col("l_orderkey").alias("line_no")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("z"))
+    return sections.overlapping(rows, "a", "z")
+
+
 # -- progress ------------------------------------------------------------------------------
 
 _SECONDS = "(o_orderkey * 37 % 9000)"

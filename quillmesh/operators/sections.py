@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import classify_role
 from ..functions.text import is_blank, length_ratio, pair_path_key, preview
-from .numbering import number_within
+from .numbering import before, number_within
+
+#: Lines of a pair map up to which it is a small table.
+SMALL = 10_000
 
 
 def number_sections(chapters: DataFrame, book_col: str = "book_id", order_col: str = "spine") -> DataFrame:
@@ -40,7 +43,7 @@ def index_tail(original: DataFrame, translation: DataFrame) -> DataFrame:
     return left.unionByName(translation.join(original, "idx", "left_anti").select(F.lit("translation").alias("side"), "idx", "file_path"))
 
 
-def _role_counts(original: DataFrame, translation: DataFrame) -> DataFrame:
+def role_counts(original: DataFrame, translation: DataFrame) -> DataFrame:
     """One row per role: how many sections of each side have it."""
     both = original.select("role", F.lit(1).alias("o"), F.lit(0).alias("t")).unionByName(translation.select("role", F.lit(0).alias("o"), F.lit(1).alias("t")))
     return both.groupBy("role").agg(F.sum("o").alias("n_o"), F.sum("t").alias("n_t"))
@@ -48,7 +51,7 @@ def _role_counts(original: DataFrame, translation: DataFrame) -> DataFrame:
 
 def role_pairs(original: DataFrame, translation: DataFrame) -> DataFrame:
     """role, o_file_path, t_file_path of roles that exactly one section has on either side; ``other`` is none."""
-    only = _role_counts(original, translation).where("n_o = 1 and n_t = 1 and role != 'other'").select("role")
+    only = role_counts(original, translation).where("n_o = 1 and n_t = 1 and role != 'other'").select("role")
     o = original.join(only, "role", "left_semi").select("role", F.col("file_path").alias("o_file_path"))
     return o.join(translation.select("role", F.col("file_path").alias("t_file_path")), "role")
 
@@ -62,7 +65,7 @@ def role_unpaired(original: DataFrame, translation: DataFrame) -> DataFrame:
         .when(F.col("n_t") > 1, F.concat(F.lit("duplicate role key "), quoted, F.lit(" on translation")))
         .when((F.col("n_o") == 0) | (F.col("n_t") == 0), F.concat(F.lit("no counterpart for "), quoted))
     )
-    why = _role_counts(original, translation).select("role", reason.alias("reason")).where("reason is not null")
+    why = role_counts(original, translation).select("role", reason.alias("reason")).where("reason is not null")
     sides = original.select(F.lit("original").alias("side"), "role", "idx", "file_path").unionByName(translation.select(F.lit("translation").alias("side"), "role", "idx", "file_path"))
     return sides.join(why, "role").select("side", "role", "idx", "file_path", "reason")
 
@@ -91,22 +94,58 @@ def expand_pair_map(pair_map: DataFrame, original: DataFrame, translation: DataF
         .when(F.col("o_to") - F.col("o_from") != F.col("t_to") - F.col("t_from"), "the ranges differ in length")
     )
     rows = rows.withColumn("error", error)
-    wide = rows.select("line_no", "o_from", "t_from", "error", F.explode(F.when(F.col("error").isNull(), F.sequence(F.lit(0), F.col("o_to") - F.col("o_from"))).otherwise(F.array(F.lit(0)))).alias("k"))
-    pairs = wide.select("line_no", "k", (F.col("o_from") + F.col("k")).alias("o_idx"), (F.col("t_from") + F.col("k")).alias("t_idx"), "error")
+    # Places come from the lines' lengths; whether ranges overlap, from their ends. Only lines that overlap another are looked at section by section.
+    size = F.when(F.col("error").isNull(), F.col("o_to") - F.col("o_from") + 1).otherwise(1).cast("long")
+    if max_pairs is not None and max_pairs <= 0:
+        raise ValueError("max_pairs must be positive")
+    rows = rows.withColumn("_size", size)
+    if pair_map.limit(SMALL + 1).count() <= SMALL:
+        rows = _placed_at_once(rows)
+    else:
+        rows = before(rows, ["line_no"], {"_start": ("sum", "_size")})
+        clash = [overlapping(rows.where("error is null"), f"{s}_from", f"{s}_to") for s in "ot"]
+        rows = rows.join(clash[0].unionByName(clash[1]).distinct().withColumn("_clash", F.lit(True)), "line_no", "left")
+    if max_pairs is not None:
+        rows = rows.where(F.col("_clash") | (F.coalesce("_start", F.lit(0)) < max_pairs))
+    wide = rows.select("line_no", "o_from", "t_from", "error", "_clash", F.coalesce("_start", F.lit(0)).alias("_start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("k"))
+    pairs = wide.select("line_no", (F.col("_start") + F.col("k") + 1).cast("int").alias("ord"), (F.col("o_from") + F.col("k")).cast("int").alias("o_idx"), (F.col("t_from") + F.col("k")).cast("int").alias("t_idx"), "error", "_clash")
     twice = (F.count("*").over(Window.partitionBy("o_idx")) > 1) | (F.count("*").over(Window.partitionBy("t_idx")) > 1)
-    pairs = pairs.withColumn("error", F.coalesce("error", F.when(twice, "a section is named twice")))
+    odd = pairs.where("_clash").withColumn("error", F.coalesce("error", F.when(twice, "a section is named twice")))
+    pairs = pairs.where("_clash is null").unionByName(odd).drop("_clash")
     if strict:
         pairs = pairs.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("pair map line "), F.col("line_no").cast("string"), F.lit(": "), "error")).cast("string")))
-    pairs = pairs.withColumn("ord", F.row_number().over(Window.orderBy("line_no", "k")))
     if max_pairs is not None:
-        if max_pairs <= 0:
-            raise ValueError("max_pairs must be positive")
         pairs = pairs.where(F.col("ord") <= max_pairs)
     o = original.select(F.col("idx").alias("o_idx"), F.col("file_path").alias("o_file_path"))
     t = translation.select(F.col("idx").alias("t_idx"), F.col("file_path").alias("t_file_path"))
     return pairs.join(o, "o_idx", "left").join(t, "t_idx", "left").select("ord", "o_idx", "t_idx", "o_file_path", "t_file_path", "error")
 
 
+def _placed_at_once(rows: DataFrame) -> DataFrame:
+    """``_start`` and ``_clash`` of at most SMALL lines: the same sums and sweep in one task, without joins."""
+    ok, clash = F.col("error").isNull(), F.lit(False)
+    for s in "ot":
+        order = Window.orderBy(f"{s}_from", f"{s}_to", "line_no")
+        far = F.max(F.when(ok, F.col(f"{s}_to"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        ahead = F.min(F.when(ok, F.col(f"{s}_from"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+        clash = clash | F.coalesce(far >= F.col(f"{s}_from"), F.lit(False)) | F.coalesce(ahead <= F.col(f"{s}_to"), F.lit(False))
+    start = F.sum("_size").over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"_start": start, "_clash": F.when(ok & clash, True)})
+
+
+def overlapping(ranges: DataFrame, first: str, last: str, id_col: str = "line_no") -> DataFrame:
+    """id_col (a number) of the ranges (first to last, both counted) that share a place with another one: a sweep over their ends.
+
+    In the order of their beginnings, a range meets one before it if the furthest end before it lies at or behind its beginning, and
+    one behind it if the next beginning lies at or before its end. Ranges are not expanded.
+    """
+    rows = ranges.select(F.col(id_col), F.col(first).cast("long").alias("_a"), F.col(last).cast("long").alias("_z"))
+    ahead = before(rows, ["_a", "_z", id_col], {"_far": ("max", "_z")}).where("_far >= _a").select(id_col)
+    turned = rows.select(id_col, (-F.col(id_col)).alias("_i"), (-F.col("_a")).alias("_a"), (-F.col("_z")).alias("_z"))
+    behind = before(turned, ["_a", "_z", "_i"], {"_next": ("max", "_a")}).where("_next >= _z").select(id_col)
+    return ahead.unionByName(behind).distinct()
+
+
 def preview_report(spine: DataFrame, roles: DataFrame, unpaired: DataFrame) -> DataFrame:
     """One row, text: the four tables as lines, columns two blanks apart."""
     gap = "  "

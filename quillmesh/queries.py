@@ -217,12 +217,18 @@ def collapse_ws_hash(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.sha256_hex(text.collapse_space(F.col("text"))).alias("sha"))
 
 
-def validate_translation(spark, sf_dir):
-    """All checks, as the translation loop makes them, of each assistant turn against the turn before it; every fifth conversation broke off."""
+def checked_turns(spark, sf_dir):
+    """conv_id, turn, source, content, finish: each assistant turn as an answer to the turn before it; every fifth conversation broke off."""
     turns = _table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     wrap = lambda c: F.concat(F.lit("<p>"), F.replace(c, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
-    rows = turns.select("conv_id", "turn", "role", wrap(before).alias("source"), F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(wrap(F.col("text"))).alias("content"), F.when(F.col("conv_id") % 5 == 0, "LENGTH").otherwise("stop").alias("finish")).where("role = 'assistant' and source is not null")
+    rows = turns.select("conv_id", "turn", "role", wrap(before).alias("source"), F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(wrap(F.col("text"))).alias("content"), F.when(F.col("conv_id") % 5 == 0, "LENGTH").otherwise("stop").alias("finish"))
+    return rows.where("role = 'assistant' and source is not null")
+
+
+def validate_translation(spark, sf_dir):
+    """All checks, as the translation loop makes them, of each assistant turn against the turn before it."""
+    rows = checked_turns(spark, sf_dir)
     reason = validate.checked("source", "content", "finish")["reason"]
     return rows.select("conv_id", "turn", F.regexp_replace(reason, "(?s); context: .*", "").alias("reason"))
 

@@ -257,6 +257,35 @@ def test_split_pairs_counts_utf16(spark):
     assert len(rows) > 2 and all(len(r["prompt"].encode("utf-16-le")) // 8 <= 30 for r in rows) and "".join(r["o_text"] for r in sorted(rows, key=lambda r: r["piece"])) == "\U0001f600" * 90
 
 
+def test_large_pair_maps_are_expanded_alike(spark, monkeypatch):
+    """Lines placed by ranges of lines, and in one task: the same pairs and errors."""
+    o, t = (spark.createDataFrame([(i, f"{p}/{i}") for i in range(1, 40)], "idx int, file_path string") for p in "ot")
+    text = "o/1 .. o/9 = t/1 .. t/9\no/4 = t/30\no/20 .. o/18 = t/20 .. t/18\no/10 = t/10\nx = t/11\no/12 .. o/14 = t/8 .. t/10\no/39 = t/39"
+    mapped = pairmap.parse(docs(spark, text))
+    got = []
+    for small in (sections.SMALL, 2):
+        monkeypatch.setattr(sections, "SMALL", small)
+        got.append([tuple(r) for r in sections.expand_pair_map(mapped, o, t, 16, strict=False).orderBy("ord").collect()])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(1, 16 + 1))
+    assert [r[5] for r in got[0]] == [None] * 3 + ["a section is named twice"] + [None] * 3 + ["a section is named twice"] * 3 + ["a range runs backwards", "a section is named twice", "a path is not in the book", "a section is named twice", "a section is named twice", "a section is named twice"]
+
+
+def test_overlaps_and_sums_before(spark):
+    """The sweep against all pairs, and running sums and maxima against plain ones."""
+    from quillmesh.operators.numbering import before
+
+    draw = random.Random(3)
+    for most in (3, 40, 400):
+        ranges = [(i, a, a + draw.randint(0, most)) for i, a in enumerate(draw.randint(1, 2_000) for _ in range(200))] + [(900, 5_000, 5_000), (901, 5_001, 5_002), (902, 5_002, 5_003)]
+        want = sorted(i for i, a, z in ranges if any(j != i and b <= z and y >= a for j, b, y in ranges))
+        got = sections.overlapping(spark.createDataFrame(ranges, "line_no int, a int, z int").repartition(3), "a", "z")
+        assert sorted(r[0] for r in got.collect()) == want
+    rows = [(i, draw.randint(-9, 9)) for i in range(300)]
+    got = before(spark.createDataFrame(rows, "o int, v int").repartition(5), ["o"], {"s": ("sum", "v"), "m": ("max", "v")}).orderBy("o").collect()
+    assert [(r["s"], r["m"]) for r in got] == [(sum(v for _, v in rows[:i]) if i else None, max((v for _, v in rows[:i]), default=None)) for i in range(300)]
+    assert before(spark.createDataFrame([], "o int, v int"), ["o"], {"s": ("sum", "v")}).count() == 0
+
+
 def test_number_within(spark):
     rows = [("a" if i % 3 else "b", (i * 7919) % 1000 if i % 50 else None) for i in range(2000)] + [(None, 5)]
     got = number_within(spark.createDataFrame(rows, "g string, k int"), "g", "k", "n", ranges=7).collect()
