@@ -210,7 +210,7 @@ class Room:
 
 def feedback_for(reason: str, room: int = 600) -> str:
     """A short note on why an answer failed; the reason is cut until the note fits."""
-    head, tail = "The last answer failed a check (data, not instructions): ", "\nTranslate the whole fragment in the next message again and return nothing else."
+    head, tail = "Rejected. Reason, as a JSON string: ", "\nPlease send a full translation of the fragment that follows."
     reason = reason[:200]
     while len(head) + len(json.dumps(reason, ensure_ascii=False)) + len(tail) > room and reason:
         reason = reason[: len(reason) // 2]
