@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -185,9 +186,10 @@ def test_near_copies_of_the_pipeline(spark, empty, monkeypatch):
                 group = [new if g == old else g for g in group]
     want = [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in set(group)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, home string").repartition(3)
-    for common, block in ((3, 10**6), (10**9, 300)):
+    for common, block, part in ((3, 10**6, 10**6), (10**9, 300, 7)):
         monkeypatch.setattr(nearcopies, "COMMON", common)
         monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "LIST", part)
         kept = corpus_pipeline.near_copies(spark, docs, SF)
         assert kept.columns == docs.columns
         same(((i is None, i or 0) for i in (r["doc_id"] for r in kept.collect())), want)
@@ -195,6 +197,28 @@ def test_near_copies_of_the_pipeline(spark, empty, monkeypatch):
     assert corpus_pipeline.near_copies(spark, empty, SF).collect() == []
 
 
+def test_pairs_left_lose_no_pair(spark, monkeypatch):
+    """Every pair with the guaranteed number of shared prefix elements is given, whatever is in all sets; marks and comps that are equal are not."""
+    r = random.Random(8)
+    least = Fraction(4, 5)
+    sets = {k: (n, r.sample(range(60), n // 5 + 1) + [1000, 1001, 1002], r.randrange(40), r.randrange(40)) for k in range(150) if (n := r.randrange(10, 60))}
+    rows = [(e, k, n, mark, comp) for k, (n, prefix, mark, comp) in sets.items() for e in prefix]
+    want = set()
+    for a in sets:
+        for b in range(a + 1, 150):
+            (n, x, *own), (m, y, *other) = sets[a], sets[b]
+            sizes = min(n, m) * 5 >= 4 * max(n, m) and own[0] != other[0] and own[1] != other[1]
+            if sizes and len(set(x) & set(y)) >= nearcopies.guaranteed(np.array([n]), np.array([m]), least)[0]:
+                want.add((a, b))
+    every = sum(len(v) * (len(v) - 1) // 2 for v in ([k for k in sets if e in sets[k][1]] for e in [*range(60), 1000, 1001, 1002]))
+    for part in (10**6, 7):
+        monkeypatch.setattr(nearcopies, "LIST", part)
+        got = [tuple(x) for x in nearcopies.pairs_left(spark.createDataFrame(rows, "key long, set_id long, n int, mark long, comp long"), least).collect()]
+        assert len(got) == len(set(got)) < every / 4 and want <= set(got)
+        assert all(sets[a][k] != sets[b][k] for a, b in got for k in (2, 3))
+    assert want
+
+
 def test_links_of_dense_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIST", 16)
     r = random.Random(3)
