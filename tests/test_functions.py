@@ -58,6 +58,13 @@ def test_tree():
         h.replace_body_of("<p>x</p>", "y")
 
 
+def test_references_in_plain_text():
+    """A reference without its semicolon, or of no known name, is text as it stands, at the end of a page too."""
+    assert h.plain_text_of("<p>a &amp b &am</p><p>&ampx; &lt;&#60;&#x3C; &amp;lt; &#60 &; & &copy;x&copyx</p>") == "a &amp b &am\n&ampx; <<< &lt; &#60 &; & \u00a9x&copyx\n"
+    assert [h.plain_text_of(x) for x in ("<p>a&amp", "<p>a&", "<p>a&#6", "<p>a\x1a&amp;\n&lt;b")] == ["a&amp\n", "a&\n", "a&#6\n", "a\x1a&\n<b\n"]
+    assert h.visible_text_of("<p>a&amp b&amp;</p>") == "\na&amp b&\n"
+
+
 def test_tree_columns(spark):
     row = one(spark, x=PAGE).select(h.plain_text(F.col("x")).alias("a"), F.lit(h.plain_text_of(PAGE)).alias("b"), h.tag_names(F.col("x")).alias("t"), h.count_blocks(F.col("x")).alias("n")).first()
     assert row["a"] == row["b"]
