@@ -65,6 +65,12 @@ def test_references_in_plain_text():
     assert h.visible_text_of("<p>a&amp b&amp;</p>") == "\na&amp b&\n"
 
 
+def test_references_in_headings(spark):
+    heading = lambda x: one(spark, x=x).select(h.first_heading(F.col("x")).alias("a")).first()["a"]
+    assert heading("<body><h1>te&&am</h1></body>") == "te&&am" and heading("<body><h2>a &amp</h2><p>b</p>") == "a &amp"
+    assert heading("<h1> </h1><h2>a&nbsp;&amp;&#160;b</h2>") == "a & b"
+
+
 def test_tree_columns(spark):
     row = one(spark, x=PAGE).select(h.plain_text(F.col("x")).alias("a"), F.lit(h.plain_text_of(PAGE)).alias("b"), h.tag_names(F.col("x")).alias("t"), h.count_blocks(F.col("x")).alias("n")).first()
     assert row["a"] == row["b"]
