@@ -30,7 +30,7 @@ def in_flight(steps: DataFrame) -> DataFrame:
 
 
 def eta(steps: DataFrame, planned: int, width: int) -> DataFrame:
-    """One row, eta_seconds: what is left, by the average step and the rounds still to run."""
+    """One row, eta_seconds: what is left, by the average step and the rounds still to run; below zero for a run that is past its plan."""
     t = totals(steps)
     return t.select(eta_seconds(F.col("average_seconds"), F.lit(planned) - F.col("done"), F.lit(width)).alias("eta_seconds"))
 

@@ -23,6 +23,15 @@ def test_progress(spark):
     assert [r["label"] for r in first.collect()] == ["a"] and rest.count() == 3
 
 
+def test_eta_of_a_run_past_its_plan(spark):
+    """Rounds are counted below zero as above it; the line shows a dash."""
+    steps = spark.createDataFrame([(str(k), k, 0.0, 2.0, False, None, None, None) for k in range(20)], STEPS)
+    left = [progress.eta(steps, planned, 8).first()["eta_seconds"] for planned in (45, 36, 23, 20, 12, 2)]
+    assert left == [8.0, 4.0, 2.0, 0.0, -2.0, -4.0]
+    late = progress.eta(steps, 2, 8).select(progress.progress_line(F.lit(20), F.lit(2), F.lit(""), F.col("eta_seconds"))).first()[0]
+    assert late.endswith(" 20/2  ETA —")
+
+
 def test_warm_up_by_id(spark):
     """Steps of equal order, and steps without one, are each run once."""
     steps = spark.createDataFrame([("b", 1), ("a", 1), ("c", None), ("d", None)], "label string, ord int")
