@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import appears_in, blank_to_null, is_blank, trim_space
+from ..functions.text import appears_in, is_blank, trim_space
 
 #: Keys of terms up to this number are looked up where a text lies; more are joined by a shuffle.
 BROADCAST_TERMS = 5_000
 #: Runs of letters in a key at most; characters in the key of a term without an ASCII letter at most.
 RUNS, GRAM = 3, 3
+#: Characters of a run by which notes are told apart.
+PIECE = 8
 
 
 def terms_of(entries: DataFrame) -> DataFrame:
@@ -104,10 +106,36 @@ def compile_glossary(entries: DataFrame, texts: DataFrame, id_col: str, text_col
     return entries.join(found, "ord", "left_semi")
 
 
-def merge_notes(left: Column, right: Column) -> Column:
-    """Notes joined by a blank unless the left ones contain the right ones, ignoring case."""
-    l, r = blank_to_null(left), blank_to_null(right)
-    return F.when(l.isNull(), r).when(r.isNull() | F.contains(F.lower(l), F.lower(r)), l).otherwise(F.concat_ws(" ", l, r))
+def joined_notes(notes: DataFrame) -> DataFrame:
+    """_key, _notes: each key's notes (_key, _low, item, place) joined by blanks in order of place, but for those that what is gathered by then contains, ignoring case.
+
+    Notes are trimmed, not blank, and no two of a key have one lower case (``_low``). A note that is contained has its runs of PIECE characters without a blank, and
+    its short words between two blanks, in earlier notes: no such piece reaches over the blank between two notes. So a note that is
+    the first with one of its pieces is not contained. Only the others are looked for in what is gathered; those between them are joined at once.
+    """
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("place")).cast("long")
+    placed = notes.select("_key", "_low", "item", nth.alias("_nth"))
+    found = lambda pattern: F.regexp_extract_all("_low", F.lit(pattern), F.lit(1))
+    runs, between, words = found(f"(?=([^ ]{{{PIECE}}}))"), found(f"(?<= )([^ ]{{1,{PIECE - 1}}})(?= )"), found(f"(?<![^ ])([^ ]{{1,{PIECE - 1}}})(?![^ ])")
+    # Other short words are pieces for later notes alone. A hash that two pieces share makes a note looked for, no more.
+    own = F.transform(F.concat(runs, between), lambda x: F.struct(F.xxhash64("_key", x).alias("piece"), (2 * F.col("_nth")).alias("at")))
+    lent = F.transform(words, lambda x: F.struct(F.xxhash64("_key", x).alias("piece"), (2 * F.col("_nth") + 1).alias("at")))
+    pieces = placed.select("_key", F.explode(F.concat(own, lent)).alias("x")).groupBy("_key", "x.piece").agg(F.min("x.at").alias("_at"))
+    first = pieces.where("_at % 2 = 0").select("_key", F.expr("_at div 2").alias("_nth"), F.lit(True).alias("_sure")).distinct()
+    marked = placed.join(first, ["_key", "_nth"], "left").withColumn("_sought", F.col("_sure").isNull())
+    marked = marked.withColumn("_part", F.count_if("_sought").over(Window.partitionBy("_key").orderBy("_nth")))
+    sought = F.max(F.when(F.col("_sought"), F.struct(F.col("item").alias("text"), F.col("_low").alias("low"))))
+    rest = F.array_sort(F.collect_list(F.when(~F.col("_sought"), F.struct("_nth", "item", "_low"))))
+    text = lambda field: F.when(F.size("_rest") > 0, F.array_join(F.transform("_rest", lambda x: x[field]), " ")).alias("text" if field == "item" else "low")
+    parts = marked.groupBy("_key", "_part").agg(sought.alias("sought"), rest.alias("_rest")).select("_key", "_part", "sought", F.struct(text("item"), text("_low")).alias("rest"))
+    listed = parts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_part", "sought", "rest"))).alias("_parts"))
+
+    def grow(acc: Column, x: Column) -> Column:
+        new = x["sought"]["low"].isNotNull() & ~F.coalesce(F.contains(acc["low"], x["sought"]["low"]), F.lit(False))
+        return F.struct(*(F.concat_ws(" ", acc[c], F.when(new, x["sought"][c]), x["rest"][c]).alias(c) for c in ("text", "low")))
+
+    none = F.lit(None).cast("struct<text: string, low: string>")
+    return listed.select("_key", F.aggregate("_parts", none, grow, lambda acc: acc["text"]).alias("_notes"))
 
 
 def merge_glossaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -134,12 +162,12 @@ def merge_glossaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         parts.append(F.transform(F.coalesce(f, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(f).alias("tag"), i.alias("pos"), trim_space(x).alias("item"))))  # noqa: B023  called at once
     items = both.select("_key", "_src", "ord", F.explode(F.concat(*parts)).alias("x")).where("x.item != ''")
     firsts = items.groupBy("_key", "x.tag", F.lower("x.item").alias("_low")).agg(F.min(F.struct("_src", "ord", "x.pos", "x.item")).alias("_first"))
-    listed = firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("tag", "_first"))).alias("_items"))
-    of = lambda tag: F.transform(F.filter(F.coalesce("_items", F.array().cast(listed.schema["_items"].dataType)), lambda x: x["tag"] == tag), lambda x: x["_first"]["item"])
-    # A note that an earlier one equals is inside what was gathered; one that is inside several together is found by the fold.
-    notes = F.aggregate(of("notes"), F.lit(None).cast("string"), lambda acc, e: merge_notes(acc, e))
+    notes = joined_notes(firsts.where("tag = 'notes'").select("_key", "_low", "_first.item", F.col("_first").alias("place")))
+    ordered = lambda tag: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == tag, F.col("_first")))), lambda x: x["item"]).alias(f"_{tag}")
+    listed = firsts.where("tag != 'notes'").groupBy("_key").agg(ordered("do_not_use"), ordered("aliases"))
+    of = lambda tag: F.coalesce(f"_{tag}", F.array().cast("array<string>")).alias(f"_{tag}")
     many = F.col("_rows") > 1
-    merged = heads.join(listed, "_key", "left").select("_head.*", many.alias("_many"), notes.alias("_notes"), of("do_not_use").alias("_do_not_use"), of("aliases").alias("_aliases"))
+    merged = heads.join(listed, "_key", "left").join(notes, "_key", "left").select("_head.*", many.alias("_many"), "_notes", of("do_not_use"), of("aliases"))
     merged = merged.select("_src", "ord", "english", "ru", "kind", *(F.when(F.col("_many"), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in ("notes", "do_not_use", "aliases")))
     rows = merged.unionByName(alone.select("_src", "ord", *fields))
     shift = existing.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_n"))

@@ -1,5 +1,6 @@
 import io
 import random
+import time
 import zipfile
 
 import pytest
@@ -105,6 +106,32 @@ def test_a_name_with_very_many_entries(spark):
     assert [tuple(r) for r in made.collect()] == [(1, "Hot", "r", "name", "first note 1 note 2 note 0", ["A1", "A2", "A3", "A4", "A0"], ["a0", "a1", "a2", "a3", "a4", "a5", "a6"])]
 
 
+def test_notes_equal_a_plain_fold(spark):
+    """Notes inside one note, over the edges of several, and of words that all were there before; of 150 names."""
+    draw = random.Random(5)
+    words = ["a", "b", "ab", "B", "longwords", "ongwords", "LONGWORD", "longwordslongwords", "", "Σ", "ος"]
+    rows, want = [], {}
+    for k in range(1, 1500):
+        key, note = f"n{draw.randrange(150)}", " ".join(draw.choices(words, k=draw.randint(1, 4)))
+        rows.append((k, key, "r", "name", note, [], []))
+        said, note = want.setdefault(key, None), note.strip()
+        if note and (said is None or note.lower() not in said.lower()):
+            want[key] = note if said is None else f"{said} {note}"
+    # A second entry without a note, so that every name is merged.
+    rows += [(k + 2000, key, "r", "name", None, [], []) for k, key in enumerate(want)]
+    made = glossary.merge_glossaries(entries(spark, *rows).limit(0), entries(spark, *rows))
+    assert {r["english"]: r["notes"] for r in made.collect()} == want
+
+
+def test_very_many_notes_of_a_name(spark):
+    """What a name gathers is not read again for each note."""
+    new = spark.range(1, 20_001).selectExpr("cast(id AS int) AS ord", "'hot' AS english", "'x' AS ru", "'name' AS kind", "concat('by Somebody#', lpad(id, 9, '0'), '.') AS notes", "array('a') AS do_not_use", "array('b') AS aliases")
+    began = time.monotonic()
+    made = glossary.merge_glossaries(entries(spark, (1, "Hot", "r", "name", "first", [], [])), new).collect()
+    assert made[0]["notes"] == " ".join(["first", *(f"by Somebody#{k:09d}." for k in range(1, 20_001))])
+    assert time.monotonic() - began < 60
+
+
 def test_pair_map(spark):
     rows = pairmap.parse(docs(spark, "a = b # c\n\nx .. y = z .. w\n")).orderBy("line_no").collect()
     assert [(r["original_from"], r["original_to"], r["translation_to"]) for r in rows] == [("a", "a", "b"), ("x", "y", "w")]
