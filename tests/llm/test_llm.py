@@ -219,6 +219,21 @@ def test_pairs_left_lose_no_pair(spark, monkeypatch):
     assert want
 
 
+def test_far_pairs_are_tallied(spark):
+    """Of the pairs that may share the guaranteed number of prefix elements, those that do stay, and no others."""
+    r = random.Random(9)
+    least = Fraction(4, 5)
+    sets = {k: (n, r.sample(range(25), n // 5 + 1), k % 40, k % 50) for k in range(120) if (n := r.randrange(10, 60))}
+    rows = [(e, k, n, mark, comp) for k, (n, prefix, mark, comp) in sets.items() for e in prefix]
+    marked = spark.createDataFrame(rows, "key long, set_id long, n int, mark long, comp long")
+    given = {tuple(x) for x in nearcopies.pairs_left(marked, least).collect()}
+    need = lambda a, b: nearcopies.guaranteed(np.array([sets[a][0]]), np.array([sets[b][0]]), least)[0]
+    want = {(a, b) for a, b in given if len(set(sets[a][1]) & set(sets[b][1])) >= need(a, b)}
+    got = nearcopies.tallied(spark.createDataFrame(sorted(given), "a long, b long"), marked.select("key", "set_id", "n"), least)
+    same((tuple(x) for x in got.collect()), want)
+    assert 0 < len(want) < len(given)
+
+
 def test_links_of_dense_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIST", 16)
     r = random.Random(3)
