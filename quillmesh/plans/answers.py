@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,40 @@ class AnswerLog:
         self.folder.delete("stop")
 
 
+#: Names, and outcomes, that are handed on together.
+NAMES, ROWS = 10_000, 500
+
+
+def _names(spark: SparkSession, root: str) -> DataFrame:
+    """name: the files of a run's answers, in as many parts as there are slots. One task lists them; the driver sees none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            names = Folder(root).names("answers")
+            for k in range(0, len(names), NAMES):
+                yield pa.RecordBatch.from_pydict({"name": names[k : k + NAMES]})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "name string").repartition(spark.sparkContext.defaultParallelism)
+
+
+def _alone(spark: SparkSession, root: str) -> DataFrame:
+    """Outcomes (LOGGED) that are in files of their own. Very many small files are read by Arrow, which opens one at a small part of the cost of a Spark file scan."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in LOGGED.split(", "))])
+    text = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else x  # noqa: E731  half a pair of units is no UTF-8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder(root)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for k in range(0, len(names), ROWS):
+                found = (folder.read(f"answers/{n}") for n in names[k : k + ROWS])
+                rows = [{c: text(v) for c, v in json.loads(data).items()} for data in found if data is not None]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return _names(spark, root).mapInArrow(run, LOGGED)
+
+
 def logged(spark: SparkSession, root: str) -> DataFrame:
     """All outcomes (LOGGED) in a run's folder: those packed, and those in files of their own."""
     parts = []
@@ -79,6 +115,14 @@ def last_of_each(outcomes: DataFrame) -> DataFrame:
 def pack(spark: SparkSession, root: str) -> None:
     """Bring the files of a run that is over together into Parquet; they go when their answers are there."""
     folder = Folder(root)
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                folder.delete(f"answers/{name}")
+            yield batch
+
     if folder.exists("answers"):
-        spark.read.schema(LOGGED).json(f"{root}/answers").write.parquet(f"{root}/packed/{uuid.uuid4().hex}")
+        _alone(spark, root).write.parquet(f"{root}/packed/{uuid.uuid4().hex}")
+        _names(spark, root).mapInArrow(delete, "name string").write.format("noop").mode("overwrite").save()
         folder.delete("answers")

@@ -38,6 +38,12 @@ class Folder:
         except FileNotFoundError:
             return None
 
+    def names(self, name: str) -> list[str]:
+        """The files of a folder inside, but for hidden ones; none if it is not there."""
+        where, base = self._at()
+        found = where.get_file_info(fs.FileSelector(f"{base}/{name}", allow_not_found=True))
+        return [x.base_name for x in found if x.type == fs.FileType.File and x.base_name[0] not in "_."]
+
     def exists(self, name: str) -> bool:
         where, base = self._at()
         return where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound

@@ -324,3 +324,18 @@ def test_event_streams_over_batches_and_a_restart(spark, tmp_path):
     assert sorted(got) == ["a", "b", "c", "d"] and spark.read.parquet(str(tmp_path / "out")).count() == 4
     for k, v in whole.items():
         assert {c: x for c, x in got[k].items() if c != "stream_id"} == ordered.fold_events(v), k
+
+
+def test_answers_are_packed_by_tasks(spark, tmp_path):
+    """Files are listed by one task and read and deleted by many; hidden files are of nobody, half pairs of units do no harm."""
+    root = f"file://{tmp_path}/run"
+    log = answers.AnswerLog(root, "j")
+    base = {"seq": 1, "status": "done", "reason": None, "attempts": 1, "prompt_tokens": None, "cached_tokens": 0, "completion_tokens": 2, "started": 1.0, "ended": 2.5}
+    for k in range(40):
+        log.put(base | {"chunk_id": f"c{k}", "html": "a\ud800b" if k == 7 else f"<b>{k}</b>"})
+    (tmp_path / "run" / "answers" / "_half.json.1").write_text("{")
+    assert answers._names(spark, root).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    answers.pack(spark, root)
+    assert not log.folder.exists("answers")
+    before = answers.logged(spark, root).collect()
+    assert {r[0]: r[3] for r in before} == {f"c{k}": "a?b" if k == 7 else f"<b>{k}</b>" for k in range(40)}
