@@ -71,6 +71,13 @@ def test_references_in_headings(spark):
     assert heading("<h1> </h1><h2>a&nbsp;&amp;&#160;b</h2>") == "a & b"
 
 
+def test_deep_pages():
+    """Elements that are left open nest without a limit."""
+    page = "<body>" + "<p><b>x<br>" * 3000 + "<h1>a</h1><h2> b</h2></body>"
+    assert h.first_heading_of(page) == "a" and h.plain_text_of(page) == "x\n" * 3000 + "a\n b\n"
+    assert h.visible_text_of("<b>" * 3000 + "<p>a</p>") == "\na\n" and h.block_fragments_of("<b>" * 3000 + "<p>a</p>") == ["<p>a</p>"]
+
+
 def test_tree_columns(spark):
     row = one(spark, x=PAGE).select(h.plain_text(F.col("x")).alias("a"), F.lit(h.plain_text_of(PAGE)).alias("b"), h.tag_names(F.col("x")).alias("t"), h.count_blocks(F.col("x")).alias("n")).first()
     assert row["a"] == row["b"]
